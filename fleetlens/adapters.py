@@ -64,15 +64,15 @@ _EVENT = (
 )
 EVENTS = Input(
     "events",
-    (*_EVENT, "CAST(ts AS TIMESTAMP) AS at", "unix_micros(CAST(ts AS TIMESTAMP)) AS at_us"),
-    duck_columns=(*_EVENT, "ts AS at", "epoch_us(ts) AS at_us"),
+    (*_EVENT, "CAST(ts AS TIMESTAMP) AS seen_at", "unix_micros(CAST(ts AS TIMESTAMP)) AS at_us"),
+    duck_columns=(*_EVENT, "ts AS seen_at", "epoch_us(ts) AS at_us"),
 )
 
 CHECK_RESULTS = project(
     EVENTS,
     "event_id",
     "user_id AS monitor_id",
-    "at AS checked_at",
+    "seen_at AS checked_at",
     "at_us",
     "CASE WHEN event_type = 'error' THEN 'critical' WHEN event_type = 'signup' THEN 'warning' ELSE 'ok' END AS status",
     "CAST(floor(value) AS BIGINT) AS latency_ms",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Check status order, worst last.
@@ -176,32 +177,30 @@ IMAGE_FAMILIES = {
 }
 
 
+def small_table(spark: SparkSession, rows, names: list[str]) -> DataFrame:
+    """A constant table as a local relation, whose size the planner knows."""
+    columns = list(zip(*rows))
+    return spark.createDataFrame(pa.table([pa.array(list(c)) for c in columns], names=names))
+
+
 def playbooks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, t, list(s)) for i, t, s in PLAYBOOKS],
-        "playbook_id string, playbook_service_type string, applicable_services array<string>",
-    )
+    rows = [(i, t, pa.scalar(list(s), pa.list_(pa.string()))) for i, t, s in PLAYBOOKS]
+    return small_table(spark, rows, ["playbook_id", "playbook_service_type", "applicable_services"])
 
 
 def known_processes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN_PROCESSES), "service string, word string")
+    return small_table(spark, KNOWN_PROCESSES, ["service", "word"])
 
 
 def audit_commands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, n, list(a), o) for k, n, a, o in AUDIT_COMMANDS],
-        "check_key string, name string, accept array<int>, optional boolean",
-    )
+    rows = [(k, n, list(a), o) for k, n, a, o in AUDIT_COMMANDS]
+    return small_table(spark, rows, ["check_key", "name", "accept", "optional"])
 
 
 def os_lifecycle(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(OS_LIFECYCLE), "family string, major int, phase string, standard_end string, extended_end string"
-    )
+    return small_table(spark, OS_LIFECYCLE, ["family", "major", "phase", "standard_end", "extended_end"])
 
 
 def object_privileges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(t, p) for t, privileges in OBJECT_PRIVILEGES.items() for p in privileges],
-        "object_type string, privilege string",
-    )
+    rows = [(t, p) for t, privileges in OBJECT_PRIVILEGES.items() for p in privileges]
+    return small_table(spark, rows, ["object_type", "privilege"])

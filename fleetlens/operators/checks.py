@@ -111,7 +111,7 @@ def missed_checks(results: DataFrame, monitors: DataFrame, start, end) -> DataFr
 def stale_hosts(heartbeats: DataFrame, now, factor: int = 3) -> DataFrame:
     """Hosts whose newest heartbeat is older than ``factor`` intervals (default interval 30 s)."""
     newest = heartbeats.groupBy("host_id").agg(
-        F.max("at").alias("last_seen"), F.max_by("interval_seconds", "at").alias("interval_seconds")
+        F.max("seen_at").alias("last_seen"), F.max_by("interval_seconds", "seen_at").alias("interval_seconds")
     )
     step = F.when(F.col("interval_seconds") > 0, F.col("interval_seconds")).otherwise(30)
     silent = F.unix_micros(F.lit(now)) - F.unix_micros("last_seen")

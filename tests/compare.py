@@ -20,7 +20,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def _value(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "item"):
         v = v.item()
@@ -59,8 +59,9 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
             f"  {x}\n  {y}" for x, y in bad[:3]
         )
     for c in got.columns:
-        if str(got[c].dtype) != str(want[c].dtype) and not (
-            {str(got[c].dtype), str(want[c].dtype)} <= {"object", "str", "string"}
-        ):
+        pair = {str(got[c].dtype), str(want[c].dtype)}
+        text, number = {"object", "str", "string", "boolean"}, {"float64", "Int64", "int64", "Int32"}
+        with_nulls = got[c].isna().any() and pair <= number
+        if len(pair) > 1 and not pair <= text and not with_nulls:
             return f"dtype of {c}: {got[c].dtype} != {want[c].dtype}"
     return None
