@@ -1,6 +1,6 @@
 """Imports every plan module, which fills the registry."""
 
-from fleetlens.plans import audit, checks, digests, discovery, redaction, telemetry  # noqa: F401
+from fleetlens.plans import audit, checks, digests, discovery, files, grants, redaction, telemetry  # noqa: F401
 from fleetlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
