@@ -1,6 +1,8 @@
 """Imports every plan module, which fills the registry."""
 
-from fleetlens.plans import audit, checks, digests, discovery, files, grants, packages, redaction, telemetry  # noqa: F401
+from fleetlens.plans import (
+    audit, changes, checks, digests, discovery, files, grants, intake, packages, redaction, telemetry,
+)
 from fleetlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
