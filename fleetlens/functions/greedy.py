@@ -61,7 +61,8 @@ def _follow(entries: np.ndarray, exits: np.ndarray, blocked: np.ndarray) -> np.n
     return np.where(inside, exits[np.minimum(at, len(exits) - 1)], blocked)
 
 
-def _accepted(at: np.ndarray, until: np.ndarray, blocked: int) -> np.ndarray:
+def accept_in_order(at: np.ndarray, until: np.ndarray, blocked: int) -> np.ndarray:
+    """Accepted rows of sorted positions when the key is blocked up to ``blocked``."""
     keep = np.zeros(len(at), dtype=bool)
     i = int(np.searchsorted(at, blocked, side="left"))
     while i < len(at):
@@ -156,7 +157,7 @@ def greedy_accept(
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, tie], kind="stable")
         pos, end = pdf[at].to_numpy(np.int64), pdf[until].to_numpy(np.int64)
-        keep = _accepted(pos, end, int(pdf["__blocked"].iloc[0]))
+        keep = accept_in_order(pos, end, int(pdf["__blocked"].iloc[0]))
         return pdf.drop(columns="__blocked").assign(accepted=keep)
 
     return (
