@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.greedy import greedy_accept
+from fleetlens.functions.spread import spread_join
 from fleetlens.functions.ordered import number_segment, ordered_scan, time_segment
 from fleetlens.operators.intake import latest_state
 
@@ -44,7 +45,7 @@ def compact_changes(log: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataF
     orders field by field); ``bounds``: ``db, start, end`` positions, start
     excluded.  A null document means the document was deleted.
     """
-    scoped = log.join(bounds, "db").filter((F.col("position") > F.col("start")) & (F.col("position") <= F.col("end")))
+    scoped = spread_join(log, bounds, ["db"], ["collection", "doc_id"]).filter((F.col("position") > F.col("start")) & (F.col("position") <= F.col("end")))
     supported = F.col("op").isin("i", "u", "d") & ~F.col("collection").isin("", "$cmd") & F.col("doc_id").isNotNull()
     unsupported = scoped.filter(~supported).groupBy("db", "collection", "op").agg(F.count("*").alias("operations"))
     document = F.when(F.col("op") != "d", F.col("document"))
@@ -83,9 +84,9 @@ def apply_delta(base: DataFrame, delta: DataFrame, keys: Sequence[str] = ("db",
 
 def changed_after(log: DataFrame, bounds: DataFrame) -> DataFrame:
     """Whether a database changed after its window's end."""
-    later = log.join(bounds.select("db", "end"), "db").filter(F.col("position") > F.col("end")).select("db").distinct()
-    return bounds.select("db").join(later.withColumn("later", F.lit(True)), "db", "left").select(
-        "db", F.coalesce("later", F.lit(False)).alias("unstable")
+    newest = log.groupBy("db").agg(F.max("position").alias("newest"))
+    return bounds.join(newest, "db", "left").select(
+        "db", F.coalesce(F.col("newest") > F.col("end"), F.lit(False)).alias("unstable")
     )
 
 

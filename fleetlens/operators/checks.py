@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rules
-from fleetlens.functions.ordered import ordered_scan, time_segment
+from fleetlens.functions.ordered import number_segment, ordered_scan, time_segment
 
 
 def status_rank(status: Column) -> Column:
@@ -97,10 +97,14 @@ def missed_checks(results: DataFrame, monitors: DataFrame, start, end) -> DataFr
     slots = wanted.select(
         "monitor_id", "step", F.explode(F.sequence(F.lit(0), F.floor((last - first - 1) / F.col("step")))).alias("slot")
     )
+    # one row per monitor and second first: what is joined no longer grows with the results
+    seconds = results.filter(F.col("checked_at") >= F.lit(start)).select(
+        "monitor_id", (F.unix_seconds("checked_at") - first).alias("second")
+    )
     seen = (
-        results.filter(F.col("checked_at") >= F.lit(start))
+        seconds.distinct()
         .join(wanted, "monitor_id")
-        .select("monitor_id", F.floor((F.unix_seconds("checked_at") - first) / F.col("step")).alias("slot"))
+        .select("monitor_id", F.floor(F.col("second") / F.col("step")).alias("slot"))
         .distinct()
     )
     return slots.join(seen, ["monitor_id", "slot"], "left_anti").select(
@@ -221,10 +225,13 @@ def parse_command(text: Column) -> Column:
     )
 
 
-def _until_first(steps: DataFrame, stops: Column) -> DataFrame:
+def _until_first(steps: DataFrame, stops: Column, segment_width: int = 1_024) -> DataFrame:
     """Steps up to and including the first one that stops its run."""
-    last = steps.groupBy("run_id").agg(F.min(F.when(stops, F.col("ord"))).alias("last_ord"))
-    return steps.join(last, "run_id").filter("last_ord IS NULL OR ord <= last_ord")
+    flagged = steps.withColumns(
+        {"stops": F.coalesce(stops, F.lit(False)).cast("int"), "segment": number_segment("ord", segment_width)}
+    )
+    counted = ordered_scan(flagged, ["run_id"], ["ord"], "segment", running_sum={"stopped": "stops"})
+    return counted.filter("stopped - stops = 0").select(*steps.columns)
 
 
 def remediation_outcome(steps: DataFrame, verifications: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rules
-from fleetlens.functions.columns import field
+from fleetlens.functions.spread import spread_join
 
 # Name patterns and system accounts.
 ROLE_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,62}$"
@@ -26,7 +26,9 @@ def map_principals(grants: DataFrame, role_map: DataFrame, owners: DataFrame) ->
     target_role``; ``owners``: ``db, owner``.
     """
     mapping = role_map.select("db", F.col("source_role").alias("grantee"), "target_role")
-    joined = grants.join(mapping, ["db", "grantee"], "left").join(owners.select("db", "owner"), "db", "left")
+    by = [c for c in grants.columns if c not in ("db", "grantee")]
+    joined = spread_join(grants, mapping, ["db", "grantee"], by, "left")
+    joined = spread_join(joined, owners.select("db", "owner"), ["db"], ["grantee", *by], "left")
     role = F.col("grantee")
     plain = role.rlike(ROLE_NAME) & ~role.startswith("pg_")
     principal = (

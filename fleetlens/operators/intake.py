@@ -108,11 +108,13 @@ def cached_config(df: DataFrame, host: str, order: Sequence[str]) -> DataFrame:
 
 
 def land_once(df: DataFrame, landed: DataFrame, run_id: str, order: Sequence[str]) -> DataFrame:
-    """First new row of every run id that is not stored yet."""
-    fresh = df.join(landed.select(run_id), run_id, "left_anti")
+    """First row of every run id that is not stored yet.
+
+    Repeats go before the join, so an id posted very often is one row there.
+    """
     rest = [c for c in df.columns if c != run_id]
-    first = fresh.groupBy(run_id).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
-    return first.select(run_id, "row.*")
+    first = df.groupBy(run_id).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
+    return first.join(landed.select(run_id), run_id, "left_anti").select(run_id, "row.*")
 
 
 def suppress_repeat_commands(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules
 from fleetlens.functions.columns import block_device_base, clean_path, field, is_partition, round1, unquote, unsigned, words
-from fleetlens.functions.ordered import ordered_scan, time_segment
+from fleetlens.functions.ordered import number_segment, ordered_scan, time_segment
+from fleetlens.functions.spread import spread_join
 
 
 def counter_delta(
@@ -183,7 +184,7 @@ def top_processes(snap_a: DataFrame, snap_b: DataFrame, system: DataFrame, by: s
     """
     a = snap_a.select("host_id", "sample", "pid", F.col("ticks").alias("ticks_a"))
     procs = snap_b.join(a, ["host_id", "sample", "pid"]).filter("ticks >= ticks_a")
-    procs = procs.join(system, ["host_id", "sample"])
+    procs = spread_join(procs, system, ["host_id", "sample"], ["pid"])
     base = F.when(F.col("d_total") > 0, F.col("d_total")).otherwise(1)
     procs = procs.withColumn("cpu_percent", round1((F.col("ticks") - F.col("ticks_a")) / base * 100))
     measure = F.col("cpu_percent") if by == "cpu" else F.col("rss_bytes")
@@ -293,13 +294,14 @@ def os_info(lines: DataFrame, rule: str = "first_complete") -> DataFrame:
         return F.when(F.col("key") == name, what)
 
     if rule == "first_complete":
-        known = of("ID", F.col("line_no")), of("VERSION_ID", F.col("line_no"))
-        stop = pairs.filter("value <> ''").groupBy("host_id").agg(
-            F.min(known[0]).alias("id_at"), F.min(known[1]).alias("version_at")
-        )
-        pairs = pairs.join(stop, "host_id", "left").filter(
-            "id_at IS NULL OR version_at IS NULL OR line_no <= greatest(id_at, version_at)"
+        flags = {n: of(key, (F.col("value") != "").cast("int")) for n, key in (("id", "ID"), ("version", "VERSION_ID"))}
+        flags = {n: F.coalesce(flag, F.lit(0)) for n, flag in flags.items()}
+        work = pairs.withColumns({**flags, "segment": number_segment("line_no", 1_024)})
+        counted = ordered_scan(
+            work, ["host_id"], ["line_no"], "segment", running_sum={"ids_read": "id", "versions_read": "version"}
         )
+        # a line counts when the lines before it did not know both yet
+        pairs = counted.filter("ids_read - id = 0 OR versions_read - version = 0")
     out = pairs.groupBy("host_id").agg(
         F.coalesce(F.max_by("value", of("ID", F.col("line_no"))), F.lit("")).alias("distro"),
         F.coalesce(F.max_by("value", of("VERSION_ID", F.col("line_no"))), F.lit("")).alias("version"),
