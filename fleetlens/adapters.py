@@ -60,7 +60,8 @@ _EVENT = (
     "event_type",
     "value",
     "CAST(round(value * 100) AS BIGINT) AS cents",
-    "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k",
+    # props is {"k": n}
+    "CAST(translate(props, '{}\"k: ', '') AS BIGINT) AS k",
 )
 EVENTS = Input(
     "events",

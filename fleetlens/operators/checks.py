@@ -126,18 +126,19 @@ def open_incidents(
     results: DataFrame, key: str = "monitor_id", ts: str = "checked_at", tie: str = "event_id",
     segment_seconds: int = 86_400,
 ) -> DataFrame:
-    """One incident per run of results that are not ok, closed by the next ok."""
+    """One incident per run of results that are not ok, closed by the next ok.
+
+    Results between two oks of a monitor share the number of oks before them,
+    so one running count finds all incidents; it also numbers them.
+    """
     ranked = results.select(
         key, ts, tie, status_rank(F.col("status")).alias("rank"), time_segment(ts, segment_seconds).alias("segment")
-    )
-    with_prev = ordered_scan(ranked, [key], [ts, tie], "segment", lag={"prev_rank": "rank"})
-    starts = with_prev.withColumn(
-        "opens", ((F.col("rank") > 0) & (F.coalesce("prev_rank", F.lit(0)) == 0)).cast("int")
-    )
-    numbered = ordered_scan(starts, [key], [ts, tie], "segment", running_sum={"incident_no": "opens"})
+    ).withColumn("is_ok", (F.col("rank") == 0).cast("long"))
+    counted = ordered_scan(ranked, [key], [ts, tie], "segment", running_sum={"oks": "is_ok"})
     bad = F.col("rank") > 0
+    # an ok closes what the oks before it left open
     return (
-        numbered.filter("incident_no > 0")
+        counted.withColumn("incident_no", F.col("oks") - F.col("is_ok"))
         .groupBy(key, "incident_no")
         .agg(
             F.min(F.when(bad, F.col(ts))).alias("opened_at"),
@@ -145,6 +146,7 @@ def open_incidents(
             rank_status(F.max("rank")).alias("worst_status"),
             F.count_if(bad).alias("failed_checks"),
         )
+        .filter("failed_checks > 0")
     )
 
 

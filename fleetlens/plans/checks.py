@@ -24,16 +24,16 @@ def worst_status(spark, sf):
 
 INCIDENTS_SQL = f"""
 WITH r AS (SELECT monitor_id, checked_at, event_id, {RANK} AS rank FROM {RESULTS}),
-s AS (SELECT *, CASE WHEN rank > 0 AND coalesce(lag(rank) OVER w, 0) = 0 THEN 1 ELSE 0 END AS opens
+s AS (SELECT *, CASE WHEN rank > 0 AND coalesce(lag(rank) OVER w, 0) = 0 THEN 1 ELSE 0 END AS opens,
+        count(*) FILTER (rank = 0) OVER w AS oks
       FROM r WINDOW w AS (PARTITION BY monitor_id ORDER BY checked_at, event_id)),
-n AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY monitor_id ORDER BY checked_at, event_id) AS BIGINT) AS incident_no
-      FROM s)
-SELECT monitor_id, incident_no,
+n AS (SELECT *, sum(opens) OVER (PARTITION BY monitor_id ORDER BY checked_at, event_id) AS run FROM s)
+SELECT monitor_id, min(oks) AS incident_no,
        min(checked_at) FILTER (rank > 0) AS opened_at,
        min(checked_at) FILTER (rank = 0) AS closed_at,
        {UNRANK.format('max(rank)')} AS worst_status,
        count(*) FILTER (rank > 0) AS failed_checks
-FROM n WHERE incident_no > 0 GROUP BY monitor_id, incident_no
+FROM n WHERE run > 0 GROUP BY monitor_id, run
 """
 
 
