@@ -81,7 +81,7 @@ AUDIT_COMMANDS = (
     ("public_docker_socket", "docker_socket", (0, 2), True),
     ("public_docker_socket", "listening_sockets", (0,), False),
     ("unexpected_listening_ports", "listening_sockets", (0,), False),
-    ("pending_security_updates", "apt_upgradable", (0, 1, 100), False),
+    ("pending_security_updates", "apt_upgradable", (0,), False),
     ("pending_security_updates", "dnf_updates", (0, 1, 100), True),
     ("reboot_required", "reboot_required", (0, 1), False),
     ("unsupported_os_version", "os_release", (0,), False),
@@ -105,10 +105,33 @@ AUDIT_COMMANDS = (
     ("software_inventory_host", "os_release", (0,), False),
     ("software_inventory_host", "dpkg_packages", (0, 1), True),
     ("software_inventory_host", "rpm_packages", (0, 1), True),
+    ("software_inventory_host", "service_units", (0, 1), True),
+    ("software_inventory_host", "listening_sockets", (0, 1), True),
+    ("software_inventory_host", "php_version", (0, 1), True),
+    ("software_inventory_host", "apache2_version", (0, 1), True),
+    ("software_inventory_host", "httpd_version", (0, 1), True),
+    ("software_inventory_host", "nginx_version", (0, 1), True),
+    ("software_inventory_host", "mysql_version", (0, 1), True),
+    ("software_inventory_host", "mariadb_version", (0, 1), True),
+    ("software_inventory_host", "postgresql_version", (0, 1), True),
+    ("software_inventory_host", "redis_version", (0, 1), True),
+    ("software_inventory_host", "nodejs_version", (0, 1), True),
+    ("software_inventory_host", "python_version", (0, 1), True),
+    ("software_inventory_host", "java_version", (0, 1), True),
+    ("software_inventory_host", "openssl_version", (0, 1), True),
+    ("software_inventory_host", "docker_engine_version", (0, 1), True),
+    ("software_inventory_host", "container_runtime_version", (0, 1), True),
     ("software_inventory_containers", "docker_ps", (0, 1), True),
+    ("software_inventory_containers", "docker_inspect", (0, 1), True),
     ("software_inventory_containers", "container_version_exec", (0, 1), True),
 )
 
+# Checks without commands, which need manual or external evidence.
+MANUAL_CHECKS = (
+    "missing_mfa_manual", "restore_test_missing_manual", "dns_points_unknown_ip", "cloudflare_proxy_disabled",
+    "origin_exposed_manual",
+)
+
 # Checks whose evidence always goes to an operator.
 REVIEW_CHECKS = (
     "backup_not_detected", "backup_older_than_threshold", "tls_certificate_expiring", "weak_tls_manual",
@@ -197,6 +220,12 @@ def audit_commands(spark: SparkSession) -> DataFrame:
     return small_table(spark, rows, ["check_key", "name", "accept", "optional"])
 
 
+def audit_checks(spark: SparkSession) -> DataFrame:
+    """Keys of all known checks."""
+    keys = sorted({k for k, *_ in AUDIT_COMMANDS} | set(MANUAL_CHECKS))
+    return small_table(spark, [(k,) for k in keys], ["check_key"])
+
+
 def os_lifecycle(spark: SparkSession) -> DataFrame:
     return small_table(spark, OS_LIFECYCLE, ["family", "major", "phase", "standard_end", "extended_end"])
 
