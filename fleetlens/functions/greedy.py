@@ -4,7 +4,10 @@ A row is accepted when nothing blocks it; an accepted row blocks its key until
 its own ``until`` position.  Refused rows do not renew the block, so neither
 ``lag`` nor ``dropDuplicates`` gives the answer: it is a fold along the key.
 
-The fold is cut so that no task sees a whole key:
+Most rows need no fold: a row further than the longest block from both its
+neighbours is accepted and blocks nobody.  Those are settled by an ordered
+scan; only contested rows go on.  Their fold is cut so that no task sees a whole
+key:
 
 1. every (key, segment) reports a step function: block in force on entry ->
    block in force on exit.  Only entries no later than the longest block are
@@ -31,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.ordered import ordered_scan
+
 # ship the helpers with the tasks, so that workers need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,14 +84,29 @@ def greedy_accept(
     tie: str,
     segment: str,
     max_block: int,
+    scan_segment: str | None = None,
 ) -> DataFrame:
     """Keep every row and add ``accepted``.
 
     ``at`` and ``until`` are bigint positions with ``at < until <= at +
     max_block``; a row at ``until`` or later is free again.  ``tie`` orders
-    rows at one position.  ``segment`` must not decrease along ``at``.
+    rows at one position.  ``segment`` must not decrease along ``at``; neither
+    must ``scan_segment``, a finer one for the scan that settles most rows.
     """
     keys = list(keys)
+    near = F.lit(max_block)
+    scanned = ordered_scan(df, keys, [at, tie], scan_segment or segment, lag={"__before": at}, lead={"__after": at})
+    alone = F.coalesce(F.col(at) - F.col("__before") >= near, F.lit(True)) & F.coalesce(
+        F.col("__after") - F.col(at) >= near, F.lit(True)
+    )
+    settled = scanned.filter(alone).select(*df.columns, F.lit(True).alias("accepted"))
+    contested = scanned.filter(~alone).select(*df.columns)
+    return settled.unionByName(_fold(contested, keys, at, until, tie, segment, max_block))
+
+
+def _fold(
+    df: DataFrame, keys: list[str], at: str, until: str, tie: str, segment: str, max_block: int
+) -> DataFrame:
     on = [*keys, segment]
     never = int(np.iinfo(np.int64).min)
     group = "__group"

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_segment(ts: str, seconds: int = 3600) -> Column:
+def time_segment(ts: str, seconds: int = 3_600) -> Column:
     """Segment number of a timestamp column."""
     return F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds))
 
@@ -40,6 +40,7 @@ def ordered_scan(
     segment: str,
     *,
     lag: Mapping[str, str] | None = None,
+    lead: Mapping[str, str] | None = None,
     running_sum: Mapping[str, str] | None = None,
     running_max_before: Mapping[str, str] | None = None,
     last_value: Mapping[str, str] | None = None,
@@ -48,12 +49,13 @@ def ordered_scan(
     """Add scan columns, given as ``{new column: source column}``.
 
     ``lag``                previous row's value
+    ``lead``               next row's value
     ``running_sum``        sum up to and including the row
     ``running_max_before`` maximum over the rows before the row
     ``last_value``         last non-null value up to and including the row
     ``row_number``         1-based position of the row within its key
     """
-    lag, running_sum = dict(lag or {}), dict(running_sum or {})
+    lag, lead, running_sum = dict(lag or {}), dict(lead or {}), dict(running_sum or {})
     running_max_before, last_value = dict(running_max_before or {}), dict(last_value or {})
     position = F.struct(*order)
 
@@ -64,14 +66,17 @@ def ordered_scan(
     earlier = over_segments.rowsBetween(Window.unboundedPreceding, -1)
 
     summary, carry, local, final = [], {}, {}, {}
-    if lag:
-        sources = sorted(set(lag.values()))
-        summary.append(F.max_by(F.struct(*sources), position).alias("__s_lag"))
-        carry["__c_lag"] = F.lag("__s_lag").over(over_segments)
-        local["__l_lag"] = F.lag(F.struct(*sources)).over(inside)
-        for new, src in lag.items():
-            final[new] = F.when(F.col("__l_lag").isNotNull(), F.col(f"__l_lag.{src}")).otherwise(
-                F.col(f"__c_lag.{src}")
+    for wanted, tag, edge, step in ((lag, "lag", F.max_by, F.lag), (lead, "lead", F.min_by, F.lead)):
+        if not wanted:
+            continue
+        # the last (first) row of a segment is what the next (previous) segment sees
+        sources = sorted(set(wanted.values()))
+        summary.append(edge(F.struct(*sources), position).alias(f"__s_{tag}"))
+        carry[f"__c_{tag}"] = step(f"__s_{tag}").over(over_segments)
+        local[f"__l_{tag}"] = step(F.struct(*sources)).over(inside)
+        for new, src in wanted.items():
+            final[new] = F.when(F.col(f"__l_{tag}").isNotNull(), F.col(f"__l_{tag}.{src}")).otherwise(
+                F.col(f"__c_{tag}.{src}")
             )
     for new, src in running_sum.items():
         summary.append(F.sum(src).alias(f"__s_{new}"))

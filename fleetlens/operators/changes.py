@@ -98,7 +98,7 @@ def lsn(text: Column) -> Column:
     return F.when(text.rlike("^[0-9A-F]+/[0-9A-F]+$"), number.cast("decimal(38,0)"))
 
 
-def catchup_status(samples: DataFrame, segment_seconds: int = 86_400) -> DataFrame:
+def catchup_status(samples: DataFrame, segment_seconds: int = 3_600) -> DataFrame:
     """First decision in the polls of every replication slot.
 
     Input: ``slot_id, at, poll_id, remote_lsn, latest_end_lsn, source_lsn,
@@ -177,7 +177,7 @@ def fence_violations(fences: DataFrame, states: DataFrame, bucket_seconds: int =
     )
 
 
-def reject_stale_tokens(tasks: DataFrame, segment_seconds: int = 86_400) -> DataFrame:
+def reject_stale_tokens(tasks: DataFrame, segment_seconds: int = 3_600) -> DataFrame:
     """Mark tasks whose fencing token is below the highest one seen before.
 
     Input: ``migration_id, domain, at, task_id, token``.
@@ -189,7 +189,7 @@ def reject_stale_tokens(tasks: DataFrame, segment_seconds: int = 86_400) -> Data
     return seen.withColumn("stale", F.coalesce(F.col("token") < F.col("highest"), F.lit(False))).drop("segment", "highest")
 
 
-def reject_replays(tasks: DataFrame, segment_seconds: int = 86_400) -> DataFrame:
+def reject_replays(tasks: DataFrame, segment_seconds: int = 21_600) -> DataFrame:
     """Mark tasks whose nonce is still in use, or that are expired or live too long.
 
     Input: ``nonce, task_id, received_us, expires_us``.  A refused task does
@@ -198,11 +198,18 @@ def reject_replays(tasks: DataFrame, segment_seconds: int = 86_400) -> DataFrame
     second = 1_000_000
     life = F.col("expires_us") - F.col("received_us")
     in_time = (life > 0) & (life <= MAX_ENVELOPE_SECONDS * second)
-    work = tasks.filter(in_time).withColumn("segment", number_segment("received_us", segment_seconds * second))
-    judged = greedy_accept(work, ["nonce"], "received_us", "expires_us", "task_id", "segment", MAX_ENVELOPE_SECONDS * second)
+    work = tasks.filter(in_time).withColumns(
+        {
+            "segment": number_segment("received_us", segment_seconds * second),
+            "hour": number_segment("received_us", 3_600 * second),
+        }
+    )
+    judged = greedy_accept(
+        work, ["nonce"], "received_us", "expires_us", "task_id", "segment", MAX_ENVELOPE_SECONDS * second, "hour"
+    )
     verdict = F.when(F.col("accepted"), "accepted").otherwise("replay")
     late = tasks.filter(~in_time).withColumn("verdict", F.lit("expiry"))
-    return judged.withColumn("verdict", verdict).drop("segment", "accepted").unionByName(late)
+    return judged.withColumn("verdict", verdict).drop("segment", "hour", "accepted").unionByName(late)
 
 
 def progress_latest(progress: DataFrame) -> DataFrame:

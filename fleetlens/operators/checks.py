@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rules
@@ -124,7 +124,7 @@ def stale_hosts(heartbeats: DataFrame, now, factor: int = 3) -> DataFrame:
 
 def open_incidents(
     results: DataFrame, key: str = "monitor_id", ts: str = "checked_at", tie: str = "event_id",
-    segment_seconds: int = 86_400,
+    segment_seconds: int = 3_600,
 ) -> DataFrame:
     """One incident per run of results that are not ok, closed by the next ok.
 
@@ -316,7 +316,7 @@ def render_template(text: Column, values: Column, double: bool = True) -> Column
     )
 
 
-def link_remediation(runs: DataFrame, incidents: DataFrame, segment_seconds: int = 86_400) -> DataFrame:
+def link_remediation(runs: DataFrame, incidents: DataFrame, segment_seconds: int = 3_600) -> DataFrame:
     """Attach each run to the incident open when it started; a given incident id wins.
 
     ``runs``: ``run_id, monitor_id, incident_id, started_at``; ``incidents`` as
@@ -346,8 +346,6 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict
     Rows are first counted per (key, value), so what is ranked per key is the
     number of distinct values, not the number of rows.
     """
-    from pyspark.sql import Window
-
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys)
     ranked = counts.withColumns(

@@ -118,7 +118,7 @@ def land_once(df: DataFrame, landed: DataFrame, run_id: str, order: Sequence[str
 
 
 def suppress_repeat_commands(
-    polls: DataFrame, host: str = "host_id", ts: str = "fetched_at", tie: str = "event_id", segment_seconds: int = 86_400
+    polls: DataFrame, host: str = "host_id", ts: str = "fetched_at", tie: str = "event_id", segment_seconds: int = 3_600
 ) -> DataFrame:
     """Polled commands that differ from the one before.
 
@@ -135,7 +135,7 @@ def suppress_repeat_commands(
 
 
 def suppress_within_ttl(
-    attempts: DataFrame, key: str = "run_id", ttl_seconds: int = TTL_SECONDS, max_run_seconds: int = 900, segment_seconds: int = 86_400
+    attempts: DataFrame, key: str = "run_id", ttl_seconds: int = TTL_SECONDS, max_run_seconds: int = 900, segment_seconds: int = 21_600
 ) -> DataFrame:
     """Mark audit attempts that the guard lets through.
 
@@ -147,7 +147,11 @@ def suppress_within_ttl(
     second = 1_000_000
     until = F.when(F.col("handled"), F.col("finished_us") + ttl_seconds * second + 1).otherwise(F.col("finished_us"))
     work = attempts.withColumns(
-        {"until_us": F.greatest(until, F.col("started_us") + 1), "segment": number_segment("started_us", segment_seconds * second)}
+        {
+            "until_us": F.greatest(until, F.col("started_us") + 1),
+            "segment": number_segment("started_us", segment_seconds * second),
+            "hour": number_segment("started_us", 3_600 * second),
+        }
     )
     block = (ttl_seconds + max_run_seconds) * second + 1
-    return greedy_accept(work, [key], "started_us", "until_us", "attempt_id", "segment", block).drop("until_us", "segment")
+    return greedy_accept(work, [key], "started_us", "until_us", "attempt_id", "segment", block, "hour").drop("until_us", "segment", "hour")

@@ -14,7 +14,7 @@ from fleetlens.functions.spread import spread_join
 
 
 def counter_delta(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str], segment_seconds: int = 86_400
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str], segment_seconds: int = 3_600
 ) -> DataFrame:
     """Add ``d_<col>`` per counter and ``d_seconds``.
 

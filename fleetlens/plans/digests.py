@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.adapters import EVENTS, Input, project
-from fleetlens.functions.digest import canonical_digest, grouped_digest, line_of, sorted_map
+from fleetlens.functions.digest import canonical_digest, sorted_map
 from fleetlens.operators import digests as op
 from fleetlens.plans.redaction import ACL_SQL, ACL_RULES
 from fleetlens.plans.registry import query

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fleetlens.adapters import project
 from fleetlens.operators import grants as op
 from fleetlens.plans.registry import query

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from fleetlens.functions import greedy
 from fleetlens.functions.greedy import greedy_accept
@@ -24,20 +23,22 @@ def test_ordered_scan(spark, seed, width):
     rows = skewed_rows(seed)
     df = spark.createDataFrame(rows, "key string, at long, id long, v long, w long").withColumn("segment", number_segment("at", width))
     got = ordered_scan(
-        df, ["key"], ["at", "id"], "segment", lag={"lag_v": "v", "lag_id": "id"}, running_sum={"sum_w": "w"},
+        df, ["key"], ["at", "id"], "segment", lag={"lag_v": "v", "lag_id": "id"}, lead={"next_id": "id"}, running_sum={"sum_w": "w"},
         running_max_before={"max_w": "w"}, last_value={"last_v": "v"}, row_number="rn",
     )
-    result = {r.id: (r.lag_v, r.lag_id, r.sum_w, r.max_w, r.last_v, r.rn) for r in got.collect()}
+    result = {r.id: (r.lag_v, r.lag_id, r.sum_w, r.max_w, r.last_v, r.rn, r.next_id) for r in got.collect()}
     for key in {r[0] for r in rows}:
         lag_v = lag_id = top = last = None
         total = 0
-        for n, (_, _, i, v, w) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])), 1):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        for n, (_, _, i, v, w) in enumerate(mine, 1):
+            following = mine[n][2] if n < len(mine) else None
             total, last = total + w, v if v is not None else last
-            assert result[i] == (lag_v, lag_id, total, top, last, n)
+            assert result[i] == (lag_v, lag_id, total, top, last, n, following)
             lag_v, lag_id, top = v, i, w if top is None else max(top, w)
 
 
-@pytest.mark.parametrize("seed,width,fan,block", [(1, 10, 2, 60), (2, 35, 3, 200), (3, 500, 64, 90), (4, 20, 2, 1)])
+@pytest.mark.parametrize("seed,width,fan,block", [(1, 10, 2, 60), (2, 35, 3, 200), (3, 500, 64, 90), (4, 20, 2, 1), (5, 15, 3, 6)])
 def test_greedy_accept(spark, monkeypatch, seed, width, fan, block):
     monkeypatch.setattr(greedy, "FAN", fan)
     rng = random.Random(seed)
