@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-# folds and byte-bounded pages need grouped pandas functions; nothing else may
+# folds and byte-bounded pages need pandas over groups; nothing else may
 GROUPED_PANDAS = {"suppress_within_ttl", "reject_replays", "paginate", "page_counts"}
 
 
