@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import context_tree, jaccard_join, language, pieces
+from fleetlens.llm import context_tree, jaccard_join, language, pieces, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
