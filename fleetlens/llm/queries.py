@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import context_tree, jaccard_join, language, pieces, substring_dedup
+from fleetlens.llm import context_tree, jaccard_join, language, pieces, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,19 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
+
+
+@query
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf, "pages"), keep_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > least THEN least END AS refers_to
+FROM q
+"""
