@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import context_tree, jaccard_join, language, pieces, substring_dedup, warc
+from fleetlens.llm import context_tree, jaccard_join, language, pieces, substring_dedup, warc, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id > least THEN least END AS refers_to
 FROM q
 """
+
+
+@query
+def op2_weighted_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return weighted_sampling.fingerprinted(table(spark, sf, "documents").select("doc_id", "text"))
