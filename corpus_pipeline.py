@@ -2,10 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-ORACLE_SQL = None
+from fleetlens.llm import decontamination, jaccard_join, language, pieces, pseudonyms
+
+#: Least language score; four languages that nothing tells apart have 0.25 each.
+LEAST_SCORE = 0.35
+KEY = "key of the pseudonyms in this pipeline"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose text has no language (null, no letter) or none that stands out."""
+    train = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0)
+    found = language.predict(docs, language.train(train), keep=docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of five-word shingle sets of similarity 0.8 or more."""
+    links = jaccard_join.linked(docs.select("doc_id", "text"), size=5, percent=80)
+    first = links.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.dropDuplicates(["doc_id", "text"]).join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts become pseudonyms; n_chars follows the text."""
+    out = pseudonyms.replaced(docs, KEY, count=None)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text (comma-joined) and what they decode to."""
+    out = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source", "n_chars"])
+    return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("pii", personal_data),
+    ("sentencepiece", sentencepiece),
+]
+ORACLE_SQL = None  # language models, Feistel networks and SentencePiece are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import context_tree, jaccard_join, language, pieces, substring_dedup, warc, weighted_sampling
+from fleetlens.llm import (
+    context_tree, decontamination, jaccard_join, language, licences, pieces, pseudonyms, substring_dedup, warc, weighted_sampling,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+KEY = "key of the pseudonyms in these queries"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -79,3 +82,23 @@ FROM q
 @query
 def op2_weighted_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return weighted_sampling.fingerprinted(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of a tree source/thousand/hundred/id, each of which speaks for its directory."""
+    docs = table(spark, sf, "documents")
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.col("doc_id"))
+    found = licences.scanned(docs.select(path.alias("path"), "text"), licence_file=F.lit(True))
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "licence", "score", "origin", "directory")
+
+
+@query
+def op4_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudonyms.replaced(table(spark, sf, "documents").select("doc_id", "text"), KEY)
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontamination.marked(docs, table(spark, sf, "benchmark")).drop("text")
