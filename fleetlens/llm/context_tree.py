@@ -30,11 +30,13 @@ from fleetlens.llm.tokens import U, column_bytes, pieces, ragged, split_words
 DEPTH = 5
 END = 0xFF
 #: Bytes of text of one block, about.
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 #: Keys that a counting task holds before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Rows of trees that one group works on, about.
 ROWS = 1 << 19
+#: Places that are looked up together, by 16 bits.
+SPAN = 1 << 16
 _WORD = U(1 << 63)
 END_WORD = -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -43,21 +45,28 @@ _BITS = [(b, 7 - b) for b in range(8)]
 
 
 def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, offsets): the 6-gram of every byte and of the end of each text; nearest context byte highest, symbol lowest."""
+    """(keys, offsets): the 6-gram of every byte and of the end of each text; the symbol is the lowest byte, the context
+    stands before it as in the text."""
     data, offsets = column_bytes(column)
-    n = np.diff(offsets) + 1
-    ends = np.cumsum(n)
+    n = np.diff(offsets)
+    ends = np.cumsum(n + DEPTH + 1)
     total = int(ends[-1]) if len(ends) else 0
-    wide = np.full(total, END, np.uint8)
-    wide[ragged(ends - n, n - 1)] = _FOLD[data]
-    at = np.arange(total) - np.repeat(ends - n, n)
-    keys = wide.astype(U)
-    for d in range(1, DEPTH + 1):
-        before = np.zeros(total, U)
-        before[d:] = wide[:-d] if d < total else wide[:0]
-        before[at < d] = 0
-        keys |= before << U(8 * (DEPTH + 1 - d))
-    return keys.view(np.int64), np.concatenate([[0], ends])
+    wide = np.zeros(total + 8, np.uint8)
+    wide[ragged(ends - n - 1, n)] = _FOLD[data]
+    wide[ends - 1] = END
+    eight = np.ndarray((total,), ">u8", wide, strides=(1,)).astype(U) >> U(8 * (7 - DEPTH))
+    # the window that ends at a symbol begins DEPTH places before it
+    keep = np.ones(total, bool)
+    keep[ragged(ends - DEPTH, np.full(len(ends), DEPTH))] = False
+    return eight[keep].view(np.int64), np.concatenate([[0], np.cumsum(n + 1)])
+
+
+def turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with their context bytes in reverse order: the nearest highest, as trees need them, and back."""
+    out = keys & 255
+    for k in range(1, DEPTH + 1):
+        out |= (keys >> 8 * k & 255) << 8 * (DEPTH + 1 - k)
+    return out
 
 
 def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +258,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
         found: list[np.ndarray] = []
         for batch in pieces(iter(table.to_batches()), "_text"):
             column = batch.column("_text")
-            found.append(np.unique(np.concatenate([gram_keys(column)[0], np.unique(word_keys(column)[0])])))
+            found += [_counted(gram_keys(column)[0])[0], _counted(word_keys(column)[0])[0]]
         keys = np.unique(np.concatenate(found))
         block_id = table.column("_block")[0].as_py()
         return pa.table({"_block": pa.array(np.full(len(keys), block_id, np.int32)), "key": keys})
@@ -262,11 +271,15 @@ def scored(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     )
     grams = stored(grams, "ctw-grams")
     buckets = max(1, -(-grams.count() // ROWS))
-    grams = grams.withColumn("_bucket", F.pmod(F.xxhash64(F.shiftright("key", 24)), F.lit(buckets)).cast("int"))
+    grams = grams.withColumn("_bucket", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(buckets)).cast("int"))
+
+    def in_tree_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys = turned(table.column("key").to_numpy())
+        order = np.argsort(keys)
+        return keys[order], table.column("n").to_numpy()[order]
 
     def summed(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+        keys, n = in_tree_order(table)
         out: dict[str, list] = {"at": [], "zeros": [], "ones": [], "below": []}
         for bit, top, log_top, _ in subtree(keys, n):
             out["at"].append((top.node >> (7 - bit) >> 8) << 8 | 1 << (7 - bit) | top.node & (1 << (7 - bit)) - 1)
@@ -281,9 +294,8 @@ def scored(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     crown = docs.sparkSession.sparkContext.broadcast(Crown(crown_rows.toArrow().to_pydict()))  # 255 rows per pair of bytes at most
 
     def logs(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys = table.column("key").to_numpy()
-        return pa.table({"key": keys, "v": key_logs(keys, table.column("n").to_numpy(), crown.value)})
+        keys, n = in_tree_order(table)
+        return pa.table({"key": turned(keys), "v": key_logs(keys, n, crown.value)})
 
     values = grams.groupBy("_bucket").applyInArrow(logs, "key bigint, v double").unionByName(
         known.where("key < 0").select("key", F.col("n").cast("double").alias("v")))
@@ -302,10 +314,20 @@ def scored(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
         for batch in pieces(iter(table.to_batches()), "_text"):
             column = batch.column("_text")
             grams_at, offsets = gram_keys(column)
-            at = np.searchsorted(gram_key, grams_at)
-            if len(at) and (at.max() >= len(gram_key) or (gram_key[at] != grams_at).any()):
-                raise RuntimeError("a block lacks keys that it asked for")
-            sums = np.add.reduceat(gram_v[at], offsets[:-1])
+            text_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+            sums = np.zeros(len(offsets) - 1)
+            for k in range(0, len(grams_at), SPAN):
+                # sorted with its place packed below it, each distinct key is looked up once, in order
+                packed = np.sort(grams_at[k : k + SPAN].view(U) << U(16) | np.arange(min(SPAN, len(grams_at) - k), dtype=U))
+                part = (packed >> U(16)).view(np.int64)
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                at = np.searchsorted(gram_key, part[starts])
+                if at[-1] >= len(gram_key) or (gram_key[at] != part[starts]).any():
+                    raise RuntimeError("a block lacks keys that it asked for")
+                logs_of = np.empty(len(part))
+                logs_of[(packed & U(SPAN - 1)).view(np.int64)] = np.repeat(gram_v[at], np.diff(np.r_[starts, len(part)]))
+                texts = text_of[k : k + SPAN]
+                sums[texts[0] : texts[-1] + 1] += np.bincount(texts - texts[0], logs_of)
             words, first = word_keys(column)
             n = np.zeros(len(words))
             if len(word_key):
