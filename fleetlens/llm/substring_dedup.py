@@ -91,8 +91,7 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
 
 def repeated(rows: DataFrame) -> DataFrame:
     """Runs whose anchor comes more than once; of rows sorted by anchor only one is held back."""
-    dealt = rows.withColumn("_deal", F.when(F.col("kind") == 2, F.xxhash64("doc", "first")).otherwise(F.col("anchor")))
-    dealt = dealt.repartition("_deal").sortWithinPartitions("anchor")
+    dealt = rows.repartition(F.when(F.col("kind") == 2, F.xxhash64("doc", "first")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -298,16 +297,15 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
     kept is what is left of the words, joined by one space. A null text has no words. Rows of the same key are ordered by
     a hash of their texts; repeated rows, equal in both, count as one document and come out alike. A null key counts as
-    larger than all others.
+    the largest long, 2**63 - 1, and comes out null.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("twin"),
-                       F.col(key).isNull().alias("_no_key"), F.col(text).alias("_text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("twin"), F.col(text).alias("_text"))
     shards = max(1, -(-input_bytes(rows, "_text") // SHARD))
     found = repeated(anchors(rows.select("doc", "twin", "_text"), size)).groupBy("doc", "twin").agg(
         F.collect_list(F.struct("first", "windows", "anchor")).alias("_runs"))
     texts = run_texts(rows.join(found, ["doc", "twin"]).select("doc", "twin", "_text", "_runs"), size, shards)
     removed = sharded(texts, size).groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "windows")).alias("_removed"))
-    both = rows.join(removed, ["doc", "twin"], "left").select("doc", "_no_key", "_text", "_removed")
+    both = rows.join(removed, ["doc", "twin"], "left").select("doc", "_text", "_removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
@@ -329,7 +327,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
             cut = np.r_[0, ends][np.searchsorted(left, words.first)]
             kept = [data[a : max(a, b - 1)].tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_pydict({
-                "doc": pa.array(batch.column("doc").to_numpy(), mask=batch.column("_no_key").to_numpy(zero_copy_only=False)),
+                "doc": pa.array(batch.column("doc").to_numpy(), mask=batch.column("doc").to_numpy() == LAST),
                 "n_words": pa.array(words.count, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             } | ({"kept": pa.array([k.decode() for k in kept], pa.string())} if keep_text else {}))
