@@ -194,18 +194,24 @@ def segments(docs: DataFrame, order, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, fragment tinyint, part array<bigint>")
 
 
+#: A node has FRAGMENTS rows, or a multiple where its row is repeated; sums are divided by the multiple.
+_TIMES = f"count(*) / {FRAGMENTS}"
+
+
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, overlap) of each pair: partial counts of each fragment, summed per pair."""
+    total = lambda c: F.sum(c) / F.expr(_TIMES)
     return _sides(pairs, parts).groupBy("a", "b").agg(
-        F.sum(F.size("_a")).alias("n_a"), F.sum(F.size("_b")).alias("n_b"), F.sum(F.size(F.array_intersect("_a", "_b"))).alias("overlap"))
+        total(F.size("_a")).alias("n_a"), total(F.size("_b")).alias("n_b"), total(F.size(F.array_intersect("_a", "_b"))).alias("overlap"))
 
 
 def differences(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, difference): n-grams of one of both sets only, by fragment, then by hash."""
+    total = lambda c: F.sum(c) / F.expr(_TIMES)
     apart = F.array_sort(F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")))
     by_pair = _sides(pairs, parts).groupBy("a", "b").agg(
-        F.sum(F.size("_a")).alias("n_a"), F.sum(F.size("_b")).alias("n_b"),
-        F.array_sort(F.collect_list(F.struct("fragment", apart.alias("apart")))).alias("_all"))
+        total(F.size("_a")).alias("n_a"), total(F.size("_b")).alias("n_b"),
+        F.array_sort(F.collect_set(F.struct("fragment", apart.alias("apart")))).alias("_all"))
     return by_pair.select("a", "b", "n_a", "n_b", F.flatten("_all.apart").alias("difference"))
 
 
@@ -266,7 +272,7 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     held = rows.select(F.col("_id").alias("id"), "_text").join(
         firsts.join(wanted, "node", "left_semi").select(F.col("id").alias("_least"), "node", "signature"),
         F.col("id").eqNullSafe(F.col("_least")))
-    parts = stored(segments(held.select("node", "signature", "_text"), order, size).dropDuplicates(["node", "fragment"]), "jaccard-segments")
+    parts = stored(segments(held.select("node", "signature", "_text"), order, size), "jaccard-segments")
 
     links_if = f"100 * overlap >= {percent} * (n_a + n_b - overlap)"
     found = settled(differences(stars, parts))
