@@ -22,7 +22,14 @@ def settled(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    forget(df.sparkSession)
+    return out
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that have ended, which it does as the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame, column: str) -> int:
@@ -73,4 +80,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
