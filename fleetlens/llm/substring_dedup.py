@@ -34,7 +34,7 @@ GRAM = 6
 #: Words of a block's index at most (a longer single run makes a block of its own).
 BLOCK = 1 << 21
 #: Bytes of all texts per shard, about.
-SHARD = 8 << 20
+SHARD = 2 << 20
 LAST = (1 << 63) - 1
 
 
@@ -73,7 +73,7 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
     """(anchor, kind, doc, twin, first, windows): kind 0 asks whether the anchor comes again, 1 bears witness, 2 is settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", 1 << 22):
+        for batch in pieces(batches, "_text"):
             words = words_of(batch, "_text")
             anchor, doc, first, windows, twice = runs_of(words, words.hashes(), size)
             _, at, inverse, counts = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
@@ -125,7 +125,7 @@ def run_texts(rows: DataFrame, size: int, shards: int) -> DataFrame:
     """(shard, doc, twin, first, windows, words): words of each run that is the first of its kind here, null for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", 1 << 22):
+        for batch in pieces(batches, "_text"):
             words = words_of(batch, "_text")
             hashes = words.hashes()
             lists = batch.column("_runs")
@@ -140,6 +140,11 @@ def run_texts(rows: DataFrame, size: int, shards: int) -> DataFrame:
             fresh = np.r_[True, same[by][1:] != same[by][:-1]]
             lead = np.zeros(len(by), bool)
             lead[by[fresh]] = True
+            # a row given twice is one place
+            place = [x[by] for x in (doc, twin, first)]
+            again = ~fresh & np.all([np.r_[False, x[1:] == x[:-1]] for x in place], axis=0)
+            keep = np.sort(by[~again])
+            start, n, doc, twin, first, windows, anchor, lead = (x[keep] for x in (start, n, doc, twin, first, windows, anchor, lead))
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(np.where(lead, (anchor.view(U) % U(shards)).astype(np.int64), doc % shards), pa.int64()),
                 "doc": doc, "twin": twin, "first": first.astype(np.int32), "windows": windows.astype(np.int32),
@@ -188,6 +193,8 @@ class Shard:
             if k == len(self.at):
                 self.at.append(row)
                 self.text.append(text)
+            elif row[:3] == self.at[k][:3]:
+                continue  # a row given twice
             elif row[:3] < self.at[k][:3]:
                 later.append(self.at[k])
                 self.at[k] = row
