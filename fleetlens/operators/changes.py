@@ -152,21 +152,32 @@ def quiescent(snapshots: DataFrame, fences: DataFrame) -> DataFrame:
     return joined.select("run_id", reason.alias("reason"), reason.isNull().alias("quiescent"))
 
 
+def polls_in_fences(fences: DataFrame, polls: DataFrame, bucket_seconds: int) -> DataFrame:
+    """Polls of a fenced service from ``active_from`` on, before ``active_to`` if the fence has one.
+
+    The interval join is an equality join on (host, service, time bucket), so
+    a long fence is spread over buckets and only matching polls meet it.  A
+    fence that is still active has no last bucket and meets the polls of its
+    service.
+    """
+    width = bucket_seconds
+    first, last = F.floor(F.unix_seconds("active_from") / width), F.floor(F.unix_seconds("active_to") / width)
+    ended = fences.filter("active_to > active_from").withColumn("bucket", F.explode(F.sequence(first, last)))
+    dated = polls.withColumn("bucket", F.floor(F.unix_seconds("at") / width))
+    inside = dated.join(ended, ["host_id", "service", "bucket"]).filter("at >= active_from AND at < active_to").select("fence_id", "at", "running")
+    after = polls.join(fences.filter("active_to IS NULL"), ["host_id", "service"]).filter("at >= active_from")
+    return inside.unionByName(after.select("fence_id", "at", "running"))
+
+
 def fence_violations(fences: DataFrame, states: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
     """Violations and watchdog errors of each fence.
 
     ``fences``: ``fence_id, host_id, service, active_from, active_to``, one row
     per fenced service; ``states``: ``host_id, service, at, running`` (null:
-    unreadable).  A poll counts once per fence, however many services ran.
-
-    The interval join is an equality join on (host, service, time bucket), so
-    a long fence is spread over buckets and only matching polls meet it.
+    unreadable).  A poll counts once per fence, however many services ran.  A
+    fence without ``active_to`` is still active.
     """
-    width = bucket_seconds
-    first, last = F.floor(F.unix_seconds("active_from") / width), F.floor(F.unix_seconds("active_to") / width)
-    spread = fences.withColumn("bucket", F.explode(F.sequence(first, last)))
-    polls = states.filter("running OR running IS NULL").withColumn("bucket", F.floor(F.unix_seconds("at") / width))
-    hits = spread.join(polls, ["host_id", "service", "bucket"]).filter("at >= active_from AND at < active_to")
+    hits = polls_in_fences(fences, states.filter("running OR running IS NULL"), bucket_seconds)
     per_poll = hits.groupBy("fence_id", "at").agg(F.bool_or(F.col("running").isNull()).alias("unreadable"))
     counted = per_poll.groupBy("fence_id").agg(
         F.count("*").alias("violations"), F.count_if("unreadable").alias("watchdog_errors"), F.max("at").alias("last_violation")

@@ -94,9 +94,8 @@ def missed_checks(results: DataFrame, monitors: DataFrame, start, end) -> DataFr
         "monitor_id",
         F.when(F.col("interval_seconds") > 0, F.col("interval_seconds")).otherwise(60).cast("long").alias("step"),
     )
-    slots = wanted.select(
-        "monitor_id", "step", F.explode(F.sequence(F.lit(0), F.floor((last - first - 1) / F.col("step")))).alias("slot")
-    )
+    numbers = F.when(last > first, F.sequence(F.lit(0), F.floor((last - first - 1) / F.col("step"))))  # none in an empty range
+    slots = wanted.select("monitor_id", "step", F.explode(numbers).alias("slot"))
     # one row per monitor and second first: what is joined no longer grows with the results
     seconds = results.filter(F.col("checked_at") >= F.lit(start)).select(
         "monitor_id", (F.unix_seconds("checked_at") - first).alias("second")
@@ -386,7 +385,9 @@ def expected_status(df: DataFrame) -> DataFrame:
 
     Input: ``check_type, url, expect_status, http_code, port, port_open, dry_run``.
     """
-    expect = F.coalesce(F.try_to_number("expect_status", F.lit("999999")).cast("int"), F.lit(200))
+    # a whole number, signed or not, without blanks; anything else means 200
+    number = F.when(F.col("expect_status").rlike("^[+-]?[0-9]+$"), F.col("expect_status").try_cast("long"))
+    expect = F.coalesce(number, F.lit(200))
     port_text = F.trim(F.coalesce("port", F.lit("")))
     http = (
         F.when(F.trim(F.coalesce("url", F.lit(""))) == "", "missing param: url")

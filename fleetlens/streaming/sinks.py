@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetlens.operators.changes import polls_in_fences
 from fleetlens.operators.intake import latest_state
 
 
@@ -86,17 +87,9 @@ def fence_polls(states: DataFrame, fences: DataFrame, poll: str = "10 minutes",
     """One row per fence and poll window in which a fenced service ran or was unreadable.
 
     ``states`` is the stream, ``fences`` a table; both as in the batch form.
-    The join is an equality join on (host, service, time bucket).
     """
-    width = bucket_seconds
-    first, last = F.floor(F.unix_seconds("active_from") / width), F.floor(F.unix_seconds("active_to") / width)
-    spread = fences.withColumn("bucket", F.explode(F.sequence(first, last)))
-    polls = (
-        states.withWatermark("at", delay)
-        .filter("running OR running IS NULL")
-        .withColumn("bucket", F.floor(F.unix_seconds("at") / width))
-    )
-    hits = polls.join(spread, ["host_id", "service", "bucket"]).filter("at >= active_from AND at < active_to")
+    polls = states.withWatermark("at", delay).filter("running OR running IS NULL")
+    hits = polls_in_fences(fences, polls, bucket_seconds)
     return (
         hits.groupBy("fence_id", F.window("at", poll).alias("w"))
         .agg(F.bool_or(F.col("running").isNull()).alias("unreadable"))

@@ -207,3 +207,35 @@ def test_state_mode(spark, mode, count):
     df = spark.createDataFrame([("s", mode, 7, "sha256:x")], "store string, state_mode string, key_count long, all_digest string")
     row = digests.state_mode_manifest(df).first()
     assert row.record_count == count and (row.record_digest == digests.EMPTY_SHA256) == (mode == "cache")
+
+
+def test_fence_that_is_still_active(spark):
+    from fleetlens.operators import changes
+
+    fences = spark.sql("""SELECT 1 AS fence_id, 1 AS host_id, 'web' AS service, timestamp'2024-01-01 00:00:00' AS active_from, CAST(NULL AS timestamp) AS active_to
+        UNION ALL SELECT 2, 1, 'web', timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 02:00:00'""")
+    states = spark.sql("""SELECT 1 AS host_id, 'web' AS service, at, running FROM VALUES
+        (timestamp'2023-12-31 23:00:00', true), (timestamp'2024-01-01 01:00:00', true), (timestamp'2024-01-05 00:00:00', true),
+        (timestamp'2024-01-06 00:00:00', CAST(NULL AS boolean)), (timestamp'2024-01-07 00:00:00', false) AS t(at, running)""")
+    got = {r["fence_id"]: (r["violations"], r["watchdog_errors"]) for r in changes.fence_violations(fences, states).collect()}
+    assert got == {1: (3, 1), 2: (1, 0)}
+
+
+def test_expected_status_reads_whole_numbers(spark):
+    from fleetlens.operators import checks
+
+    rows = [("+204", 204), (" 204 ", 200), ("-1", -1), ("1000000", 1000000), ("x", 200), (None, 200)]
+    df = spark.createDataFrame([("http", "u", e, w, None, None, False) for e, w in rows],
+                               "check_type string, url string, expect_status string, http_code int, port string, port_open boolean, dry_run boolean")
+    assert checks.expected_status(df).filter("error IS NOT NULL").count() == 0
+
+
+def test_no_slots_in_an_empty_range(spark):
+    import datetime
+
+    from fleetlens.operators import checks
+
+    at = datetime.datetime(2024, 1, 1)
+    monitors = spark.sql("SELECT 1 AS monitor_id, true AS enabled, 60 AS interval_seconds")
+    results = spark.sql("SELECT 1 AS monitor_id, timestamp'2024-01-01 00:00:00' AS checked_at").limit(0)
+    assert checks.missed_checks(results, monitors, at, at).count() == 0
