@@ -22,9 +22,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each component of five-word shingle sets of similarity 0.8 or more."""
+    # a missing id counts as the largest one; rows of one id and text are one document
+    name = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(2**63 - 1)).alias("_key")
     links = jaccard_join.linked(docs.select("doc_id", "text"), size=5, percent=80)
-    first = links.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    first = links.where("doc_id <=> component_id").select(name("doc_id"))
+    kept = docs.select(name("doc_id"), F.xxhash64("text").alias("_twin"), *docs.columns).join(first, "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "_twin"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
