@@ -205,37 +205,39 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         total(F.size("_a")).alias("n_a"), total(F.size("_b")).alias("n_b"), total(F.size(F.array_intersect("_a", "_b"))).alias("overlap"))
 
 
-def differences(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, difference): n-grams of one of both sets only, by fragment, then by hash."""
-    total = lambda c: F.sum(c) / F.expr(_TIMES)
+def difference_prefixes(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, wanted, ...) with first: the ``wanted`` first n-grams that only one of both sets has, by fragment,
+    then by hash. A fragment's share is cut to ``wanted`` before it is shuffled."""
     apart = F.array_sort(F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")))
-    by_pair = _sides(pairs, parts).groupBy("a", "b").agg(
-        total(F.size("_a")).alias("n_a"), total(F.size("_b")).alias("n_b"),
-        F.array_sort(F.collect_set(F.struct("fragment", apart.alias("apart")))).alias("_all"))
-    return by_pair.select("a", "b", "n_a", "n_b", F.flatten("_all.apart").alias("difference"))
+    by_pair = _sides(pairs, parts, "wanted").groupBy("a", "b").agg(
+        F.max("wanted").alias("_wanted"), F.array_sort(F.collect_set(F.struct("fragment", F.slice(apart, F.lit(1), F.col("wanted")).alias("apart")))).alias("_all"))
+    first = by_pair.select("a", "b", F.slice(F.flatten("_all.apart"), F.lit(1), F.col("_wanted")).alias("first"))
+    return pairs.join(first, ["a", "b"])
 
 
-def _sides(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    left = pairs.select("a", "b").join(parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("_a")), "a")
+def _sides(pairs: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
+    left = pairs.select("a", "b", *more).join(parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("_a")), "a")
     return left.join(parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("_b")), ["b", "fragment"])
 
 
-def around_centres(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def around_centres(tested: DataFrame, labels: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes of different components around one centre that might link (step 4b).
 
-    found: (a: centre, b: node, n_a, n_b, difference). With F(x) = (100 + p) |D(x)| - (100 - p) n(x), x and y link if
+    tested: (a: centre, b: node, n_a, n_b, overlap). With F(x) = (100 + p) |D(x)| - (100 - p) n(x), x and y link if
     they share (F(x) + F(y)) / (2 (100 + p)) n-grams of their differences; a partner that shares s of them has
-    F(y) >= F(centre) + 2 p s, which bounds s for x alone.
+    F(y) >= F(centre) + 2 p s, which bounds s for x alone. Differences are read only around centres whose nodes are in
+    different components, and only as far as the prefix rule looks.
     """
     more, less = 100 + percent, 100 - percent
-    named = found.join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
-    named = named.select("a", "b", F.coalesce("label", "b").alias("label"), F.size("difference").alias("m"), "difference",
-                         (more * F.size("difference") - less * F.col("n_b")).alias("f"), (-less * F.col("n_a")).alias("f_a"))
+    named = tested.join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
+    named = named.select("a", "b", "n_a", "n_b", F.coalesce("label", "b").alias("label"),
+                         (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).cast("int").alias("m"))
+    named = named.withColumns({"f": more * F.col("m") - less * F.col("n_b"), "f_a": -less * F.col("n_a")})
     mixed = named.groupBy("a").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("a")
-    named = named.join(mixed, "a", "left_semi")
     alone = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("f_a")) / F.lit(200)))
-    first = F.slice("difference", F.lit(1), F.greatest(F.lit(0), F.col("m") - alone + 1).cast("int"))
-    rows = named.select("a", "b", "label", "m", "f", F.posexplode(first).alias("place", "gram"))
+    named = named.join(mixed, "a", "left_semi").withColumn("wanted", (F.col("m") - alone + 1).cast("int")).where("wanted > 0")
+    named = stored(named.select("a", "b", "label", "m", "f", "wanted"), "jaccard-mixed")
+    rows = difference_prefixes(named, parts).select("a", "b", "label", "m", "f", F.posexplode("first").alias("place", "gram"))
     x, y = rows.alias("x"), rows.alias("y")
     s = F.greatest(F.lit(1), F.ceil((F.col("x.f") + F.col("y.f")) / F.lit(2 * more)))
     met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label"))
@@ -275,15 +277,14 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     parts = stored(segments(held.select("node", "signature", "_text"), order, size), "jaccard-segments")
 
     links_if = f"100 * overlap >= {percent} * (n_a + n_b - overlap)"
-    found = settled(differences(stars, parts))
-    overlap = (F.col("n_a") + F.col("n_b") - F.size("difference")) / 2
-    links = settled(found.withColumn("overlap", overlap).where(links_if).select("a", "b"))
+    tested = stored(overlaps(stars, parts), "jaccard-tested")
+    links = settled(tested.where(links_if).select("a", "b"))
     labels = components(links)
-    more = settled(overlaps(around_centres(found, labels, percent), parts).where(links_if).select("a", "b"))
-    if not more.isEmpty():
+    others = stored(around_centres(tested, labels, parts, percent), "jaccard-others")
+    if not others.isEmpty():
+        more = settled(overlaps(others, parts).where(links_if).select("a", "b"))
         labels = components(links.unionByName(more))
 
-    del found
     forget(spark)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
