@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
-from fleetlens.llm.shared import forget, salted_lookup, settled, stored
+from fleetlens.llm.shared import forget, maybe_in, salted_lookup, settled, stored
 from fleetlens.llm.tokens import U, grams, grams_within, pieces, words_of
 
 COUNTERS = 1 << 20
@@ -271,9 +271,10 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     exploded = exploded.repartition("gram").sortWithinPartitions("gram", "place", "node").select("gram", "node", "n")
     stars = stored(starred(exploded, percent), "jaccard-stars")
     wanted = stars.selectExpr("explode(array(a, b)) as node").distinct()
-    held = rows.select(F.col("_id").alias("id"), "_text").join(
-        firsts.join(wanted, "node", "left_semi").select(F.col("id").alias("_least"), "node", "signature"),
-        F.col("id").eqNullSafe(F.col("_least")))
+    wanted = firsts.join(wanted, "node", "left_semi").select(F.col("id").alias("_least"), "node", "signature")
+    # most texts have no partner and stay where they are
+    some = maybe_in(rows.select(F.col("_id").alias("id"), "_text"), "id", wanted, "_least")
+    held = some.join(wanted, F.col("id").eqNullSafe(F.col("_least")))
     parts = stored(segments(held.select("node", "signature", "_text"), order, size), "jaccard-segments")
 
     links_if = f"100 * overlap >= {percent} * (n_a + n_b - overlap)"

@@ -47,6 +47,24 @@ def salted_lookup(df: DataFrame, table: DataFrame, key: str, salt_of: str, salts
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+#: Longs of the table that ``maybe_in`` broadcasts, whatever the size of its inputs.
+FILTER_LONGS = 1 << 18
+
+
+def maybe_in(df: DataFrame, column: str, some: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``some``'s ``key`` (nulls too): none of those is lost, few others stay.
+
+    A one-hash Bloom filter of 64 * FILTER_LONGS bits, broadcast as at most FILTER_LONGS rows. It makes a shuffle join that
+    follows cheaper and never changes its result; with very many keys it lets more and more through.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER_LONGS))
+    bits = some.select(place(key).alias("_p")).groupBy(F.expr("_p div 64").alias("_long")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+    placed = df.withColumn("_p", place(column)).withColumn("_long", F.expr("_p div 64"))
+    found = placed.join(F.broadcast(bits), "_long").where(F.expr("getbit(_bits, cast(_p % 64 as int)) = 1"))
+    return found.select(*df.columns)
+
+
 def following(ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """(column, following): the next larger distinct id, null for the largest.
 
