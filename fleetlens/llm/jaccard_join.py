@@ -20,6 +20,7 @@ So groups of near copies cost about their size, not its square, and no link betw
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ from fleetlens.llm.tokens import U, grams, grams_within, pieces, words_of
 COUNTERS = 1 << 20
 SLICES = 16
 FRAGMENTS = 8
+#: Fragments that are counted at a time; the shuffle files of one pass may go before the next.
+AT_A_TIME = 2
 
 
 def sets_of(batch: pa.RecordBatch, column: str, size: int) -> list[np.ndarray]:
@@ -194,25 +197,37 @@ def segments(docs: DataFrame, order, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, fragment tinyint, part array<bigint>")
 
 
-#: A node has FRAGMENTS rows, or a multiple where its row is repeated; sums are divided by the multiple.
-_TIMES = f"count(*) / {FRAGMENTS}"
+def _passes(parts: DataFrame) -> list[DataFrame]:
+    return [parts.where(F.col("fragment").between(k, k + AT_A_TIME - 1)) for k in range(0, FRAGMENTS, AT_A_TIME)]
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, overlap) of each pair: partial counts of each fragment, summed per pair."""
-    total = lambda c: F.sum(c) / F.expr(_TIMES)
-    return _sides(pairs, parts).groupBy("a", "b").agg(
-        total(F.size("_a")).alias("n_a"), total(F.size("_b")).alias("n_b"), total(F.size(F.array_intersect("_a", "_b"))).alias("overlap"))
+    """(a, b, n_a, n_b, overlap) of each pair: partial counts of each fragment, summed per pair.
+
+    A node has FRAGMENTS rows, or a multiple where its row is repeated; sums are divided by the multiple.
+    """
+    counts = [stored(_sides(pairs, some).groupBy("a", "b").agg(
+        F.sum(F.size("_a")).alias("_n_a"), F.sum(F.size("_b")).alias("_n_b"), F.sum(F.size(F.array_intersect("_a", "_b"))).alias("_both"),
+        F.count("*").alias("_rows")), "jaccard-partial") for some in _passes(parts)]
+    every = functools.reduce(DataFrame.unionByName, counts)
+    total = lambda c: F.sum(c) * FRAGMENTS / F.sum("_rows")
+    return every.groupBy("a", "b").agg(total("_n_a").alias("n_a"), total("_n_b").alias("n_b"), total("_both").alias("overlap"))
 
 
 def difference_prefixes(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """``pairs`` (a, b, wanted, ...) with first: the ``wanted`` first n-grams that only one of both sets has, by fragment,
-    then by hash. A fragment's share is cut to ``wanted`` before it is shuffled."""
+    then by hash. A pass reads its fragments only for the pairs that the passes before left incomplete."""
     apart = F.array_sort(F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")))
-    by_pair = _sides(pairs, parts, "wanted").groupBy("a", "b").agg(
-        F.max("wanted").alias("_wanted"), F.array_sort(F.collect_set(F.struct("fragment", F.slice(apart, F.lit(1), F.col("wanted")).alias("apart")))).alias("_all"))
-    first = by_pair.select("a", "b", F.slice(F.flatten("_all.apart"), F.lit(1), F.col("_wanted")).alias("first"))
-    return pairs.join(first, ["a", "b"])
+    left, found = pairs.select("a", "b", "wanted"), []
+    for k, some in enumerate(_passes(parts)):
+        rows = _sides(left, some, "wanted").groupBy("a", "b").agg(F.max("wanted").alias("_wanted"), F.array_sort(
+            F.collect_set(F.struct("fragment", F.slice(apart, F.lit(1), F.col("wanted")).alias("apart")))).alias("_all"))
+        cut = F.slice(F.flatten("_all.apart"), F.lit(1), F.col("_wanted"))
+        found.append(stored(rows.select("a", "b", "_wanted", F.lit(k).alias("_pass"), cut.alias("_cut")), "jaccard-prefixes"))
+        left = found[-1].select("a", "b", (F.col("_wanted") - F.size("_cut")).alias("wanted")).where("wanted > 0")
+    every = functools.reduce(DataFrame.unionByName, found)
+    first = every.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("_pass", "_cut"))).alias("_all"))
+    return pairs.join(first.select("a", "b", F.flatten("_all._cut").alias("first")), ["a", "b"])
 
 
 def _sides(pairs: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
@@ -275,7 +290,7 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     # most texts have no partner and stay where they are
     some = maybe_in(rows.select(F.col("_id").alias("id"), "_text"), "id", wanted, "_least")
     held = some.join(wanted, F.col("id").eqNullSafe(F.col("_least")))
-    parts = stored(segments(held.select("node", "signature", "_text"), order, size), "jaccard-segments")
+    parts = stored(segments(held.select("node", "signature", "_text"), order, size), "jaccard-segments", by="fragment")
 
     links_if = f"100 * overlap >= {percent} * (n_a + n_b - overlap)"
     tested = stored(overlaps(stars, parts), "jaccard-tested")

@@ -94,9 +94,9 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read back."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder, in folders of ``by`` if given, and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     forget(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
