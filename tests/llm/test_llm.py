@@ -95,6 +95,30 @@ def test_jaccard_join_of_edited_copies(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, 4, 85)
 
 
+def test_maybe_in_loses_no_row(spark):
+    rows = spark.range(-50, 20_000).selectExpr("if(id < 0, null, id) as id", "id as key")
+    some = spark.range(0, 20_000, 70).selectExpr("if(id = 70, null, id) as key")
+    found = shared.maybe_in(rows, "id", some, "key")
+    assert found.columns == rows.columns
+    wanted = F.col("id").eqNullSafe(F.col("_k"))
+    assert found.join(some.select(F.col("key").alias("_k")), wanted).count() == 50 + some.count() - 1
+    assert found.count() < 1_000
+    assert shared.maybe_in(rows, "id", some.limit(0), "key").count() == 0
+
+
+def test_difference_prefixes_equal_sets(spark):
+    rng = random.Random(3)
+    sets = {n: {(f, rng.randint(0, 30)) for f in range(jaccard_join.FRAGMENTS) for _ in range(rng.randint(0, 12))} for n in range(6)}
+    parts = spark.createDataFrame([(n, f, sorted(h for g, h in s if g == f)) for n, s in sets.items() for f in range(jaccard_join.FRAGMENTS)],
+                                  "node long, fragment byte, part array<long>")
+    asked = [(a, b, rng.choice([1, 5, 40, 500])) for a in sets for b in sets if a < b]
+    pairs = spark.createDataFrame(asked, "a long, b long, wanted int")
+    got = {(r.a, r.b): list(r.first) for r in jaccard_join.difference_prefixes(pairs, parts).collect()}
+    assert got == {(a, b): [h for _, h in sorted(sets[a] ^ sets[b])][:k] for a, b, k in asked}
+    counts = {(r.a, r.b): (r.n_a, r.n_b, r.overlap) for r in jaccard_join.overlaps(pairs, parts.union(parts)).collect()}
+    assert counts == {(a, b): (len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a, b, _ in asked}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.linked(none(spark)).count() == 0
 
