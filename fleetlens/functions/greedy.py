@@ -4,22 +4,23 @@ A row is accepted when nothing blocks it; an accepted row blocks its key until
 its own ``until`` position.  Refused rows do not renew the block, so neither
 ``lag`` nor ``dropDuplicates`` gives the answer: it is a fold along the key.
 
-Most rows need no fold: a row further than the longest block from both its
-neighbours is accepted and blocks nobody.  Those are settled by an ordered
-scan; only contested rows go on.  Their fold is cut so that no task sees a whole
-key:
+Most rows need no fold: a row that no earlier row's block can reach, and whose
+own block ends before the next row, is accepted and blocks nobody.  Those are
+settled by an ordered scan (a running maximum of ``until``); only contested rows
+go on.  Their fold is cut so that no task sees a whole key:
 
 1. every (key, segment) reports a step function: block in force on entry ->
-   block in force on exit.  Only entries no later than the longest block are
-   listed, and runs with the same exit once;
+   block in force on exit.  Only entries that a block of an earlier row can
+   reach are listed, and runs with the same exit once;
 2. the reports of ``FAN`` neighbouring segments are composed to one step
-   function, which again lists only the entries within one block;
+   function, which again lists only the entries that can be reached;
 3. the composed functions are followed per key, then inside every group of
    segments, which gives each segment the block it starts under;
 4. every segment replays itself from that block.
 
-Groups in 2 and 3 hold step functions, not rows: their size follows the block
-length times ``FAN``.
+Groups in 2 and 3 hold step functions, not rows: their size follows the blocks
+that reach into a segment, times ``FAN``.  No bound of the blocks is assumed;
+the reach of each segment is taken from the rows before it.
 """
 
 from __future__ import annotations
@@ -119,29 +120,27 @@ def greedy_accept(
     until: str,
     tie: str,
     segment: str,
-    max_block: int,
     scan_segment: str | None = None,
 ) -> DataFrame:
     """Keep every row and add ``accepted``.
 
-    ``at`` and ``until`` are bigint positions with ``at < until <= at +
-    max_block``; a row at ``until`` or later is free again.  ``tie`` orders
-    rows at one position.  ``segment`` must not decrease along ``at``; neither
+    ``at`` and ``until`` are bigint positions with ``at < until``, however far
+    apart; a row at ``until`` or later is free again.  ``tie`` orders rows at
+    one position.  ``segment`` must not decrease along ``at``; neither
     must ``scan_segment``, a finer one for the scan that settles most rows.
     """
     keys = list(keys)
-    near = F.lit(max_block)
-    scanned = ordered_scan(df, keys, [at, tie], scan_segment or segment, lag={"__before": at}, lead={"__after": at})
-    alone = F.coalesce(F.col(at) - F.col("__before") >= near, F.lit(True)) & F.coalesce(
-        F.col("__after") - F.col(at) >= near, F.lit(True)
+    scanned = ordered_scan(
+        df, keys, [at, tie], scan_segment or segment, lead={"__after": at}, running_max_before={"__reach": until}
     )
+    alone = F.coalesce(F.col(at) >= F.col("__reach"), F.lit(True)) & F.coalesce(F.col("__after") >= F.col(until), F.lit(True))
     settled = scanned.filter(alone).select(*df.columns, F.lit(True).alias("accepted"))
-    contested = scanned.filter(~alone).select(*df.columns)
-    return settled.unionByName(_fold(contested, keys, at, until, tie, segment, max_block))
+    contested = scanned.filter(~alone).select(*df.columns, F.coalesce("__reach", F.col(at)).alias("__reach"))
+    return settled.unionByName(_fold(contested, keys, at, until, tie, segment))
 
 
 def _fold(
-    df: DataFrame, keys: list[str], at: str, until: str, tie: str, segment: str, max_block: int
+    df: DataFrame, keys: list[str], at: str, until: str, tie: str, segment: str
 ) -> DataFrame:
     on = [*keys, segment]
     never = int(np.iinfo(np.int64).min)
@@ -150,35 +149,36 @@ def _fold(
     segment_field = T.StructField(segment, df.schema[segment].dataType)
     group_field = T.StructField(group, T.LongType())
     step_fields = [
-        T.StructField("first", T.LongType()),
+        T.StructField("reach", T.LongType()),
         T.StructField("entries", T.ArrayType(T.LongType())),
         T.StructField("exits", T.ArrayType(T.LongType())),
     ]
 
     def steps_frame(groups: list[pd.DataFrame], columns: list[str], steps: Callable) -> pd.DataFrame:
         rows = [(*(g[c].iat[0] for c in columns), *steps(g)) for g in groups]
-        return pd.DataFrame(rows, columns=[*columns, "first", "entries", "exits"])
+        return pd.DataFrame(rows, columns=[*columns, "reach", "entries", "exits"])
 
     def report(g: pd.DataFrame):
         pos, end = g[at].to_numpy(np.int64), g[until].to_numpy(np.int64)
-        return int(pos[0]), *_steps(pos, _exits(pos, end), int(pos[0]) + max_block)
+        reach = int(g["__reach"].iat[0])
+        return reach, *_steps(pos, _exits(pos, end), reach)
 
     grouped = df.withColumn(group, F.floor(F.col(segment) / F.lit(FAN)).cast("long"))
     reports = _map_groups(
-        grouped.select(*on, group, at, until, tie), on, [at, tie],
+        grouped.select(*on, group, at, until, tie, "__reach"), on, [at, tie],
         lambda groups: steps_frame(groups, [*on, group], report),
         T.StructType([*key_fields, segment_field, group_field, *step_fields]),
     )
 
     def compose(g: pd.DataFrame):
-        first = int(g["first"].iat[0])
+        reach = int(g["reach"].iat[0])
         entries = exits = np.empty(0, dtype=np.int64)
         for own_entries, own_exits in zip(g["entries"][::-1], g["exits"][::-1]):
             own_entries, own_exits = np.asarray(own_entries), np.asarray(own_exits)
             if len(entries):
                 own_exits = _follow(entries, exits, own_exits)
             entries, exits = np.r_[own_entries, entries], np.r_[own_exits, exits]
-        return first, *_steps(entries, exits, first + max_block)
+        return reach, *_steps(entries, exits, reach)
 
     composed = _map_groups(
         reports, [*keys, group], [segment],
@@ -210,9 +210,9 @@ def _fold(
         keep = [
             accept_in_order(g[at].to_numpy(np.int64), g[until].to_numpy(np.int64), int(g["__blocked"].iat[0])) for g in groups
         ]
-        return pd.concat(groups).drop(columns="__blocked").assign(accepted=np.concatenate(keep))
+        return pd.concat(groups).drop(columns=["__blocked", "__reach"]).assign(accepted=np.concatenate(keep))
 
     return _map_groups(
         df.join(segment_entry, on), on, [at, tie], replay,
-        T.StructType([*df.schema.fields, T.StructField("accepted", T.BooleanType())]),
+        T.StructType([*(f for f in df.schema.fields if f.name != "__reach"), T.StructField("accepted", T.BooleanType())]),
     )

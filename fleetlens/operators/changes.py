@@ -215,9 +215,7 @@ def reject_replays(tasks: DataFrame, segment_seconds: int = 21_600) -> DataFrame
             "hour": number_segment("received_us", 3_600 * second),
         }
     )
-    judged = greedy_accept(
-        work, ["nonce"], "received_us", "expires_us", "task_id", "segment", MAX_ENVELOPE_SECONDS * second, "hour"
-    )
+    judged = greedy_accept(work, ["nonce"], "received_us", "expires_us", "task_id", "segment", "hour")
     verdict = F.when(F.col("accepted"), "accepted").otherwise("replay")
     late = tasks.filter(~in_time).withColumn("verdict", F.lit("expiry"))
     return judged.withColumn("verdict", verdict).drop("segment", "hour", "accepted").unionByName(late)

@@ -54,20 +54,29 @@ def structure_digest(columns: DataFrame, indexes: DataFrame, foreign_keys: DataF
     """Digest of each table's normalised structure.
 
     ``columns``: ``table_name, ordinal, column_name, data_type, column_type,
-    is_nullable, extra, generation``; ``indexes``: ``table_name, index_name,
-    seq, column_name, index_type``; ``foreign_keys``: ``table_name,
+    is_nullable, character_maximum_length, numeric_precision, numeric_scale,
+    datetime_precision, extra, generation``; ``indexes``: ``table_name,
+    index_name, non_unique, seq, column_name, sub_part, index_type``;
+    ``foreign_keys``: ``table_name,
     constraint_name, ordinal, column_name, referenced, update_rule,
     delete_rule``.  The position is part of every line, which binds the order.
     """
+    def known(*names: str) -> list[Column]:
+        return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+
     cols = columns.select(
         "table_name",
         line_of([
             F.lit("column"), F.col("ordinal"), F.col("column_name"), F.lower("data_type"), normalize_column_type(F.col("column_type")),
-            F.upper("is_nullable"), normalize_extra(F.col("extra")), F.array_join(words(F.lower("generation")), " "),
+            F.upper("is_nullable"), *known("character_maximum_length", "numeric_precision", "numeric_scale", "datetime_precision"),
+            normalize_extra(F.col("extra")), F.array_join(words(F.lower("generation")), " "),
         ]).alias("line"),
     )
     idx = indexes.select(
-        "table_name", line_of([F.lit("index"), F.col("index_name"), F.col("seq"), F.col("column_name"), F.upper("index_type")]).alias("line")
+        "table_name",
+        line_of([
+            F.lit("index"), F.col("index_name"), F.col("non_unique"), F.col("seq"), F.col("column_name"), *known("sub_part"), F.upper("index_type"),
+        ]).alias("line"),
     )
     fks = foreign_keys.select(
         "table_name",
@@ -83,20 +92,28 @@ def schema_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Catalogue rows of DataFrames, in the form :func:`structure_digest` reads."""
     spark = next(iter(tables.values())).sparkSession
     rows = [
-        (name, i, f.name, f.dataType.simpleString(), f.dataType.simpleString(), "YES" if f.nullable else "NO", "", "")
+        (name, i, f.name, f.dataType.typeName(), f.dataType.simpleString(), "YES" if f.nullable else "NO", "",
+         str(getattr(f.dataType, "precision", "")), str(getattr(f.dataType, "scale", "")), "", "", "")
         for name, df in tables.items()
         for i, f in enumerate(df.schema.fields, 1)
     ]
     from fleetlens.functions.rules import small_table
 
-    names = ["table_name", "ordinal", "column_name", "data_type", "column_type", "is_nullable", "extra", "generation"]
+    names = [
+        "table_name", "ordinal", "column_name", "data_type", "column_type", "is_nullable", "character_maximum_length",
+        "numeric_precision", "numeric_scale", "datetime_precision", "extra", "generation",
+    ]
     return small_table(spark, rows, names)
 
 
-def table_manifest(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+def table_manifest(
+    tables: Mapping[str, tuple[DataFrame, Sequence[str]]], indexes: DataFrame | None = None, foreign_keys: DataFrame | None = None
+) -> DataFrame:
     """One row per table: rows, data digest and structure digest.
 
-    All tables are digested in one job.
+    ``indexes`` and ``foreign_keys`` as in :func:`structure_digest`; without
+    them the structure is that of the columns.  All tables are digested in one
+    job.
     """
     parts = [
         df.agg(*multiset_parts(line_of(cols), "__")).select(
@@ -107,12 +124,14 @@ def table_manifest(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> Dat
     data = reduce(DataFrame.unionByName, parts)
     cols = schema_columns({n: df.select(*c) for n, (df, c) in tables.items()})
     nothing = cols.filter("false")
-    no_indexes = nothing.selectExpr("table_name", "'' AS index_name", "0 AS seq", "'' AS column_name", "'' AS index_type")
+    no_indexes = nothing.selectExpr("table_name", "'' AS index_name", "0 AS non_unique", "0 AS seq", "'' AS column_name", "'' AS sub_part", "'' AS index_type")
     no_keys = nothing.selectExpr(
         "table_name", "'' AS constraint_name", "0 AS ordinal", "'' AS column_name", "'' AS referenced", "'' AS update_rule", "'' AS delete_rule"
     )
-    structure = structure_digest(cols, no_indexes, no_keys).drop("parts")
-    return data.join(structure, "table_name").orderBy("table_name")
+    structure = structure_digest(
+        cols, no_indexes if indexes is None else indexes, no_keys if foreign_keys is None else foreign_keys
+    ).drop("parts")
+    return data.join(structure, "table_name", "left").orderBy("table_name")
 
 
 def verify_tables(source: DataFrame, target: DataFrame) -> DataFrame:

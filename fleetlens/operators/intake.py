@@ -135,14 +135,14 @@ def suppress_repeat_commands(
 
 
 def suppress_within_ttl(
-    attempts: DataFrame, key: str = "run_id", ttl_seconds: int = TTL_SECONDS, max_run_seconds: int = 900, segment_seconds: int = 21_600
+    attempts: DataFrame, key: str = "run_id", ttl_seconds: int = TTL_SECONDS, segment_seconds: int = 21_600
 ) -> DataFrame:
     """Mark audit attempts that the guard lets through.
 
     Input: ``<key>, attempt_id, started_us, finished_us, handled``.  An
     accepted attempt blocks until it ends, and when it was handled for the TTL
     after that (the last microsecond included); refused ones change nothing.
-    Attempts run at most ``max_run_seconds``.
+    An attempt may run for any time.
     """
     second = 1_000_000
     until = F.when(F.col("handled"), F.col("finished_us") + ttl_seconds * second + 1).otherwise(F.col("finished_us"))
@@ -153,5 +153,4 @@ def suppress_within_ttl(
             "hour": number_segment("started_us", 3_600 * second),
         }
     )
-    block = (ttl_seconds + max_run_seconds) * second + 1
-    return greedy_accept(work, [key], "started_us", "until_us", "attempt_id", "segment", block, "hour").drop("until_us", "segment", "hour")
+    return greedy_accept(work, [key], "started_us", "until_us", "attempt_id", "segment", "hour").drop("until_us", "segment", "hour")

@@ -323,19 +323,21 @@ def capability_matrix(heartbeats: DataFrame, tools: Sequence[str] = ("ansible",
 def telemetry_rollup(df: DataFrame, value: str, ts: str = "seen_at", grain: str = "1 hour") -> DataFrame:
     """Average, maximum and 95th percentile of a percent column per host and window.
 
-    Percents carry one decimal, so the exact percentile needs at most 1001
-    counts per group.
+    Average and maximum are of the values as they are; the average is summed in
+    decimals of ten places, so it does not depend on the order.  The percentile
+    is that of tenths, whose histogram has at most 1001 counts per group.
     """
     from fleetlens.operators.checks import nearest_rank
 
     tenths = df.select(
-        "host_id", F.window(ts, grain)["start"].alias("window_start"), F.round(F.col(value) * 10).cast("long").alias("tenths")
+        "host_id", F.window(ts, grain)["start"].alias("window_start"), F.round(F.col(value) * 10).cast("long").alias("tenths"),
+        F.col(value).alias("raw"), F.col(value).try_cast("decimal(28,10)").alias("exact"),
     )
     keys = ["host_id", "window_start"]
     summary = tenths.groupBy(*keys).agg(
-        F.count("tenths").alias("samples"),
-        (F.sum("tenths") / F.count("tenths") / 10).alias("avg_value"),
-        (F.max("tenths") / 10).alias("max_value"),
+        F.count("raw").alias("samples"),
+        F.try_divide(F.sum("exact").cast("double"), F.count("exact")).alias("avg_value"),
+        F.max("raw").alias("max_value"),
     )
     tail = nearest_rank(tenths, keys, "tenths", {"p95": 0.95})
     return summary.join(tail, keys, "left").withColumn("p95_value", F.col("p95") / 10).drop("p95")

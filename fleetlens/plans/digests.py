@@ -86,8 +86,13 @@ CATALOGUE = project(
     "CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'NO' END AS is_nullable",
     "CASE p_size % 4 WHEN 0 THEN 'default_generated on update  now' WHEN 1 THEN ' persistent generated' ELSE '' END AS extra",
     "CASE WHEN p_size % 5 = 0 THEN 'LOWER( x )  + 1' ELSE '' END AS generation",
+    "CASE WHEN p_size % 3 = 1 THEN p_size END AS character_maximum_length", "CASE WHEN p_size % 3 <> 1 THEN 10 + p_size % 7 END AS numeric_precision",
+    "CASE WHEN p_size % 3 <> 1 THEN p_size % 4 END AS numeric_scale", "CASE WHEN p_size % 13 = 0 THEN 6 END AS datetime_precision",
+)
+INDEXES = project(
+    "part", "p_brand AS table_name", "p_type AS index_name", "p_size % 2 AS non_unique", "p_size AS seq", "p_name AS column_name",
+    "CASE WHEN p_size % 3 = 0 THEN p_size END AS sub_part", "'btree' AS index_type", where="p_size % 7 = 0",
 )
-INDEXES = project("part", "p_brand AS table_name", "p_type AS index_name", "p_size AS seq", "p_name AS column_name", "'btree' AS index_type", where="p_size % 7 = 0")
 FOREIGN_KEYS = project(
     "part", "p_brand AS table_name", "p_type AS constraint_name", "p_size AS ordinal", "p_name AS column_name", "'t.c' AS referenced",
     "'cascade' AS update_rule", "'Restrict' AS delete_rule", where="p_size % 11 = 0",
@@ -98,8 +103,8 @@ _EXTRA_SQL = "trim(regexp_replace(replace(replace(upper(trim(extra)), 'DEFAULT_G
 
 @query(
     "structure_digest",
-    f"""WITH l AS (SELECT table_name, concat_ws(chr(9), 'column', ordinal, column_name, lower(data_type), {_TYPE_SQL}, upper(is_nullable), {_EXTRA_SQL}, trim(regexp_replace(lower(generation), '\\s+', ' ', 'g'))) AS line FROM {CATALOGUE.sql}
-      UNION ALL SELECT table_name, concat_ws(chr(9), 'index', index_name, seq, column_name, upper(index_type)) FROM {INDEXES.sql}
+    f"""WITH l AS (SELECT table_name, concat_ws(chr(9), 'column', ordinal, column_name, lower(data_type), {_TYPE_SQL}, upper(is_nullable), coalesce(CAST(character_maximum_length AS VARCHAR), ''), coalesce(CAST(numeric_precision AS VARCHAR), ''), coalesce(CAST(numeric_scale AS VARCHAR), ''), coalesce(CAST(datetime_precision AS VARCHAR), ''), {_EXTRA_SQL}, trim(regexp_replace(lower(generation), '\\s+', ' ', 'g'))) AS line FROM {CATALOGUE.sql}
+      UNION ALL SELECT table_name, concat_ws(chr(9), 'index', index_name, non_unique, seq, column_name, coalesce(CAST(sub_part AS VARCHAR), ''), upper(index_type)) FROM {INDEXES.sql}
       UNION ALL SELECT table_name, concat_ws(chr(9), 'foreign key', constraint_name, ordinal, column_name, referenced, upper(update_rule), upper(delete_rule)) FROM {FOREIGN_KEYS.sql}),
     d AS (SELECT table_name, sha256(line) AS h FROM l) SELECT table_name, {digest_sql()} AS structure_digest, count(*) AS parts FROM d GROUP BY table_name""",
 )

@@ -172,7 +172,8 @@ def suppress_repeat_commands(spark, sf):
 
 
 ATTEMPTS = project(
-    EVENTS, "'r' || CAST(user_id % 3 AS STRING) AS run_id", "event_id AS attempt_id", "at_us AS started_us", "at_us + (k + 1) * 5000000 AS finished_us", "k % 4 <> 0 AS handled",
+    EVENTS, "'r' || CAST(user_id % 3 AS STRING) AS run_id", "event_id AS attempt_id", "at_us AS started_us",
+    "at_us + CASE WHEN k % 97 = 0 THEN 10800000000 WHEN k % 89 = 0 THEN 3600000000 ELSE (k + 1) * 5000000 END AS finished_us", "k % 4 <> 0 AS handled",
 )
 
 

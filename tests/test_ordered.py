@@ -38,13 +38,13 @@ def test_ordered_scan(spark, seed, width):
             lag_v, lag_id, top = v, i, w if top is None else max(top, w)
 
 
-@pytest.mark.parametrize("seed,width,fan,block", [(1, 10, 2, 60), (2, 35, 3, 200), (3, 500, 64, 90), (4, 20, 2, 1), (5, 15, 3, 6)])
+@pytest.mark.parametrize("seed,width,fan,block", [(1, 10, 2, 60), (2, 35, 3, 200), (3, 500, 64, 90), (4, 20, 2, 1), (5, 15, 3, 6), (6, 10, 2, 5_000)])
 def test_greedy_accept(spark, monkeypatch, seed, width, fan, block):
     monkeypatch.setattr(greedy, "FAN", fan)
     rng = random.Random(seed)
-    rows = [(k, at, at + rng.randint(1, block), i) for k, at, i, _, _ in skewed_rows(seed)]
+    rows = [(k, at, at + rng.randint(1, block if rng.random() < 0.9 else 20 * block), i) for k, at, i, _, _ in skewed_rows(seed)]
     df = spark.createDataFrame(rows, "key string, at long, until long, id long").withColumn("segment", number_segment("at", width))
-    got = {r.id for r in greedy_accept(df, ["key"], "at", "until", "id", "segment", block).filter("accepted").collect()}
+    got = {r.id for r in greedy_accept(df, ["key"], "at", "until", "id", "segment").filter("accepted").collect()}
     want, blocked = set(), {}
     for k, at, until, i in sorted(rows, key=lambda r: (r[1], r[3])):
         if at >= blocked.get(k, -1):

@@ -239,3 +239,24 @@ def test_no_slots_in_an_empty_range(spark):
     monitors = spark.sql("SELECT 1 AS monitor_id, true AS enabled, 60 AS interval_seconds")
     results = spark.sql("SELECT 1 AS monitor_id, timestamp'2024-01-01 00:00:00' AS checked_at").limit(0)
     assert checks.missed_checks(results, monitors, at, at).count() == 0
+
+
+def test_rollup_keeps_decimals(spark):
+    df = spark.sql("SELECT 'h' AS host_id, timestamp'2024-01-01 00:00:00' AS seen_at, CAST(v AS DOUBLE) AS v FROM VALUES (0.04), (0.04), (1234.567), (null) AS t(v)")
+    row = telemetry.telemetry_rollup(df, "v").first()
+    assert (row.samples, row.max_value) == (3, 1234.567)
+    assert abs(row.avg_value - 1234.647 / 3) < 1e-9
+
+
+def test_dropping_unique_changes_the_structure(spark):
+    keys = spark.sql("SELECT '' AS table_name, '' AS constraint_name, 0 AS ordinal, '' AS column_name, '' AS referenced, '' AS update_rule, '' AS delete_rule").limit(0)
+    table = {"t": (spark.range(3), ["id"])}
+
+    def manifest(non_unique: int, prefix: str):
+        indexes = spark.sql(f"SELECT 't' AS table_name, 'i' AS index_name, {non_unique} AS non_unique, 1 AS seq, 'id' AS column_name, {prefix} AS sub_part, 'btree' AS index_type")
+        return digests.table_manifest(table, indexes, keys)
+
+    same, dropped, shorter = manifest(0, "NULL"), manifest(1, "NULL"), manifest(0, "4")
+    assert digests.verify_tables(same, manifest(0, "NULL")).first().equal
+    assert digests.verify_tables(same, dropped).first().reason == "structure"
+    assert digests.verify_tables(same, shorter).first().reason == "structure"
