@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.shared import following
+from fleetlens.llm.shared import following, stored
 
 SAMPLES = 16
 _WORD = r"[\x20\x09-\x0D]+"
@@ -83,19 +83,22 @@ def edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     The next row is that of the next larger key (of rows with one key, that with the smallest text hash); after the last
     key, and after a null key, comes the first. Where all keys are null, nothing follows.
     """
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    sizes = rows.groupBy("_id").agg(F.max(F.length("_text")).alias("_n"))
+    # ids as text, '' for null: both joins with texts are then on one column without nulls and share one shuffle of them
+    name = F.coalesce(F.col(key).cast("long").cast("string"), F.lit(""))
+    rows = docs.select(name.alias("_k"), F.coalesce(text, F.lit("")).alias("_text"))
+    sizes = rows.groupBy("_k").agg(F.max(F.length("_text")).alias("_n"))
     first = docs.agg(F.min(F.col(key).cast("long"))).first()[0]
-    ids = following(docs, key).select(F.col(key).alias("_key"), F.col("following"))
-    after = sizes.join(ids, F.col("_id") == F.col("_key"), "left").select(
-        F.col("_id").alias("_before"), F.expr("_n div 4").alias("_quarter"), F.coalesce("following", F.lit(first).cast("long")).alias("_next"))
-    starts = after.join(rows, F.col("_next") == F.col("_id")).select(
+    ids = following(docs, key).select(F.col(key).cast("string").alias("_key"), F.col("following"))
+    after = sizes.join(ids, F.col("_k") == F.col("_key"), "left").select(
+        F.col("_k").alias("_before"), F.expr("_n div 4").alias("_quarter"), F.coalesce("following", F.lit(first).cast("long")).cast("string").alias("_next"))
+    starts = after.join(rows, F.col("_next") == F.col("_k")).select(
         "_before", "_next", F.xxhash64("_text").alias("_h"), F.substring("_text", F.lit(1), F.col("_quarter").cast("int")).alias("_start"))
-    starts = starts.groupBy("_before", "_next").agg(F.min(F.struct("_h", "_start")).alias("_s"))
+    starts = starts.groupBy("_before").agg(F.min(F.struct("_next", "_h", "_start")).alias("_s"))
     quarter = F.expr("cast(length(_text) div 4 as int)")
-    joined = rows.join(starts, F.col("_id").eqNullSafe(F.col("_before")), "left")
+    joined = rows.join(starts, F.col("_k") == F.col("_before"), "left")
     whole = F.concat(F.substring("_text", F.lit(1), F.length("_text") - quarter), F.coalesce(F.substring("_s._start", F.lit(1), quarter), F.lit("")))
-    return joined.select("_id", "_next", "_text", whole.alias("_edited"))
+    return joined.select(
+        F.nullif(F.col("_k"), F.lit("")).cast("long").alias("_id"), F.col("_s._next").cast("long").alias("_next"), "_text", whole.alias("_edited"))
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
@@ -110,6 +113,7 @@ def fingerprinted(docs: DataFrame, text: str = "text", key: str = "doc_id", samp
     found = sampled(both, ["_id", "_next", "_n", "_h", "_sha", "_which"], "_body", samples)
     one = found.groupBy("_id", "_next", "_n", "_h", "_sha").agg(
         F.max("copies").alias("_copies"), F.max(F.when(F.col("_which") == 0, F.col("samples"))).alias("_a"), F.max(F.when(F.col("_which") == 1, F.col("samples"))).alias("_b"))
+    one = stored(one, "weighted-samples")  # read twice
     nexts = one.where("_id is not null").groupBy(F.col("_id").alias("_key")).agg(F.min(F.struct("_h", "_a")).alias("_x"))
     near = one.join(nexts, F.col("_next") == F.col("_key"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return near.select(
