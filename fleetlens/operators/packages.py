@@ -178,11 +178,16 @@ def paginate(
     return paged.join(refused, "capture_id", "left_anti"), too_many.unionByName(refused)
 
 
-def page_counts(captures: DataFrame, paged: DataFrame) -> DataFrame:
-    """Pages of every capture; an empty capture has one empty page."""
+def page_counts(captures: DataFrame, paged: DataFrame, refused: DataFrame) -> DataFrame:
+    """Pages of every capture; an empty capture has one empty page.
+
+    A refused capture (``capture_id, reason``, as of :func:`paginate`) has its reason and no numbers.
+    """
     pages = paged.groupBy("capture_id").agg((F.max("page") + 1).alias("pages"), F.count("*").alias("packages"))
-    return captures.join(pages, "capture_id", "left").select(
-        "capture_id", F.coalesce("pages", F.lit(1)).alias("pages"), F.coalesce("packages", F.lit(0)).alias("packages")
+    accepted = F.col("reason").isNull()
+    return captures.join(pages, "capture_id", "left").join(refused, "capture_id", "left").select(
+        "capture_id", F.when(accepted, F.coalesce("pages", F.lit(1))).alias("pages"),
+        F.when(accepted, F.coalesce("packages", F.lit(0))).alias("packages"), "reason",
     )
 
 

@@ -91,7 +91,7 @@ def capture_status(spark, sf):
 
 
 INVENTORY = project(
-    "part", "p_brand AS capture_id", "'pkg-' || p_name || CAST(p_partkey AS STRING) AS name", "CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'i386' END AS architecture",
+    "part", "p_brand || '-' || CAST(CAST(floor(p_partkey / 2000) AS BIGINT) AS STRING) AS capture_id", "'pkg-' || p_name || CAST(p_partkey AS STRING) AS name", "CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'i386' END AS architecture",
     "CAST(60 + p_size * 3 AS BIGINT) AS row_bytes", "CAST(200 AS BIGINT) AS overhead",
 )
 PAGES_SQL = f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER w AS rn, CAST(sum(row_bytes + 1) OVER w AS BIGINT) AS upto FROM {INVENTORY.sql} WINDOW w AS (PARTITION BY capture_id ORDER BY name, architecture)),
@@ -111,14 +111,17 @@ def paginate(spark, sf):
 
 @query(
     "page_counts",
-    f"""WITH c AS (SELECT p_brand AS capture_id FROM part UNION SELECT 'Brand#' || p_size FROM part), n AS (SELECT capture_id, count(*) AS packages FROM {INVENTORY.sql} GROUP BY 1)
-    SELECT c.capture_id, CAST(coalesce((packages + 6) // 7, 1) AS INT) AS pages, coalesce(packages, 0) AS packages FROM c LEFT JOIN n ON n.capture_id = c.capture_id""",
+    f"""WITH c AS (SELECT capture_id FROM {INVENTORY.sql} UNION SELECT 'Brand#' || p_size FROM part), n AS (SELECT capture_id, count(*) AS packages FROM {INVENTORY.sql} GROUP BY 1),
+    r AS (SELECT capture_id, packages, CASE WHEN packages > 80 THEN 'package budget exceeded' END AS reason FROM n)
+    SELECT c.capture_id, CASE WHEN reason IS NULL THEN CAST(coalesce((packages + 6) // 7, 1) AS INT) END AS pages, CASE WHEN reason IS NULL THEN coalesce(packages, 0) END AS packages, reason
+    FROM c LEFT JOIN r ON r.capture_id = c.capture_id""",
 )
 def page_counts(spark, sf):
-    parts = project("part", "p_brand AS capture_id", "'Brand#' || CAST(p_size AS STRING) AS other").frame(spark, sf)
-    captures = parts.select("capture_id").union(parts.select("other")).distinct()
-    pages, _ = op.paginate(INVENTORY.frame(spark, sf), max_rows=7, max_pages=100_000)
-    return op.page_counts(captures, pages)
+    inventory = INVENTORY.frame(spark, sf)
+    empty = project("part", "'Brand#' || CAST(p_size AS STRING) AS capture_id").frame(spark, sf)
+    captures = inventory.select("capture_id").union(empty).distinct()
+    pages, refused = op.paginate(inventory, max_rows=7, max_pages=100_000, max_packages=80)
+    return op.page_counts(captures, pages, refused)
 
 
 PAGES = project(

@@ -189,6 +189,8 @@ def test_paginate_limits(spark):
     pages, refused = packages.paginate(df, max_rows=3, max_bytes=50 + 201, max_pages=40, max_packages=10)
     assert [r.page for r in pages.orderBy("name").collect()] == [0, 0, 1, 1, 2]
     assert [tuple(r) for r in refused.collect()] == [("big", "package exceeds page budget")]
+    counted = packages.page_counts(df.select("capture_id").distinct(), pages, refused).orderBy("capture_id").collect()
+    assert [tuple(r) for r in counted] == [("big", None, None, "package exceeds page budget"), ("c", 3, 5, None)]
     _, few = packages.paginate(df, max_rows=3, max_bytes=251, max_pages=2, max_packages=4)
     assert {tuple(r) for r in few.collect()} == {("c", "package budget exceeded"), ("big", "package exceeds page budget")}
 
