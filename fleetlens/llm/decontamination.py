@@ -3,17 +3,21 @@
 Texts are brought to one form: numbers, the units after them and names (capitalised words after a word in small letters or
 a comma) become typed slots that keep their value aside; all else is lower-cased words. Windows of WINDOW tokens, slots
 without their values, are hashed and joined with those of the benchmark items. Where a window matches, slots stand opposite
-each other; over all matching windows of a document and an item, the slots of one benchmark value should stand opposite one
-value in the document, changed or not. So a question asked again with other numbers or names is found, while texts
+each other; over the matching windows of one place of an item in a document, the slots of one benchmark value should stand opposite
+one value in the document, changed or not. So a question asked again with other numbers or names is found, while texts
 that merely share a common form, with values all over, are not.
 
+The place is the alignment, the document's position less the item's. Each is judged for itself, then each run of near ones
+(words put in or left out shift the rest of an item), then all together; the item is found if any of these passes. So an
+item that a document holds twice, with different values, is found.
+
 Benchmark windows are joined by broadcast only while they are at most BROADCAST rows, which is counted first; else by a
 shuffle. The values of slots are compared for matching windows only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 8
@@ -70,10 +74,21 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
     hits = windows(rows.withColumn("_twin", F.xxhash64("_text")), ["_key", "_twin"], "_text", size).join(lists, "h")
     hits = hits.select("_key", "_twin", "at", F.explode("_places").alias("_p")).select("_key", "_twin", "at", "_p._item", "_p._item_at")
-    found = hits.groupBy("_key", "_twin", "_item").agg(
-        F.countDistinct("_item_at").alias("_matched"), F.collect_set(F.struct("at", "_item_at")).alias("_pairs"))
-    sizes = of_items.groupBy("_item").agg(F.count("*").alias("_windows"))
-    found = found.join(sizes, "_item").where(F.col("_matched") >= F.least(F.lit(ENOUGH), F.col("_windows")))
+    sizes = of_items.groupBy("_item").agg(F.count("*").alias("_windows"), (F.max("at") + size).alias("_length"))
+    pair = ["_key", "_twin", "_item"]
+    placed = hits.withColumn("_d", F.col("at") - F.col("_item_at")).groupBy(*pair, "_d").agg(F.collect_set("_item_at").alias("_ats")).join(sizes, "_item")
+    by_place = Window.partitionBy(*pair).orderBy("_d")
+    apart = F.col("_d") - F.lag("_d").over(by_place) > F.greatest(F.lit(size - 1), F.floor(F.col("_length") / 2))
+    placed = placed.withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_run", F.sum("_apart").over(by_place))
+    over = lambda *by: F.struct(F.min("_d").over(Window.partitionBy(*by)).alias("lo"), F.max("_d").over(Window.partitionBy(*by)).alias("hi"))
+    placed = placed.withColumn("_of_run", over(*pair, "_run")).withColumn("_of_all", over(*pair))
+    # alignments, runs of them and all; what is the same comes once
+    spans = F.array_distinct(F.array(F.struct(F.col("_d").alias("lo"), F.col("_d").alias("hi")), "_of_run", "_of_all"))
+    placed = placed.withColumn("_span", F.explode(spans)).withColumn("_pairs", F.transform("_ats", lambda a: F.struct(
+        (F.col("_d") + a).alias("at"), a.alias("_item_at"))))
+    found = placed.groupBy(*pair, "_span", "_windows").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
+    found = found.withColumn("_matched", F.size(F.array_distinct(F.transform("_pairs", lambda p: p["_item_at"]))).cast("long"))
+    found = found.where(F.col("_matched") >= F.least(F.lit(ENOUGH), F.col("_windows")))
 
     words_of = lambda rows, keys, body, name: rows.select(*keys, tokens(F.col(body)).alias(name))
     of_docs = words_of(rows.withColumn("_twin", F.xxhash64("_text")), ["_key", "_twin"], "_text", "_doc_words")

@@ -431,6 +431,18 @@ def test_decontamination(spark, odd):
     assert decontamination.marked(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_judges_each_alignment(spark):
+    item = "If Anna has 12 apples and gives 5 kg of them to Bob while she keeps the rest for a long winter then how many are left"
+    other = item.replace("12", "30").replace("5 kg", "7 kg").replace("Bob", "Carl")
+    third = other.replace("30", "44").replace("7 kg", "9 kg").replace("Carl", "Dora")
+    put_in = [t.replace("to", "very kindly to").replace("for a", "safely for a") for t in (other, third)]
+    docs = spark.createDataFrame([(0, f"{item} and now again {other}"), (1, f"{other} noise {third} noise"), (2, f"{put_in[0]} noise {put_in[1]}"), (3, "nothing " * 40)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.leaks(docs, items).collect()}
+    assert set(got) == {0, 1, 2} and all(r["item"] == 7 and r["consistency"] >= 0.8 for r in got.values())
+
+
 # queries and pipeline
 
 
