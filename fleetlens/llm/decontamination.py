@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates, in built-in expressions only.
 
 Texts are brought to one form: numbers, the units after them and names (capitalised words after a word in small letters or
-a comma) become typed slots that keep their value aside; all else is lower-cased words. Windows of WINDOW tokens, slots
+a comma; words that begin a sentence both as names and as words) become typed slots that keep their value aside; all else is lower-cased words. Windows of WINDOW tokens, slots
 without their values, are hashed and joined with those of the benchmark items. Where a window matches, slots stand opposite
 each other; over the matching windows of one place of an item in a document, the slots of one benchmark value should stand opposite
 one value in the document, changed or not. So a question asked again with other numbers or names is found, while texts
@@ -33,48 +33,72 @@ UNITS = ("percent", "kilometers", "kilometres", "meters", "metres", "miles", "fe
 
 
 def tokens(text: Column) -> Column:
-    """array<string>: words in small letters; slots as ``<n:value``, ``<u:value`` and ``<p:value``."""
+    """array<string>: words in small letters; slots as ``<n:value``, ``<u:value`` and ``<p:value``.
+
+    A capitalised word elsewhere, at the start of a sentence mostly, may be a name or not and comes as ``<s:value``.
+    """
     out = F.regexp_replace(text, r"[<>:]", " ")
     out = F.when(out.rlike("[0-9]"), F.regexp_replace(
         F.regexp_replace(out, r"[$€£]?(?<![\p{L}\p{N}])([0-9]+(?:[.,][0-9]+)*)(?![\p{L}\p{N}])", " <n:$1 "),
         r"(<n:[0-9.,]+)\s*(?:(%)|(" + "|".join(UNITS) + r")\b)", "$1 <u:$2$3 ")).otherwise(out)
     out = F.regexp_replace(out, r"(?<=[\p{Ll},] )(\p{Lu}[\p{Ll}][\p{L}'’-]*)", "<p:$1")
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}:'’-])(\p{Lu}[\p{Ll}][\p{L}'’-]*)", "<s:$1")
     return F.filter(F.split(F.lower(out), r"(?:[^\p{L}\p{N}<:.,%'’-]|(?<![0-9])[.,]|[.,](?![0-9])|['’-](?![\p{L}]))+"), lambda w: w != "")
 
 
-def _form(word: Column) -> Column:
-    return F.when(word.startswith("<"), F.substring(word, 1, 2)).otherwise(word)
-
-
-def windows(rows: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
-    """(keys, at, h) of the windows with enough plain words; a text of fewer tokens has one, of all."""
-    words = rows.select(*keys, tokens(F.col(text)).alias("_w"))
-    hashed = words.select(*keys, F.transform("_w", lambda w: F.when(w.startswith("<"), F.xxhash64(F.substring(w, 1, 2)).bitwiseOR(F.lit(1))).otherwise(
-        F.xxhash64(w).bitwiseAND(F.lit(-2)))).alias("_x"))
-    x = F.col("_x")
-    plain = lambda i: sum(((x[i + j].bitwiseAND(F.lit(1)) == 0).cast("int") for j in range(1, size)), (x[i].bitwiseAND(F.lit(1)) == 0).cast("int"))
-    full = F.transform(F.sequence(F.lit(0), F.size(x) - size), lambda i: F.xxhash64(*[x[i + j] for j in range(size)]))
-    exploded = hashed.where(F.size(x) >= size).select(*keys, "_x", F.posexplode(full).alias("at", "h"))
-    return exploded.where(plain(F.col("at")) >= PLAIN).select(*keys, "at", "h")
+def _all(terms: list[Column]) -> Column:
+    return sum(terms[1:], terms[0])
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text",
-          size: int = WINDOW) -> DataFrame:
-    """(key, item, n_matched, n_windows, consistency) of the documents that hold a benchmark item, its worst item each.
+def windows(rows: DataFrame, keys: list[str], text: str, size: int, short: list[int], whole: bool = False) -> DataFrame:
+    """(keys, at, h, exact, length) of the windows of each text, length its number of tokens.
 
-    Null or empty texts and items of fewer than ``size`` tokens match nothing. Documents of one key are one document. Ties
-    go to the smallest item id. Rows with a null key are not looked at.
+    A window of ``size`` tokens with enough plain words is hashed by words and types of slots, once with words at the start
+    of sentences as words and once with them as names. The other windows of ``size`` tokens, and those of as many tokens as
+    ``short`` has, are exact: hashed with their values. With ``whole`` only texts of such a number have short windows.
     """
+    words = rows.select(*keys, tokens(F.col(text)).alias("_w"))
+    bare = lambda w: F.when(w.startswith("<s:") | w.startswith("<p:"), F.substring(w, 4, 1_000_000_000)).otherwise(w)
+    slot = lambda w: F.xxhash64(F.substring(w, 1, 2)).bitwiseOR(F.lit(1))
+    plain = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2))
+    # the lowest bit of a hash tells slots from words
+    hashed = words.select(
+        *keys, F.size("_w").alias("length"),
+        F.transform("_w", lambda w: F.when(w.startswith("<s:"), plain(bare(w))).when(w.startswith("<"), slot(w)).otherwise(plain(w))).alias("_x"),
+        F.transform("_w", lambda w: F.when(w.startswith("<s:"), slot(F.lit("<p"))).when(w.startswith("<"), slot(w)).otherwise(plain(w))).alias("_y"),
+        F.transform("_w", lambda w: F.xxhash64(bare(w))).alias("_e"))
+    x, y, e = F.col("_x"), F.col("_y"), F.col("_e")
+    enough = lambda v, i: _all([v[i + j].bitwiseAND(F.lit(1)) for j in range(size)]) <= size - PLAIN
+    one = lambda i, h, exact: F.struct(i.alias("at"), h.alias("h"), F.lit(exact).alias("exact"))
+    form = lambda v, i: F.xxhash64(*[v[i + j] for j in range(size)])
+    exactly = lambda i, n: one(i, F.xxhash64(F.lit(n), *[e[i + j] for j in range(n)]), True)
+    starts = lambda n: F.when(F.col("length") >= n, F.sequence(F.lit(0), F.col("length") - n)).otherwise(F.array().cast("array<int>"))
+    at_start = lambda i: F.when(enough(y, i), F.array_distinct(F.array(one(i, form(x, i), False), one(i, form(y, i), False)))).otherwise(
+        F.array(one(i, form(x, i), False)))
+    full = F.flatten(F.transform(starts(size), lambda i: F.when(enough(x, i), at_start(i)).otherwise(F.array(exactly(i, size)))))
+    of = lambda n: F.when(F.col("length") == n, starts(n)).otherwise(F.array().cast("array<int>")) if whole else starts(n)
+    some = [(lambda n: F.transform(of(n), lambda i: exactly(i, n)))(n) for n in short]
+    return hashed.select(*keys, "length", F.explode(F.concat(full, *some) if some else full).alias("_o")).select(*keys, "length", "_o.*")
+
+
+def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str = "item_id", item_text: str = "text",
+           size: int = WINDOW, null_keys: bool = False) -> DataFrame:
+    """(_name, key, item, n_matched, n_windows, consistency); see ``leaks``. _name is ``_name_of`` the row."""
     spark = docs.sparkSession
     bench = items.select(F.col(item_key).alias("_item"), F.col(item_text).alias("_body")).where("_item is not null and _body is not null")
-    of_items = windows(bench, ["_item", "_body"], "_body", size)
+    short = [r["n"] for r in bench.select(F.size(tokens(F.col("_body"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < size)).distinct().collect()]
+    of_items = windows(bench, ["_item"], "_body", size, sorted(short), whole=True)
+    # exact windows serve the items that have no other
+    of_items = of_items.withColumn("_none", F.min("exact").over(Window.partitionBy("_item"))).where("not exact or _none").drop("_none")
     lists = of_items.groupBy("h").agg(F.collect_set(F.struct("_item", F.col("at").alias("_item_at"))).alias("_places"))
     n = lists.limit(BROADCAST + 1).count()
     lists = F.broadcast(lists) if n <= BROADCAST else lists
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
-    hits = windows(rows.withColumn("_twin", F.xxhash64("_text")), ["_key", "_twin"], "_text", size).join(lists, "h")
+    rows = docs.select(_name_of(text, key).alias("_key"), F.col(key).alias("_given"), F.col(text).alias("_text")).where("_text is not null")
+    rows = rows if null_keys else rows.where("_given is not null")
+    rows = rows.withColumn("_twin", F.xxhash64("_text"))
+    hits = windows(rows, ["_key", "_twin"], "_text", size, sorted(short)).drop("length", "exact").join(lists, "h")
     hits = hits.select("_key", "_twin", "at", F.explode("_places").alias("_p")).select("_key", "_twin", "at", "_p._item", "_p._item_at")
-    sizes = of_items.groupBy("_item").agg(F.count("*").alias("_windows"), (F.max("at") + size).alias("_length"))
+    sizes = of_items.groupBy("_item").agg(F.countDistinct("at").alias("_windows"), F.max("length").alias("_length"), F.max("exact").alias("_exact"))
     pair = ["_key", "_twin", "_item"]
     placed = hits.withColumn("_d", F.col("at") - F.col("_item_at")).groupBy(*pair, "_d").agg(F.collect_set("_item_at").alias("_ats")).join(sizes, "_item")
     by_place = Window.partitionBy(*pair).orderBy("_d")
@@ -86,30 +110,58 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     spans = F.array_distinct(F.array(F.struct(F.col("_d").alias("lo"), F.col("_d").alias("hi")), "_of_run", "_of_all"))
     placed = placed.withColumn("_span", F.explode(spans)).withColumn("_pairs", F.transform("_ats", lambda a: F.struct(
         (F.col("_d") + a).alias("at"), a.alias("_item_at"))))
-    found = placed.groupBy(*pair, "_span", "_windows").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
+    found = placed.groupBy(*pair, "_span", "_windows", "_length", "_exact").agg(F.flatten(F.collect_list("_pairs")).alias("_pairs"))
     found = found.withColumn("_matched", F.size(F.array_distinct(F.transform("_pairs", lambda p: p["_item_at"]))).cast("long"))
-    found = found.where(F.col("_matched") >= F.least(F.lit(ENOUGH), F.col("_windows")))
+    needed = F.when(F.col("_exact"), F.col("_windows")).otherwise(F.least(F.lit(ENOUGH), F.col("_windows")))
+    found = found.where((F.col("_matched") >= needed) & (~F.col("_exact") | (F.col("_span.lo") == F.col("_span.hi"))))
 
     words_of = lambda rows, keys, body, name: rows.select(*keys, tokens(F.col(body)).alias(name))
-    of_docs = words_of(rows.withColumn("_twin", F.xxhash64("_text")), ["_key", "_twin"], "_text", "_doc_words")
+    of_docs = words_of(rows, ["_key", "_given", "_twin"], "_text", "_doc_words")
     some = found.select("_key", "_twin").distinct()
     paired = found.join(of_docs.join(some, ["_key", "_twin"], "left_semi"), ["_key", "_twin"]).join(words_of(bench, ["_item"], "_body", "_item_words"), "_item")
-    opposite = F.flatten(F.transform("_pairs", lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.struct(
+    opposite = F.flatten(F.transform("_pairs", lambda p: F.transform(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_length")) - 1), lambda j: F.struct(
         F.get(F.col("_item_words"), p["_item_at"] + j).alias("mine"), F.get(F.col("_doc_words"), p["at"] + j).alias("its")))))
-    slots = F.array_distinct(F.filter(opposite, lambda s: s["mine"].startswith("<")))
+    # a name is the same at the start of a sentence; words there that are no names stand opposite themselves
+    value = lambda w: F.regexp_replace(w, "^<s:", "<p:")
+    is_slot = lambda s: s["mine"].startswith("<") & ~(s["mine"].startswith("<s:") & (value(s["mine"]) == F.concat(
+        F.when(s["its"].startswith("<"), F.lit("")).otherwise(F.lit("<p:")), value(s["its"]))))
+    slots = F.array_distinct(F.transform(F.filter(opposite, is_slot), lambda s: F.struct(value(s["mine"]).alias("mine"), value(s["its"]).alias("its"))))
     values = F.array_distinct(F.transform(slots, lambda s: s["mine"]))
     judged = paired.withColumn("_slots", slots).withColumn("_values", values)
-    consistency = F.when(F.size("_slots") == 0, F.lit(1.0)).otherwise(F.size("_values") / F.size("_slots"))
-    judged = judged.select("_key", "_item", "_matched", "_windows", consistency.alias("_share")).where(F.col("_share") >= CONSISTENT)
-    worst = judged.groupBy("_key").agg(F.max(F.struct("_matched", (-F.col("_item")).alias("_low"), "_windows", "_share")).alias("_m"))
-    return worst.select(F.col("_key").alias(key), (-F.col("_m._low")).alias("item"), F.col("_m._matched").alias("n_matched"),
+    # what is exact has been compared with its values
+    consistency = F.when(F.col("_exact") | (F.size("_slots") == 0), F.lit(1.0)).otherwise(F.size("_values") / F.size("_slots"))
+    judged = judged.select("_key", "_given", "_item", "_matched", "_windows", consistency.alias("_share")).where(F.col("_share") >= CONSISTENT)
+    worst = judged.groupBy("_key", "_given").agg(F.max(F.struct("_matched", (-F.col("_item")).alias("_low"), "_windows", "_share")).alias("_m"))
+    return worst.select(F.col("_key").alias("_name"), F.col("_given").alias(key), (-F.col("_m._low")).alias("item"), F.col("_m._matched").alias("n_matched"),
                         F.col("_m._windows").alias("n_windows"), F.col("_m._share").alias("consistency"))
 
 
+def _name_of(text: str, key: str) -> Column:
+    """A key that is never null: rows without one are named by their texts."""
+    return F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(
+        F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+
+
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **kwargs) -> DataFrame:
+    """(key, item, n_matched, n_windows, consistency) of the documents that hold a benchmark item, its worst item each.
+
+    Null or empty texts match nothing. Items of fewer than ``size`` tokens, and items whose windows all hold too many slots,
+    match where they stand whole and with their own values; an item of one word is found wherever that word is. Documents of
+    one key are one document. Ties go to the smallest item id. Rows with a null key are looked at with ``null_keys`` only;
+    each text is then a document.
+    """
+    return _found(docs, items, text, key, **kwargs).drop("_name")
+
+
 def marked(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **kwargs) -> DataFrame:
     """``docs`` with contaminated, item, n_matched, n_windows and consistency; columns of these names are replaced."""
     new = ["item", "n_matched", "n_windows", "consistency"]
-    found = leaks(docs, items, text, key, **kwargs)
-    found = found.select(F.col(key).alias("_leak"), *new)
+    found = _found(docs, items, text, key, **kwargs).select(F.col("_name").alias("_leak"), *new)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in [*new, "contaminated"]])
-    return kept.join(found, F.col(key) == F.col("_leak"), "left").withColumn("contaminated", F.col("_leak").isNotNull()).drop("_leak")
+    return kept.join(found, _name_of(text, key) == F.col("_leak"), "left").withColumn("contaminated", F.col("_leak").isNotNull()).drop("_leak")
+
+
+def without(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **kwargs) -> DataFrame:
+    """The rows of ``docs`` that hold no item."""
+    found = _found(docs, items, text, key, **kwargs).select(F.col("_name").alias("_leak"))
+    return docs.join(found, _name_of(text, key) == F.col("_leak"), "left_anti")

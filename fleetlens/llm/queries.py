@@ -101,4 +101,4 @@ def op4_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return decontamination.marked(docs, table(spark, sf, "benchmark")).drop("text")
+    return decontamination.marked(docs, table(spark, sf, "benchmark"), null_keys=True).drop("text")

@@ -443,6 +443,19 @@ def test_decontamination_judges_each_alignment(spark):
     assert set(got) == {0, 1, 2} and all(r["item"] == 7 and r["consistency"] >= 0.8 for r in got.values())
 
 
+def test_decontamination_finds_short_dense_and_named_items(spark):
+    items = spark.createDataFrame([(1, "Why is grass green?"), (2, "12 + 5 - 3 = 14, 14 + 6 = 20 and 20 - 9 = 11"),
+                                   (3, "Tom has 3 red apples today. Tom buys 5 green pears.")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (0, "They ask: why is grass green? Nobody knows."), (1, "Sum: 12 + 5 - 3 = 14, 14 + 6 = 20 and 20 - 9 = 11."), (2, "Ann has 3 red apples today. Ann buys 5 green pears."),
+        (3, "why is the grass so green"), (4, "12 + 5 - 3 = 14, 14 + 7 = 21 and 21 - 9 = 12"), (5, "Tom has no red apples. He buys some."), (None, "Why is grass green?"), (None, "fine")],
+        "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["item"] for r in decontamination.marked(docs, items, null_keys=True).where("contaminated").collect()}
+    assert {k: v for (k, _), v in got.items()} == {0: 1, 1: 2, 2: 3, None: 1} and len(got) == 4 and (None, "fine") not in got
+    left = {(r["doc_id"], r["text"]) for r in decontamination.without(docs, items, null_keys=True).collect()}
+    assert {k for k, _ in left} == {3, 4, 5, None} and len(left) == 4
+
+
 # queries and pipeline
 
 
