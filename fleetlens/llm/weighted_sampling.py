@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.shared import following, stored
 
-SAMPLES = 16
+#: The standard error of a likeness is at most 0.0625 (0.05 at 0.8).
+SAMPLES = 64
 _WORD = r"[\x20\x09-\x0D]+"
 _UNIT = float(1 << 21)
 

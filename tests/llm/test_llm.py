@@ -363,6 +363,14 @@ def test_fingerprints(spark, odd):
     assert weighted_sampling.fingerprinted(none(spark)).count() == 0
 
 
+def test_likeness_is_exact_enough(spark):
+    docs = documents(spark).limit(300)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {r["doc_id"]: r["near_edited"] for r in weighted_sampling.fingerprinted(docs).collect()}
+    errors = [got[i] - jaccard(t, t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4]) for k, (i, t) in enumerate(rows)]
+    assert weighted_sampling.SAMPLES >= 64 and np.std(errors) < 0.075
+
+
 def test_following(spark):
     ids = [0, 1, 4095, 4096, 10**6, 2**40, -5, None, 1]
     got = {r["doc_id"]: r["following"] for r in shared.following(spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
