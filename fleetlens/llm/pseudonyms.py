@@ -4,6 +4,9 @@ Found values are checked (card numbers by their check digit, IPv4 octets, dates
 permutation of all values of their format: an alternating Feistel network over Z_a x Z_b whose round function is the start
 of SHA-256 of the key, the format, the round and the other half. Equal values get equal pseudonyms in all documents, and
 different values of a format different ones. Cards keep their first digit and get a valid check digit; dates stay dates.
+Telephone numbers are North American ones, with or without +1, numbers with any other country code and numbers of three
+groups with a leading zero, of 8 to 15 digits; codes stay. Seven-digit local numbers are not told from other numbers. Dates
+have the day first if they can, else the month.
 Mail names and secret tokens, which are no numbers, get keyed digests in their form.
 """
 
@@ -16,17 +19,20 @@ ROUNDS = 8
 #: Dates of 73,000 days from here on are permuted among themselves.
 EPOCH, DAYS = "1900-01-01", (292, 250)
 _B, _E = r"(?<![\p{L}\p{N}.])", r"(?![\p{L}\p{N}])(?!\.\d)"
+#: Between the digits of a number with a country code: a separator behind which no other value begins.
+_GAP = r"(?:[ .-](?!\d{4}[-/]\d{2}[-/]|\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d{3}-\d{2}-\d{4}|(?:\d{1,3}\.){3}\d)|(?=[\d()])|(?<=\)))"
 #: Kinds in the order of search. The pattern of a kind must match the whole value.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "phone": r"(?<![\p{L}\p{N}])\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}])(?:(?:\+?1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])|\(\d{3}\)[ .-]?|(?<![\d.][.-])\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}"
+             r"|\+[2-9]" + _GAP + r"(?:\(?\d\)?" + _GAP + r"){6,13}\(?\d|0\d{1,4}[ -]\d{3,4}[ -]\d{3,4})(?![\p{L}\p{N}@])(?![.-]\d)",
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
-    "date": _B + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})" + _E,
-    "card": _B + r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})" + _E,
+    "date": _B + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})" + _E,
+    "card": _B + r"(?:\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{6}\1\d{4,5})|\d{6}[ -]\d{13}|\d{13,19})" + _E,
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}])(?!\.\d)",
     "token": r"(?<![\p{L}\p{N}])[0-9a-f]{40}(?![\p{L}\p{N}])",
 }
-_ANY = "|".join(p.replace(r"([ -])", r"(?<sep>[ -])").replace(r"\1", r"\k<sep>") for p in KINDS.values())
+_ANY = "|".join(p.replace(r"([ -])", r"(?<sep>[ -])", 1).replace(r"\1", r"\k<sep>") for p in KINDS.values())
 
 
 def digest(key: str, kind: str, *parts: Column) -> Column:
@@ -87,17 +93,31 @@ def pseudonym(found: Column, key: str) -> Column:
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     ip = permuted(number, 1 << 16, 1 << 16, key, "ip")
     parts = [F.floor(ip / (1 << 8 * k)).cast("long") % 256 for k in (3, 2, 1, 0)]
-    iso = found.rlike(r"^\d{4}-")
-    date = F.when(iso, F.try_to_date(found, "yyyy-MM-dd")).otherwise(F.try_to_date(found, "dd/MM/yyyy"))
+    first = F.substring(digits, 1, 1)
+    code = F.when(~found.startswith("+"), F.when((F.length(digits) == 11) & (first == "1"), 1).otherwise(0)).when(first.isin("1", "7"), 1).otherwise(
+        F.coalesce(F.nullif(F.length(F.regexp_extract(found, r"^\+(\d{1,3})(?!\d)", 1)), F.lit(0)), F.lit(2)))
+    phone = F.concat(F.substring(digits, F.lit(1), code), digits_permuted(F.substring(digits, code + 1, F.length(digits) - code), key, "phone"))
+    # a date is read and written in its own order; separators are put back
+    iso, bare = found.rlike(r"^\d{4}[-/]"), F.regexp_replace(found, "[./-]", "/")
+    padded = F.length(digits) == 8
+    by_day = F.try_to_date(bare, "d/M/yyyy")
+    date = F.when(iso, F.try_to_date(bare, "yyyy/MM/dd")).when(by_day.isNotNull(), by_day).otherwise(F.try_to_date(bare, "M/d/yyyy"))
+    by_month = ~iso & by_day.isNull()
+    to_day = lambda d: F.date_add(F.lit(EPOCH).cast("date"), d.cast("int"))
     day = F.datediff(date, F.lit(EPOCH).cast("date"))
-    moved = F.date_add(F.lit(EPOCH).cast("date"), permuted(day, *DAYS, key, "date").cast("int"))
+    once = lambda d: permuted(d, *DAYS, key, "date")
+    # dates with the month first, which only a day over 12 tells, are permuted among themselves
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(60)), once(day), lambda d, _: F.when(F.dayofmonth(to_day(d)) > 12, d).otherwise(once(d)))
+    moved = to_day(F.when(by_month, again).otherwise(once(day)))
+    written = F.when(iso, F.date_format(moved, "yyyyMMdd")).when(by_month, F.date_format(moved, "MMddyyyy")).otherwise(F.date_format(moved, "ddMMyyyy"))
+    written = F.when(padded, _laid_out(found, written)).when(by_month, F.date_format(moved, "M/d/yyyy")).otherwise(F.date_format(moved, "d/M/yyyy"))
     at = F.length(found) - F.locate("@", F.reverse(found)) + 1
     is_kind = {k: found.rlike(f"^(?:{p})$") for k, p in KINDS.items()}
     return (
         F.when(is_kind["email"], F.concat(F.lit("u"), F.substring(digest(key, "email", F.lower(found)), 1, 12), F.substring(found, at, F.length(found))))
-        .when(is_kind["phone"], _laid_out(found, F.concat(F.lit("1"), digits_permuted(F.substring(digits, 2, 10), key, "phone"))))
+        .when(is_kind["phone"] & F.length(digits).between(8, 15), _laid_out(found, phone))
         .when(is_kind["ssn"], _laid_out(found, digits_permuted(digits, key, "ssn")))
-        .when(is_kind["date"] & day.between(0, DAYS[0] * DAYS[1] - 1), F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy")))
+        .when(is_kind["date"] & day.between(0, DAYS[0] * DAYS[1] - 1), written)
         .when(is_kind["card"] & (luhn_sum(digits) % 10 == 0), _laid_out(found, card))
         .when(is_kind["ip"] & F.forall(octets, lambda x: x < 256), F.concat_ws(".", *[p.cast("string") for p in parts]))
         .when(is_kind["token"], F.substring(digest(key, "token", found), 1, 40))

@@ -390,6 +390,21 @@ def test_pseudonyms(spark, odd):
     assert pseudonyms.replaced(odd, "key").drop("n_replaced").exceptAll(odd).count() == 0 and pseudonyms.replaced(none(spark), "k").count() == 0
 
 
+def test_pseudonyms_of_general_forms(spark):
+    forms = ["555-123-4567", "(555) 123-4567", "555.123.4567", "+1 555 123 4567", "+15551234567", "1-800-555-1234", "+44 20 7946 0958", "+49 (30) 1234567",
+             "+33 1 23 45 67 89", "020 7946 0958", "3782 822463 10005", "3782-822463-10005", "12/31/1999", "1/31/1999", "31.12.1999", "1999/12/31"]
+    docs = spark.createDataFrame([(k, f"see {f}, 2024-02-29") for k, f in enumerate(forms)], "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.replaced(docs, "key").orderBy("doc_id").collect()]
+    layout = lambda t: re.sub("[0-9]", "9", t)
+    for f, t in zip(forms, got):
+        new, rest = t[4:].rsplit(", ", 1)
+        assert new != f and rest != "2024-02-29" and (layout(new) == layout(f) or f == "1/31/1999"), (f, t)
+    phones = [re.sub("[^0-9]", "", t[4:].split(",")[0])[-10:] for t in got[:5]]
+    assert len(set(phones)) == 1 and got[6][4:8] == "+44 " and got[8][4:8] == "+33 "
+    month, day, _ = map(int, got[12][4:].split(",")[0].split("/"))
+    assert month <= 12 < day
+
+
 def test_permutation(spark):
     for a, b in ((292, 250), (10, 1), (100, 10)):
         out = spark.range(a * b).select(pseudonyms.permuted(F.col("id"), a, b, "k", "x").alias("p"))
