@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
-from fleetlens.llm.shared import forget, maybe_in, salted_lookup, settled, stored
+from fleetlens.llm.shared import maybe_in, salted_lookup, settled, stored
 from fleetlens.llm.tokens import U, grams, grams_within, pieces, words_of
 
 COUNTERS = 1 << 20
@@ -301,7 +301,6 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
         more = settled(overlaps(others, parts).where(links_if).select("a", "b"))
         labels = components(links.unionByName(more))
 
-    forget(spark)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("signature", "component_id", "copies")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    context_tree, decontamination, jaccard_join, language, licences, pieces, pseudonyms, substring_dedup, warc, weighted_sampling,
+    context_tree, decontamination, jaccard_join, language, licences, merkle, neighbours, oracles, pieces, pseudonyms, substring_dedup,
+    vector_codes, warc, weighted_sampling,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,24 @@ def op4_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontamination.marked(docs, table(spark, sf, "benchmark"), null_keys=True).drop("text")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf, "embeddings"))
+
+
+ORACLES["op11_vector_codes"] = oracles.VECTOR_CODES
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], altered=merkle.lowered())
+
+
+ORACLES["op12_merkle_manifest"] = oracles.MERKLE
+
+
+@query
+def op13_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder under /tmp only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (driver and executors are one process) gets a folder under /tmp; a cluster raises,
+    because its machines would not see each other's files.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file:///tmp/fleetlens-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, cut from their lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint()
-    forget(df.sparkSession)
-    return out
+#: Spark's own option to drop the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def forget(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that have ended, which it does as the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries within, each of which runs once and writes its result, leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, cut from their lineage: written to the shared folder and read back."""
+    return stored(df, "settled")
 
 
 def input_bytes(df: DataFrame, column: str) -> int:
@@ -47,6 +61,26 @@ def salted_lookup(df: DataFrame, table: DataFrame, key: str, salt_of: str, salts
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+#: A key is common if it has more than one in COMMON rows; there are fewer such keys than COMMON.
+COMMON = 1000
+
+
+def counted_lookup(df: DataFrame, table: DataFrame, key: str, rows: str) -> DataFrame:
+    """Left join, nulls equal, of ``df`` with a table of one row per key that also counts the key's rows in ``df``.
+
+    Common keys, of which there are fewer than COMMON, are broadcast, so that none of their rows moves; the others, each
+    with at most one in COMMON rows, are joined by shuffles.
+    """
+    total = table.agg(F.sum(rows)).first()[0] or 0
+    common = F.col(rows) * COMMON > F.lit(total)
+    asked, new = df.withColumnRenamed(key, "_key"), [c for c in table.columns if c not in (key, rows)]
+    same = F.col("_key").eqNullSafe(F.col(key))
+    hot = asked.join(F.broadcast(table.where(common)), same)
+    cold = asked.join(F.broadcast(table.where(common).select(key)), same, "left_anti").join(table.where(~common), same, "left")
+    columns = [F.col("_key").alias(key) if c == key else F.col(c) for c in df.columns] + [F.col(c) for c in new]
+    return hot.select(*columns).unionByName(cold.select(*columns))
+
+
 #: Longs of the table that ``maybe_in`` broadcasts, whatever the size of its inputs.
 FILTER_LONGS = 1 << 18
 
@@ -97,6 +131,6 @@ def ascii_lower(text: Column | str) -> Column:
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The same rows, written as Parquet to the shared folder, in folders of ``by`` if given, and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    forget(df.sparkSession)
+    with dropping_shuffles(df.sparkSession):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
