@@ -14,6 +14,7 @@ from fleetlens.operators.intake import latest_state
 
 INACTIVE_SECONDS = 10
 MAX_ENVELOPE_SECONDS = 600
+MAX_AHEAD_SECONDS = 30
 
 
 def log_position(json: Column) -> Column:
@@ -102,9 +103,10 @@ def catchup_status(samples: DataFrame, segment_seconds: int = 3_600) -> DataFram
     """First decision in the polls of every replication slot.
 
     Input: ``slot_id, at, poll_id, remote_lsn, latest_end_lsn, source_lsn,
-    wal_bytes, active, ready, max_wal_bytes, deadline``.  A slot fails when it
-    stays inactive for over 10 s, keeps too much log or misses the deadline,
-    and is done when all source changes are applied.
+    wal_bytes, present, active, ready, max_wal_bytes, deadline``.  A slot fails
+    at once when a poll finds it gone (``present`` false; null: not known, so
+    there), when it stays inactive for over 10 s, keeps too much log or misses
+    the deadline, and is done when all source changes are applied.
     """
     zero = F.lit(0).cast("decimal(38,0)")
     applied = F.greatest(F.coalesce(lsn(F.col("remote_lsn")), zero), F.coalesce(lsn(F.col("latest_end_lsn")), zero)) >= lsn(F.col("source_lsn"))
@@ -115,7 +117,8 @@ def catchup_status(samples: DataFrame, segment_seconds: int = 3_600) -> DataFram
     spells = ordered_scan(marked, ["slot_id"], order, "segment", last_value={"inactive_since": "spell_start"})
     silent = F.unix_micros("at") - F.unix_micros("inactive_since")
     decision = (
-        F.when(~F.col("active") & (silent > INACTIVE_SECONDS * 1_000_000), "slot inactive")
+        F.when(~F.col("present"), "slot vanished")
+        .when(~F.col("active") & (silent > INACTIVE_SECONDS * 1_000_000), "slot inactive")
         .when(F.col("wal_bytes") > F.col("max_wal_bytes"), "log over its ceiling")
         .when(F.col("ready") & F.col("applied"), "caught up")
         .when(F.col("at") > F.col("deadline"), "deadline")
@@ -200,15 +203,25 @@ def reject_stale_tokens(tasks: DataFrame, segment_seconds: int = 3_600) -> DataF
     return seen.withColumn("stale", F.coalesce(F.col("token") < F.col("highest"), F.lit(False))).drop("segment", "highest")
 
 
+def valid_in_time() -> Column:
+    """Whether a task is received before it expires, lives no longer than allowed from its issue, and is not issued in the future.
+
+    Clocks may differ by ``MAX_AHEAD_SECONDS``.  A missing time is not valid.
+    """
+    second = 1_000_000
+    received, issued, expires = F.col("received_us"), F.col("issued_us"), F.col("expires_us")
+    valid = (expires > received) & (issued <= received + MAX_AHEAD_SECONDS * second) & (expires - issued <= MAX_ENVELOPE_SECONDS * second)
+    return F.coalesce(valid, F.lit(False))
+
+
 def reject_replays(tasks: DataFrame, segment_seconds: int = 21_600) -> DataFrame:
-    """Mark tasks whose nonce is still in use, or that are expired or live too long.
+    """Mark tasks whose nonce is still in use, or whose times are not valid (:func:`valid_in_time`).
 
-    Input: ``nonce, task_id, received_us, expires_us``.  A refused task does
-    not renew its nonce.
+    Input: ``nonce, task_id, issued_us, received_us, expires_us``.  A refused
+    task does not renew its nonce.
     """
     second = 1_000_000
-    life = F.col("expires_us") - F.col("received_us")
-    in_time = (life > 0) & (life <= MAX_ENVELOPE_SECONDS * second)
+    in_time = valid_in_time()
     work = tasks.filter(in_time).withColumns(
         {
             "segment": number_segment("received_us", segment_seconds * second),

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from fleetlens.functions import rules
 from fleetlens.functions.columns import field
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from fleetlens.functions.pages import Limits, cut_pages
 
 # Inventory limits and identity patterns.
 MAX_PACKAGES = 10_000
@@ -47,11 +40,12 @@ def package_state(code: Column) -> Column:
     return F.when(code.rlike("^[uihrp]. $"), F.try_element_at(states, F.substring(code, 2, 1)))
 
 
-def parse_packages(lines: DataFrame, max_packages: int = MAX_PACKAGES) -> tuple[DataFrame, DataFrame]:
+def parse_packages(lines: DataFrame, max_packages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Packages of good captures, and the rejected captures with a reason.
 
     Input: ``capture_id, line_no, line`` with six tab-separated fields.  One
-    bad or repeated row rejects its whole capture.
+    bad or repeated row rejects its whole capture, and so does more than
+    ``max_packages`` rows where the caller sets such a limit.
     """
     f = F.split("line", "\t", -1)
     raw_name = field(f, 0)
@@ -79,7 +73,8 @@ def parse_packages(lines: DataFrame, max_packages: int = MAX_PACKAGES) -> tuple[
         rows.filter("problem IS NULL").groupBy("capture_id", "name", "architecture").agg(F.count("*").alias("n")).filter("n > 1")
         .select("capture_id").distinct().withColumn("repeated", F.lit(True))
     )
-    reason = F.coalesce("problem", F.when(F.col("repeated"), "duplicate package"), F.when(F.col("n") > max_packages, "too many packages"))
+    excess = F.lit(None).cast("string") if max_packages is None else F.when(F.col("n") > max_packages, "too many packages")
+    reason = F.coalesce("problem", F.when(F.col("repeated"), "duplicate package"), excess)
     rejected = whole.join(repeated, "capture_id", "left").select("capture_id", reason.alias("reason")).filter("reason IS NOT NULL")
     good = rows.drop("problem").join(rejected.select("capture_id"), "capture_id", "left_anti")
     return good, rejected
@@ -140,42 +135,27 @@ def capture_status(captures: DataFrame) -> DataFrame:
 
 def paginate(
     packages: DataFrame, max_rows: int = MAX_PAGE_PACKAGES, max_bytes: int = MAX_PAGE_BYTES,
-    max_pages: int = MAX_PAGES, max_packages: int = MAX_PACKAGES,
+    max_pages: int = MAX_PAGES, max_packages: int | None = MAX_PACKAGES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Pages of each capture in name and architecture order, and refused captures.
+    """Pages of each capture in name and architecture order, and the captures that a receiver would refuse.
 
     Input: ``capture_id, name, architecture, row_bytes, overhead`` (bytes of a
     page without packages).  A page takes the longest run of packages within
-    both limits.  Captures over the package limit are refused before anything
-    is grouped, so a group never exceeds it.
+    both limits.  Every capture is paged, whatever its size; ``max_packages``
+    (none: no limit), ``max_pages`` and a package that fits no page (it has one
+    for itself) only give the capture a reason in the second result.
     """
-    sizes = packages.groupBy("capture_id").agg(F.count("*").alias("n"))
-    too_many = sizes.filter(F.col("n") > max_packages).select("capture_id", F.lit("package budget exceeded").alias("reason"))
-    kept = packages.join(too_many, "capture_id", "left_anti")
-    schema = T.StructType([*kept.schema.fields, T.StructField("page", T.IntegerType())])
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["name", "architecture"], kind="stable")
-        upto = np.cumsum(pdf["row_bytes"].to_numpy(np.int64) + 1)
-        room = max_bytes - int(pdf["overhead"].iloc[0]) + 1
-        pages = np.full(len(pdf), -1, dtype=np.int32)
-        start = page = 0
-        while start < len(pdf):
-            used = upto[start - 1] if start else 0
-            end = min(start + max_rows, int(np.searchsorted(upto, used + room, side="right")))
-            if end == start:
-                break
-            pages[start:end] = page
-            start, page = end, page + 1
-        return pdf.assign(page=pages)
-
-    paged = kept.groupBy("capture_id").applyInPandas(cut, schema)
-    worst = paged.groupBy("capture_id").agg(F.max("page").alias("last"), F.min("page").alias("first"))
-    refused = worst.select(
-        "capture_id",
-        F.when(F.col("first") < 0, "package exceeds page budget").when(F.col("last") >= max_pages, "page budget exceeded").alias("reason"),
-    ).filter("reason IS NOT NULL")
-    return paged.join(refused, "capture_id", "left_anti"), too_many.unionByName(refused)
+    limits = Limits(max_rows, max_bytes)
+    paged = cut_pages(packages, "capture_id", ["name", "architecture"], "row_bytes", "overhead", limits)
+    too_large = F.col("row_bytes") + F.col("overhead") > max_bytes
+    sizes = paged.groupBy("capture_id").agg(
+        F.count("*").alias("n"), F.max("page").alias("last"), F.min(F.when(too_large, F.col("page"))).alias("large"))
+    reason = (
+        F.when(F.lit(max_packages is not None) & (F.col("n") > (max_packages or 0)), "package budget exceeded")
+        .when(F.col("large") <= max_pages, "package exceeds page budget")
+        .when(F.col("last") >= max_pages, "page budget exceeded")
+    )
+    return paged, sizes.select("capture_id", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def page_counts(captures: DataFrame, paged: DataFrame, refused: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def validate_delta(spark, sf):
 SLOTS = project(
     EVENTS, "user_id AS slot_id", "seen_at", "event_id AS poll_id",
     "CASE WHEN k % 9 = 0 THEN NULL ELSE '1/' || upper(substr(md5(CAST(event_id AS STRING)), 1, 6)) END AS remote_lsn", "CASE WHEN k % 4 = 0 THEN '0/FFFFFF' WHEN k = 11 THEN '2/0' END AS latest_end_lsn",
-    "'1/' || upper(substr(md5(CAST(user_id AS STRING)), 1, 6)) AS source_lsn", "cents AS wal_bytes", "CASE WHEN user_id % 5 = 0 THEN 1000000 ELSE 30000 END AS max_wal_bytes", "user_id % 3 > 0 OR k % 2 = 0 AS active", "k > 96 AS ready",
+    "'1/' || upper(substr(md5(CAST(user_id AS STRING)), 1, 6)) AS source_lsn", "cents AS wal_bytes", "CASE WHEN user_id % 5 = 0 THEN 1000000 ELSE 30000 END AS max_wal_bytes", "user_id % 3 > 0 OR k % 2 = 0 AS active", "k > 96 AS ready", "user_id % 7 > 0 OR k <> 50 AS present",
     "TSUS(1705000000000000 + user_id * 5000000000) AS deadline",
 )
 _LSN = "CAST(CAST('0x' || split_part({0}, '/', 1) AS UBIGINT) AS HUGEINT) * 4294967296 + CAST('0x' || split_part({0}, '/', 2) AS UBIGINT)"
@@ -88,7 +88,7 @@ _LSN = "CAST(CAST('0x' || split_part({0}, '/', 1) AS UBIGINT) AS HUGEINT) * 4294
     "catchup_status",
     f"""WITH s AS (SELECT *, greatest(coalesce({_LSN.format('remote_lsn')}, 0), coalesce({_LSN.format('latest_end_lsn')}, 0)) >= {_LSN.format('source_lsn')} AS applied, lag(active) OVER w AS was FROM {SLOTS.sql} WINDOW w AS (PARTITION BY slot_id ORDER BY seen_at, poll_id)),
     i AS (SELECT *, max(CASE WHEN NOT active AND coalesce(was, true) THEN seen_at END) OVER (PARTITION BY slot_id ORDER BY seen_at, poll_id) AS since FROM s),
-    d AS (SELECT *, CASE WHEN NOT active AND epoch_us(seen_at) - epoch_us(since) > 10000000 THEN 'slot inactive' WHEN wal_bytes > max_wal_bytes THEN 'log over its ceiling' WHEN ready AND applied THEN 'caught up' WHEN seen_at > deadline THEN 'deadline' END AS decision FROM i)
+    d AS (SELECT *, CASE WHEN NOT present THEN 'slot vanished' WHEN NOT active AND epoch_us(seen_at) - epoch_us(since) > 10000000 THEN 'slot inactive' WHEN wal_bytes > max_wal_bytes THEN 'log over its ceiling' WHEN ready AND applied THEN 'caught up' WHEN seen_at > deadline THEN 'deadline' END AS decision FROM i)
     SELECT slot_id, coalesce(arg_min(decision, (seen_at, poll_id)) FILTER (decision IS NOT NULL), 'running') AS status, epoch_us(min(seen_at) FILTER (decision IS NOT NULL)) AS decided_at, count(*) AS polls FROM d GROUP BY slot_id""",
 )
 def catchup_status(spark, sf):
@@ -143,13 +143,18 @@ def reject_stale_tokens(spark, sf):
     return op.reject_stale_tokens(TOKENS.frame(spark, sf).withColumnRenamed("seen_at", "at")).select("task_id", "token", "stale")
 
 
-TASKS = project(EVENTS, "'n' || CAST(user_id % 4 AS STRING) AS nonce", "event_id AS task_id", "at_us AS received_us", "at_us + (k - 3) * 6500000 AS expires_us")
+# issued between 680 s before and 39 s after they are received
+TASKS = project(
+    EVENTS, "'n' || CAST(user_id % 4 AS STRING) AS nonce", "event_id AS task_id", "at_us AS received_us", "at_us + (k - 3) * 6500000 AS expires_us",
+    "at_us + (event_id * 37 % 720 - 680) * 1000000 AS issued_us",
+)
+_IN_TIME = "expires_us > received_us AND issued_us <= received_us + 30000000 AND expires_us - issued_us <= 600000000"
 
 
 @query(
     "reject_replays",
-    f"""WITH RECURSIVE {greedy_sql(f"SELECT * FROM {TASKS.sql} WHERE expires_us > received_us AND expires_us - received_us <= 600000000", 'nonce', 'received_us', 'expires_us', 'task_id')}
-    SELECT nonce, task_id, CASE WHEN NOT (expires_us > received_us AND expires_us - received_us <= 600000000) THEN 'expiry' WHEN task_id IN (SELECT id FROM a) THEN 'accepted' ELSE 'replay' END AS verdict FROM {TASKS.sql}""",
+    f"""WITH RECURSIVE {greedy_sql(f"SELECT * FROM {TASKS.sql} WHERE {_IN_TIME}", 'nonce', 'received_us', 'expires_us', 'task_id')}
+    SELECT nonce, task_id, CASE WHEN NOT ({_IN_TIME}) THEN 'expiry' WHEN task_id IN (SELECT id FROM a) THEN 'accepted' ELSE 'replay' END AS verdict FROM {TASKS.sql}""",
 )
 def reject_replays(spark, sf):
     return op.reject_replays(TASKS.frame(spark, sf)).select("nonce", "task_id", "verdict")

@@ -90,37 +90,48 @@ def capture_status(spark, sf):
     return op.capture_status(CAPTURES.frame(spark, sf)).withColumn("errors", F.array_join("errors", ","))
 
 
+# one capture holds a third of all packages
 INVENTORY = project(
-    "part", "p_brand || '-' || CAST(CAST(floor(p_partkey / 2000) AS BIGINT) AS STRING) AS capture_id", "'pkg-' || p_name || CAST(p_partkey AS STRING) AS name", "CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'i386' END AS architecture",
+    "part", "CASE WHEN p_partkey % 3 = 0 THEN 'every third' ELSE p_brand END AS capture_id", "'pkg-' || p_name || CAST(p_partkey AS STRING) AS name", "CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'i386' END AS architecture",
     "CAST(60 + p_size * 3 AS BIGINT) AS row_bytes", "CAST(200 AS BIGINT) AS overhead",
 )
-PAGES_SQL = f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER w AS rn, CAST(sum(row_bytes + 1) OVER w AS BIGINT) AS upto FROM {INVENTORY.sql} WINDOW w AS (PARTITION BY capture_id ORDER BY name, architecture)),
+# brand 11 holds packages that fit no page
+LARGE = project(
+    "part", "CASE WHEN p_partkey % 3 = 0 THEN 'every third' ELSE p_brand END AS capture_id", "'pkg-' || p_name || CAST(p_partkey AS STRING) AS name", "CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'i386' END AS architecture",
+    "CAST(CASE WHEN p_brand = 'Brand#11' AND p_size % 7 = 0 THEN 5000 ELSE 60 + p_size * 3 END AS BIGINT) AS row_bytes", "CAST(200 AS BIGINT) AS overhead",
+)
+
+
+def _pages_sql(rows, max_rows, max_bytes):
+    """n: numbered packages with running bytes; p: one row for each page, found from the one before."""
+    room = max_bytes - 199
+    return f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER w AS rn, CAST(sum(row_bytes + 1) OVER w AS BIGINT) AS upto FROM {rows} WINDOW w AS (PARTITION BY capture_id ORDER BY name, architecture)),
     p AS (SELECT capture_id, CAST(0 AS BIGINT) AS start, 0 AS page, CAST(0 AS BIGINT) AS used FROM n WHERE rn = 1
-      UNION ALL SELECT p.capture_id, e.last, p.page + 1, e.upto FROM p JOIN LATERAL (SELECT max(rn) AS last, max(upto) AS upto FROM n WHERE n.capture_id = p.capture_id AND n.rn > p.start AND n.rn <= p.start + 20 AND n.upto - p.used + 199 <= 2200) e ON true
-        WHERE EXISTS (SELECT 1 FROM n WHERE n.capture_id = p.capture_id AND n.rn > e.last))"""
+      UNION ALL SELECT p.capture_id, e.last, p.page + 1, e.upto FROM p JOIN LATERAL (SELECT max(rn) AS last, max(upto) AS upto FROM n
+        WHERE n.capture_id = p.capture_id AND n.rn > p.start AND n.rn <= p.start + {max_rows} AND (n.upto - p.used <= {room} OR n.rn = p.start + 1)) e ON true
+        WHERE EXISTS (SELECT 1 FROM n WHERE n.capture_id = p.capture_id AND n.rn > e.last)),
+    g AS (SELECT n.capture_id, n.name, n.architecture, n.row_bytes, CAST(max(p.page) AS INT) AS page FROM n JOIN p ON p.capture_id = n.capture_id AND p.start < n.rn GROUP BY ALL)"""
 
 
-@query(
-    "paginate",
-    f"""{PAGES_SQL} SELECT n.capture_id, n.name, n.architecture, CAST(max(p.page) AS INT) AS page FROM n JOIN p ON p.capture_id = n.capture_id AND p.start < n.rn GROUP BY ALL""",
-)
+@query("paginate", f"{_pages_sql(INVENTORY.sql, 20, 2200)} SELECT capture_id, name, architecture, page FROM g")
 def paginate(spark, sf):
-    pages, _ = op.paginate(INVENTORY.frame(spark, sf), max_rows=20, max_bytes=2200, max_pages=1000, max_packages=10_000)
+    pages, _ = op.paginate(INVENTORY.frame(spark, sf), max_rows=20, max_bytes=2200, max_packages=None)
     return pages.select("capture_id", "name", "architecture", "page")
 
 
 @query(
     "page_counts",
-    f"""WITH c AS (SELECT capture_id FROM {INVENTORY.sql} UNION SELECT 'Brand#' || p_size FROM part), n AS (SELECT capture_id, count(*) AS packages FROM {INVENTORY.sql} GROUP BY 1),
-    r AS (SELECT capture_id, packages, CASE WHEN packages > 80 THEN 'package budget exceeded' END AS reason FROM n)
-    SELECT c.capture_id, CASE WHEN reason IS NULL THEN CAST(coalesce((packages + 6) // 7, 1) AS INT) END AS pages, CASE WHEN reason IS NULL THEN coalesce(packages, 0) END AS packages, reason
+    f"""{_pages_sql(LARGE.sql, 11, 1000)}, c AS (SELECT capture_id FROM {LARGE.sql} UNION SELECT 'Brand#' || p_size FROM part),
+    r AS (SELECT *, CASE WHEN packages > 600 THEN 'package budget exceeded' WHEN large <= 10 THEN 'package exceeds page budget' WHEN last >= 10 THEN 'page budget exceeded' END AS reason
+      FROM (SELECT capture_id, count(*) AS packages, max(page) AS last, min(CASE WHEN row_bytes + 200 > 1000 THEN page END) AS large FROM g GROUP BY 1))
+    SELECT c.capture_id, CASE WHEN reason IS NULL THEN CAST(coalesce(last + 1, 1) AS INT) END AS pages, CASE WHEN reason IS NULL THEN coalesce(packages, 0) END AS packages, reason
     FROM c LEFT JOIN r ON r.capture_id = c.capture_id""",
 )
 def page_counts(spark, sf):
-    inventory = INVENTORY.frame(spark, sf)
+    inventory = LARGE.frame(spark, sf)
     empty = project("part", "'Brand#' || CAST(p_size AS STRING) AS capture_id").frame(spark, sf)
     captures = inventory.select("capture_id").union(empty).distinct()
-    pages, refused = op.paginate(inventory, max_rows=7, max_pages=100_000, max_packages=80)
+    pages, refused = op.paginate(inventory, max_rows=11, max_bytes=1000, max_pages=10, max_packages=600)
     return op.page_counts(captures, pages, refused)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators.changes import polls_in_fences
-from fleetlens.operators.intake import latest_state
+from fleetlens.streaming.stateful import ROCKSDB
+from fleetlens.streaming.tables import LatestTable
 
 
 def checkpoint_dir(spark: SparkSession, name: str, fallback: str | None = None) -> str:
@@ -21,36 +23,44 @@ def checkpoint_dir(spark: SparkSession, name: str, fallback: str | None = None)
     return f"{shared.rstrip('/')}/{name}"
 
 
-def land_once_stream(df: DataFrame, path: str, checkpoint: str, run_id: str = "run_id", ts: str = "finished_at", delay: str = "1 hour") -> StreamingQuery:
+def land_once_stream(
+    df: DataFrame, path: str, checkpoint: str, run_id: str = "run_id", trigger: dict | None = None,
+) -> StreamingQuery:
     """Append the first row of every run id to a table.
 
-    Repeats inside the watermark are dropped by the stream's own state; older
-    ones by an anti join with the landed ids.  A repeated micro-batch writes
-    into the same ``batch`` partition and so changes nothing.
+    Which ids were seen is kept in the RocksDB state store, which finds an id
+    without reading the others: a micro-batch reads and writes in proportion to
+    its own rows, however many were landed before, and changelog checkpoints
+    save only what changed.  Each stream writes into its own ``writer`` folder,
+    named after its checkpoint; ids that other writers had landed when it was
+    started are left out by a join, with a table that does not grow with this
+    stream.  A repeated micro-batch writes into the same ``batch`` partition and
+    so changes nothing.  A null id is an id.
     """
-    unique = df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([run_id])
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    writer = "w" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:15]
+    landed = _read(spark, path)
+    others = None if landed is None else landed.filter(F.col("writer") != writer).select(F.col(run_id).alias("_landed"))
+    if others is not None and others.isEmpty():
+        others = None
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch
-        landed = _read(batch.sparkSession, path)
-        if landed is not None:
-            fresh = batch.join(landed.filter(F.col("batch") < batch_id).select(run_id), run_id, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh = batch if others is None else batch.join(others, F.col(run_id).eqNullSafe(F.col("_landed")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch_id}")
 
-    return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.dropDuplicates([run_id]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
 
 
-def latest_state_stream(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    """Keep the newest row per key in a table with one version per micro-batch.
-
-    Read it with :func:`read_latest`.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        current = _version(batch.sparkSession, path, batch_id)
-        merged = batch if current is None else current.unionByName(batch)
-        latest_state(merged, keys, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_state_stream(
+    df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], buckets: int = 256, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the newest row per key in a bucketed table (:class:`~fleetlens.streaming.tables.LatestTable`), which reads it, too."""
+    table = LatestTable(path, tuple(keys), tuple(order), buckets)
+    return df.writeStream.foreachBatch(lambda batch, batch_id: (table.merge(batch, batch_id), None)[1]).option(
+        "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -60,19 +70,6 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    versions = _read(spark, path)
-    if versions is None:
-        return None
-    # a partition listing: the filter on the partition column reads no other version
-    newest = versions.filter(F.col("version") < before).select(F.max("version")).first()[0]
-    return None if newest is None else versions.filter(F.col("version") == newest).drop("version")
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    return _version(spark, path, 1 << 62)
-
-
 def telemetry_windows(df: DataFrame, value: str, ts: str = "seen_at", grain: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Count, sum and maximum per host and window, emitted once the window is over."""
     return (

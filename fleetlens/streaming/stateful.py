@@ -1,7 +1,8 @@
 """Keyed streaming forms of the operators that fold along time.
 
 State is a few numbers per key and is dropped by event-time timers once it can
-no longer matter.  A key's rows of one micro-batch are sorted in its task, so
+no longer matter: a block when it ends, an incident when it closes, a host or a
+slot when nothing was heard of it for a given time.  A key's rows of one micro-batch are sorted in its task, so
 the trigger limit of the source (``maxFilesPerTrigger`` /
 ``maxBytesPerTrigger``) bounds that group.  Rows are taken in event order
 inside a micro-batch and in arrival order across micro-batches; rows behind the
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetlens.functions.greedy import accept_in_order
-from fleetlens.operators.changes import INACTIVE_SECONDS, MAX_ENVELOPE_SECONDS, lsn
+from fleetlens.operators.changes import INACTIVE_SECONDS, lsn, valid_in_time
 from fleetlens.operators.checks import status_rank
 from fleetlens.operators.intake import TTL_SECONDS
 
@@ -91,9 +92,8 @@ def suppress_within_ttl(attempts: DataFrame, delay: str = "10 minutes", ttl_seco
 
 
 def reject_replays(tasks: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Tasks (``nonce, task_id, received_us, expires_us``) whose nonce is free; expired ones are left out."""
-    life = F.col("expires_us") - F.col("received_us")
-    shaped = tasks.filter((life > 0) & (life <= MAX_ENVELOPE_SECONDS * SECOND)).select(
+    """Tasks (``nonce, task_id, issued_us, received_us, expires_us``) and whether their nonce is free; those not valid in time are left out."""
+    shaped = tasks.filter(valid_in_time()).select(
         F.col("nonce").alias("key"), F.col("task_id").alias("tie"), F.timestamp_micros("received_us").alias("at"),
         F.col("received_us").alias("at_us"), F.col("expires_us").alias("until_us"),
     )
@@ -146,68 +146,90 @@ def open_incidents(results: DataFrame) -> DataFrame:
 
 
 class HostWatch(StatefulProcessor):
-    """Reports a host as offline when its heartbeats stop, and online when they return."""
+    """Reports a host as offline when its heartbeats stop, online when they return, and forgets it after a long silence.
 
-    def __init__(self, factor: int) -> None:
-        self.factor = factor
+    One timer a host: first for the end of its patience, then for being forgotten.
+    """
+
+    def __init__(self, factor: int, forget_seconds: int) -> None:
+        self.factor, self.forget_ms = factor, forget_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "last_us long, due_ms long, stale boolean")
+        self.seen = handle.getValueState("seen", "last_us long, timer_ms long, stale boolean")
+
+    def _remember(self, last: int, timer: int, stale: bool) -> None:
+        self.seen.update((last, timer, stale))
+        self.handle.registerTimer(timer)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = _in_order(rows, ["at_us"]).iloc[-1]
-        last, step = int(newest["at_us"]), int(newest["interval_seconds"])
+        newest = max(((int(r.at_us), int(r.interval_seconds)) for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r[0])
+        last, step = newest
         out = []
         if self.seen.exists():
-            before, due, stale = self.seen.get()
+            before, timer, stale = self.seen.get()
             if int(before) >= last:
                 return
-            self.handle.deleteTimer(int(due))
+            self.handle.deleteTimer(int(timer))
             if stale:
                 out.append((key[0], "online", last))
-        due = last // 1000 + self.factor * (step if step > 0 else 30) * 1000
-        self.seen.update((last, due, False))
-        self.handle.registerTimer(due)
+        self._remember(last, last // 1000 + self.factor * (step if step > 0 else 30) * 1000, False)
         yield pd.DataFrame(out, columns=["host_id", "state", "last_us"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        last, due, stale = self.seen.get()
         out = []
-        if not stale and int(due) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.update((int(last), int(due), True))
-            out.append((key[0], "offline", int(last)))
+        if self.seen.exists():
+            last, timer, stale = self.seen.get()
+            if int(timer) <= expiredTimerInfo.getExpiryTimeInMs():
+                if not stale:
+                    out.append((key[0], "offline", int(last)))
+                forget = max(int(timer) + 1, int(last) // 1000 + self.forget_ms)
+                if stale or forget <= timerValues.getCurrentWatermarkInMs():
+                    self.seen.clear()
+                else:
+                    self._remember(int(last), forget, True)
         yield pd.DataFrame(out, columns=["host_id", "state", "last_us"])
 
     def close(self) -> None:
         pass
 
 
-def stale_hosts(heartbeats: DataFrame, factor: int = 3, delay: str = "1 minute") -> DataFrame:
-    """``offline`` / ``online`` changes of hosts (``host_id, seen_at, interval_seconds``)."""
+def stale_hosts(heartbeats: DataFrame, factor: int = 3, delay: str = "1 minute", forget_seconds: int = 30 * 86_400) -> DataFrame:
+    """``offline`` / ``online`` changes of hosts (``host_id, seen_at, interval_seconds``).
+
+    A host that was offline and silent for ``forget_seconds`` is forgotten; if
+    it comes back, it is a new host, for which nothing is reported.
+    """
     use_rocksdb(heartbeats.sparkSession)
     shaped = heartbeats.select("host_id", "seen_at", F.unix_micros("seen_at").alias("at_us"), "interval_seconds")
     return (
         shaped.withWatermark("seen_at", delay)
         .groupBy("host_id")
-        .transformWithStateInPandas(HostWatch(factor), "host_id long, state string, last_us long", "append", "EventTime")
+        .transformWithStateInPandas(HostWatch(factor, forget_seconds), "host_id long, state string, last_us long", "append", "EventTime")
     )
 
 
 class SlotWatch(StatefulProcessor):
-    """First decision about a replication slot."""
+    """First decision about a replication slot; a slot of which no poll comes any more is forgotten."""
+
+    def __init__(self, forget_seconds: int) -> None:
+        self.forget_ms = forget_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("slot", "inactive_since long, decided boolean")
+        self.handle = handle
+        self.state = handle.getValueState("slot", "inactive_since long, decided boolean, timer_ms long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        since, decided = self.state.get() if self.state.exists() else (-1, False)
-        since, out = int(since), []
+        since, decided, timer = self.state.get() if self.state.exists() else (-1, False, -1)
+        since, timer, out, last = int(since), int(timer), [], 0
         for row in _in_order(rows, ["at_us", "poll_id"]).itertuples(index=False):
+            last = row.at_us
             if decided:
-                break
+                continue
             since = -1 if row.active else (row.at_us if since < 0 else since)
-            if since >= 0 and row.at_us - since > INACTIVE_SECONDS * SECOND:
+            if row.gone:
+                reason = "slot vanished"
+            elif since >= 0 and row.at_us - since > INACTIVE_SECONDS * SECOND:
                 reason = "slot inactive"
             elif row.over:
                 reason = "log over its ceiling"
@@ -219,20 +241,36 @@ class SlotWatch(StatefulProcessor):
                 continue
             decided = True
             out.append((key[0], reason, row.at_us))
-        self.state.update((since, bool(decided)))
+        forget = max(timer, last // 1000 + self.forget_ms)
+        if forget != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(forget)
+        self.state.update((since, bool(decided), forget))
         yield pd.DataFrame(out, columns=["slot_id", "status", "decided_us"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and int(self.state.get()[2]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame([], columns=["slot_id", "status", "decided_us"])
+
     def close(self) -> None:
         pass
 
 
-def catchup_status(samples: DataFrame) -> DataFrame:
-    """Decisions about replication slots; input as in the batch form."""
+def catchup_status(samples: DataFrame, delay: str = "10 minutes", forget_seconds: int = 7 * 86_400) -> DataFrame:
+    """Decisions about replication slots; input as in the batch form.
+
+    ``forget_seconds`` after its last poll a slot's state is dropped, decided
+    or not; polls of that name which come later are those of a new slot.
+    """
     use_rocksdb(samples.sparkSession)
     zero = F.lit(0).cast("decimal(38,0)")
     applied = F.greatest(F.coalesce(lsn(F.col("remote_lsn")), zero), F.coalesce(lsn(F.col("latest_end_lsn")), zero)) >= lsn(F.col("source_lsn"))
     shaped = samples.select(
-        "slot_id", "poll_id", F.unix_micros("at").alias("at_us"), "active", (F.col("wal_bytes") > F.col("max_wal_bytes")).alias("over"),
+        "slot_id", "poll_id", "at", F.unix_micros("at").alias("at_us"), "active", (F.col("wal_bytes") > F.col("max_wal_bytes")).alias("over"),
         (F.col("ready") & F.coalesce(applied, F.lit(False))).alias("done"), (F.col("at") > F.col("deadline")).alias("late"),
+        (~F.coalesce("present", F.lit(True))).alias("gone"),
     )
-    return shaped.groupBy("slot_id").transformWithStateInPandas(SlotWatch(), "slot_id long, status string, decided_us long", "append", "None")
+    return shaped.withWatermark("at", delay).groupBy("slot_id").transformWithStateInPandas(
+        SlotWatch(forget_seconds), "slot_id long, status string, decided_us long", "append", "EventTime")

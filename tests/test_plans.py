@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 # folds and byte-bounded pages need pandas over groups; nothing else may
-GROUPED_PANDAS = {"suppress_within_ttl", "reject_replays", "paginate", "page_counts"}
+GROUPED_PANDAS = {"suppress_within_ttl", "reject_replays"}
 
 
 def plan_of(spark, name):

@@ -1,5 +1,7 @@
 """Streaming forms against their batch forms, on the events table in several files."""
 
+import glob
+import os
 import tempfile
 
 import pytest
@@ -10,6 +12,7 @@ from fleetlens.operators import changes, checks, intake
 from fleetlens.plans import changes as change_plans
 from fleetlens.plans import intake as intake_plans
 from fleetlens.streaming import sinks, stateful
+from fleetlens.streaming.tables import LatestTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,18 +125,102 @@ def test_fence_polls(spark, work):
     assert all(counts[f] <= batch[f] for f in counts)
 
 
-def test_land_once_and_latest(spark, work):
-    posted = EVENTS.frame(spark, SF).selectExpr("user_id * 10 + k % 10 AS run_id", "event_id", "seen_at AS finished_at", "event_type AS status")
-    stream = as_stream(spark, posted, work, "posted", "event_id")
+def progress(stream, work, name):
+    """The last progress of a stream run to its end, and its result."""
+    query = (
+        stream.writeStream.format("memory").queryName(name).outputMode("append")
+        .option("checkpointLocation", f"{work}/cp-{name}").trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(240)
+    return query.lastProgress, stream.sparkSession.table(name)
+
+
+def test_state_of_silent_hosts_and_slots_goes(spark, work):
+    # forty keys in the first hour, one of them again days later, twice, so that the watermark gets there
+    rows = [(h, f"2026-01-01 00:{m:02d}:00", 30, h * 100 + m) for h in range(40) for m in range(0, 60, 20)]
+    rows += [(0, f"2026-03-0{d} 00:00:00", 30, 10_000 + d) for d in (1, 2, 3)]
+    beats = spark.createDataFrame(rows, "host_id long, t string, interval_seconds long, event_id long").withColumn("seen_at", F.to_timestamp("t"))
+    last, got = progress(stateful.stale_hosts(as_stream(spark, beats, work, "silent", "event_id")), work, "silent")
+    offline = {r.host_id for r in got.where("state = 'offline'").collect()}
+    assert offline >= set(range(1, 40))
+    assert last["stateOperators"][0]["numRowsTotal"] <= 2  # host 0 and its timer
+
+    slots = beats.selectExpr(
+        "host_id AS slot_id", "seen_at AS at", "event_id AS poll_id", "'0/1' AS remote_lsn", "CAST(NULL AS STRING) AS latest_end_lsn", "'0/2' AS source_lsn",
+        "1L AS wal_bytes", "2L AS max_wal_bytes", "true AS active", "false AS ready", "host_id <> 5 AS present", "timestamp'2027-01-01 00:00:00' AS deadline")
+    last, got = progress(stateful.catchup_status(as_stream(spark, slots, work, "silentslots", "poll_id")), work, "silentslots")
+    assert [(r.slot_id, r.status) for r in got.collect()] == [(5, "slot vanished")]
+    assert last["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+POSTED = ["user_id * 10 + k % 10 AS run_id", "event_id", "seen_at AS finished_at", "event_type AS status"]
+
+
+def test_land_once(spark, work):
+    posted = EVENTS.frame(spark, SF).selectExpr(*POSTED)
+    half = posted.where("event_id % 2 = 0")
+    stream = as_stream(spark, half, work, "posted", "event_id")
     assert sinks.land_once_stream(stream, f"{work}/landed", f"{work}/cp-landed").awaitTermination(240)
+    ids = half.select("run_id").distinct().count()
+    landed = spark.read.parquet(f"{work}/landed")
+    assert landed.count() == landed.select("run_id").distinct().count() == ids
+
+    # started again with nothing new, and with the rest: its own ids are in the state, no landed file is read
+    posted.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(f"{work}/posted/p=3")
+    query = sinks.land_once_stream(stream, f"{work}/landed", f"{work}/cp-landed")
+    assert query.awaitTermination(240)
     landed = spark.read.parquet(f"{work}/landed")
     assert landed.count() == landed.select("run_id").distinct().count() == posted.select("run_id").distinct().count()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == landed.count()
+
+    # another stream, whose state knows nothing, lands nothing twice
+    again = as_stream(spark, posted, work, "posted-again", "event_id")
+    assert sinks.land_once_stream(again, f"{work}/landed", f"{work}/cp-again").awaitTermination(240)
+    assert spark.read.parquet(f"{work}/landed").count() == landed.count()
+
 
-    again = as_stream(spark, posted, work, "posted2", "event_id")
-    assert sinks.latest_state_stream(again, f"{work}/latest", f"{work}/cp-latest", ["run_id"], ["finished_at", "event_id"]).awaitTermination(240)
-    got = {(r.run_id, r.event_id) for r in sinks.read_latest(spark, f"{work}/latest").collect()}
+def test_latest_state(spark, work):
+    posted = EVENTS.frame(spark, SF).selectExpr(*POSTED)
+    stream = as_stream(spark, posted, work, "states-posted", "event_id")
+    args = (f"{work}/latest", f"{work}/cp-latest", ["run_id"], ["finished_at", "event_id"])
+    assert sinks.latest_state_stream(stream, *args, buckets=16).awaitTermination(240)
+    table = LatestTable(args[0], ("run_id",), ("finished_at", "event_id"), 16)
     want = intake.latest_state(posted, ["run_id"], ["finished_at", "event_id"])
-    assert got == {(r.run_id, r.event_id) for r in want.collect()}
+    both = {(r.run_id, r.event_id, r.status) for r in want.collect()}
+    assert {(r.run_id, r.event_id, r.status) for r in table.read(spark, posted.schema).collect()} == both
+    some = want.limit(5).select("run_id")
+    assert table.lookup(some, posted.schema).count() == 5
+
+
+def files_of(path):
+    return {os.path.relpath(f, path): os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/bucket=*/version=*/*.parquet")}
+
+
+def test_merge_leaves_other_buckets_alone(spark, work):
+    table = LatestTable(f"{work}/merged", ("k",), ("at", "id"), 64)
+    row = "k long, at long, id long, text string"
+    frame = lambda rows: spark.createDataFrame(rows, row)
+    first = [(k, 1, k, "first") for k in range(500)] + [(None, 1, -1, "no key")]
+    assert len(table.merge(frame(first), 0)) == 64
+    before = files_of(table.path)
+    touched = table.merge(frame([(3, 2, 1, "new"), (3, 0, 9, "old"), (None, 2, 0, "newer"), (1000, 1, 1, "more")]), 1)
+    assert 1 <= len(touched) <= 3
+    after = files_of(table.path)
+    same = {f for f in before if int(f.split("/")[0].split("=")[1]) not in touched}
+    assert same and all(after[f] == before[f] for f in same)
+    assert all(f.split("/")[1] == "version=1" for f in set(after) - set(before))
+    got = {r.k: r.text for r in table.read(spark, row).collect()}
+    assert len(got) == 502 and got[3] == "new" and got[None] == "newer" and got[1000] == "more" and got[4] == "first"
+    # a repeated micro-batch changes nothing, an empty one neither, and old versions of a bucket go
+    assert table.merge(frame([(3, 2, 1, "new"), (3, 0, 9, "old"), (None, 2, 0, "newer"), (1000, 1, 1, "more")]), 1) == touched
+    assert {r.k: r.text for r in table.read(spark, row).collect()} == got
+    assert table.merge(frame([]), 2) == set()
+    for version in (3, 4, 5):
+        table.merge(frame([(3, version, 1, f"v{version}")]), version)
+    bucket = next(b for b, v in table.manifest(spark).items() if v == 5)
+    assert {f.split("/")[1] for f in files_of(table.path) if f.startswith(f"bucket={bucket}/")} == {"version=4", "version=5"}
+    with pytest.raises(ValueError):
+        LatestTable(table.path, ("k",), ("at", "id"), 32).read(spark, row)
 
 
 def test_checkpoint_dir(spark):
