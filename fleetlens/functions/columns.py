@@ -11,6 +11,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space, line ends included, at both ends."""
+    return F.regexp_replace(text, r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
+
+
 def field(array: Column, n: int) -> Column:
     """n-th element from 0, null when missing."""
     return F.get(array, F.lit(n))

@@ -30,7 +30,7 @@ def log_position(json: Column) -> Column:
             F.nullif(F.try_variant_get(v, f"$.{name}['$numberLong']", "string"), F.lit("")),
             F.nullif(F.try_variant_get(v, f"$.{name}['$numberInt']", "string"), F.lit("")),
         )
-        text = F.when(wrapped.rlike("^[+-]?[0-9]+$"), wrapped.try_cast("long"))
+        text = F.when(wrapped.rlike(r"\A[+-]?[0-9]+\z"), wrapped.try_cast("long"))
         return F.when(kind == "BIGINT", F.try_variant_get(v, f"$.{name}", "long")).when(kind.startswith("OBJECT"), text)
 
     seconds, increment = part("seconds"), part("increment")

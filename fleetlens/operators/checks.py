@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rules
+from fleetlens.functions.columns import trimmed
 from fleetlens.functions.ordered import number_segment, ordered_scan, time_segment
 
 
@@ -386,11 +387,11 @@ def expected_status(df: DataFrame) -> DataFrame:
     Input: ``check_type, url, expect_status, http_code, port, port_open, dry_run``.
     """
     # a whole number, signed or not, without blanks; anything else means 200
-    number = F.when(F.col("expect_status").rlike("^[+-]?[0-9]+$"), F.col("expect_status").try_cast("long"))
+    number = F.when(F.col("expect_status").rlike(r"\A[+-]?[0-9]+\z"), F.col("expect_status").try_cast("long"))
     expect = F.coalesce(number, F.lit(200))
-    port_text = F.trim(F.coalesce("port", F.lit("")))
+    port_text = trimmed(F.coalesce("port", F.lit("")))
     http = (
-        F.when(F.trim(F.coalesce("url", F.lit(""))) == "", "missing param: url")
+        F.when(trimmed(F.coalesce("url", F.lit(""))) == "", "missing param: url")
         .when(F.col("dry_run"), None)
         .when(
             F.col("http_code") != expect,
@@ -399,7 +400,7 @@ def expected_status(df: DataFrame) -> DataFrame:
     )
     port = (
         F.when(port_text == "", "missing param: port")
-        .when(~port_text.rlike("^[+-]?[0-9]+$"), "invalid port")
+        .when(~port_text.rlike(r"\A[+-]?[0-9]+\z"), "invalid port")
         .when(F.col("dry_run"), None)
         .when(~F.col("port_open"), "port closed")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules
 from fleetlens.functions.spread import spread_join
+from fleetlens.operators.redaction import secret_shaped_env
 
 # Name patterns and system accounts.
 ROLE_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,62}$"
@@ -310,6 +311,126 @@ def network_violations(networks: DataFrame, attachments: DataFrame) -> DataFrame
     return reduce(DataFrame.unionByName, [of_networks, of_subnets, of_addresses, of_shared])
 
 
+# What a project may declare and how its services may run.
+STOP_GRACE = r"\A[1-9][0-9]{0,2}s\z"
+SECRET_FILE = r"\A/run/[a-z][a-z-]*/migration-secrets/[a-z0-9][a-z0-9_-]{1,62}/[a-z0-9][a-z0-9_-]{1,62}\z"  # a site narrows it to its own folder
+CONTAINER_PATH = r"\A(?:/(?!\.\.?(?:/|\z))[^/\x00]+)+\z"
+DRIVERS = {"network": "bridge", "volume": "local"}
+CONDITIONS = ("", "service_started", "service_healthy")
+PROJECT_BOUNDS = {"service": (1, 64), "network": (1, 16), "volume": (0, 64), "secret": (0, 32)}
+LOG_OPTIONS = ("max-size", "max-file")
+
+
+def _violations(df: DataFrame, found: Column, service: Column | str = "service") -> DataFrame:
+    return df.select("project_id", F.col(service) if isinstance(service, str) else service.alias("service"), F.explode(F.array_compact(found)).alias("violation"))
+
+
+def resource_violations(services: DataFrame, resources: DataFrame, secret_file: str = SECRET_FILE) -> DataFrame:
+    """Declared networks, volumes and secrets with a bad name, driver or file, and projects that declare too many or too few.
+
+    ``services``: ``project_id, service``; ``resources``: ``project_id, kind, name, driver, file``.
+    """
+    named = lambda text: F.concat_ws(" ", F.lit(text), "kind", "name")
+    driver = F.coalesce("driver", F.lit(""))
+    allowed = F.create_map(*[F.lit(x) for pair in DRIVERS.items() for x in pair])
+    other = (driver != "") & (driver != F.coalesce(F.try_element_at(allowed, F.col("kind")), F.lit("")))
+    file_ok = F.coalesce(F.col("file").rlike(secret_file) & (F.substring_index("file", "/", -1) == F.col("name")), F.lit(False))
+    found = F.array(
+        F.when(~F.coalesce(F.col("name").rlike(CONTAINER_NAME), F.lit(False)), named("bad name of")),
+        F.when(other, named("driver of")),
+        F.when((F.col("kind") == "secret") & ~file_ok, named("file of")),
+    )
+    kinds = services.select("project_id", F.lit("service").alias("kind")).unionByName(resources.select("project_id", "kind"))
+    counts = kinds.groupBy("project_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in PROJECT_BOUNDS])
+    outside = F.array(*[F.when(~F.col(k).between(*PROJECT_BOUNDS[k]), f"number of {k}s") for k in PROJECT_BOUNDS])
+    return _violations(resources, found, F.lit("")).unionByName(_violations(counts, outside, F.lit("")))
+
+
+def dependency_violations(services: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Dependencies on what is no service of the project, or under a policy that is not supported.
+
+    ``dependencies``: ``project_id, service, dependency, condition, restart``.
+    """
+    known = services.select("project_id", F.col("service").alias("dependency")).distinct().withColumn("known", F.lit(True))
+    policy_ok = F.col("dependency").rlike(CONTAINER_NAME) & F.coalesce("condition", F.lit("")).isin(*CONDITIONS) & ~F.coalesce("restart", F.lit(False))
+    found = F.array(
+        F.when(~F.coalesce(policy_ok, F.lit(False)), F.concat_ws(" ", F.lit("policy of dependency"), "dependency")),
+        F.when(F.col("known").isNull(), F.concat_ws(" ", F.lit("unknown dependency"), "dependency")),
+    )
+    return _violations(dependencies.join(known, ["project_id", "dependency"], "left"), found)
+
+
+def environment_violations(environment: DataFrame, used: DataFrame) -> DataFrame:
+    """Environments with a bad or secret entry (:func:`~fleetlens.operators.redaction.secret_shaped_env`).
+
+    ``environment``: ``project_id, service, env`` (a map); ``used``: as in
+    :func:`reference_violations`; a service may name the files of its secrets.
+    """
+    secrets = used.filter("kind = 'secret'").groupBy("project_id", "service").agg(F.collect_set("name").alias("secrets"))
+    joined = environment.join(secrets, ["project_id", "service"], "left")
+    reason = secret_shaped_env(F.col("env"), F.coalesce("secrets", F.array().cast("array<string>")))
+    return _violations(joined, F.array(F.when(reason.isNotNull(), F.concat(F.lit("environment: "), reason))))
+
+
+def bind_source_ok(source: Column) -> Column:
+    """Whether a relative path stays below where it starts, and is not that place itself."""
+    step = lambda at, part: F.when(at < 0, at).when(part == "..", at - 1).when(part.isin("", "."), at).otherwise(at + 1)
+    depth = F.aggregate(F.split(source, "/"), F.lit(0), step)
+    return ~source.startswith("/") & ~source.contains("\x00") & (depth > 0)
+
+
+def runtime_violations(settings: DataFrame) -> DataFrame:
+    """Stop period, temporary folders, mounts and logging of a service.
+
+    ``settings``: ``project_id, service, stop_grace_period, tmpfs, volumes``
+    (arrays of ``path[:options]`` and ``source:target[:ro|rw]``)``,
+    log_driver`` (null: no logging is given) and ``log_options`` (a map).
+    """
+    none = F.array().cast("array<string>")
+
+    def mount_ok(v: Column) -> Column:
+        parts = F.split(v, ":", -1)
+        source, target, mode = (F.get(parts, F.lit(n)) for n in range(3))
+        shape = F.size(parts).between(2, 3) & (source != "") & F.coalesce(mode.isin("ro", "rw"), F.lit(True))
+        return shape & target.rlike(CONTAINER_PATH) & (source.rlike(CONTAINER_NAME) | bind_source_ok(source))
+
+    period = F.coalesce("stop_grace_period", F.lit(""))
+    tmpfs_ok = F.forall(F.coalesce("tmpfs", none), lambda p: F.substring_index(p, ":", 1).rlike(CONTAINER_PATH))
+    mounts_ok = F.forall(F.coalesce("volumes", none), lambda v: F.coalesce(mount_ok(v), F.lit(False)))
+    options = F.map_entries("log_options")
+    present = [F.coalesce(F.try_element_at("log_options", F.lit(o)), F.lit("")) != "" for o in LOG_OPTIONS]
+    log_ok = (F.col("log_driver") == "json-file") & reduce(lambda a, b: a & b, present) & ~F.exists(
+        options, lambda e: ~e["key"].isin(*LOG_OPTIONS) | (F.octet_length(e["value"]) > 16))
+    found = F.array(
+        F.when((period != "") & ~period.rlike(STOP_GRACE), "stop grace period"),
+        F.when(~tmpfs_ok, "temporary folder"),
+        F.when(~mounts_ok, "mount"),
+        F.when(F.col("log_driver").isNotNull() & ~F.coalesce(log_ok, F.lit(False)), "logging"),
+    )
+    return _violations(settings, found)
+
+
+def attachment_violations(services: DataFrame, networks: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Services on no network or on one that is not declared."""
+    on = attachments.select("project_id", "service")
+    alone = services.join(on, ["project_id", "service"], "left_anti").select("project_id", "service", F.lit("no network").alias("violation"))
+    unknown = attachments.join(networks.select("project_id", "name"), ["project_id", "name"], "left_anti")
+    return alone.unionByName(unknown.select("project_id", "service", F.concat(F.lit("unknown network "), "name").alias("violation")))
+
+
+def container_policy(
+    services: DataFrame, resources: DataFrame, used: DataFrame, networks: DataFrame, attachments: DataFrame, dependencies: DataFrame,
+    environment: DataFrame, settings: DataFrame, secret_file: str = SECRET_FILE,
+) -> DataFrame:
+    """Every violation of a project's whole policy: what :func:`publishable_container` finds, and the rules above."""
+    declared = resources.filter("kind <> 'network'").select("project_id", "kind", "name")
+    return reduce(DataFrame.unionByName, [
+        publishable_container(services, declared, used, networks, attachments), resource_violations(services, resources, secret_file),
+        dependency_violations(services, dependencies), environment_violations(environment, used), runtime_violations(settings),
+        attachment_violations(services, networks, attachments),
+    ])
+
+
 def publishable_container(services: DataFrame, declared: DataFrame, used: DataFrame, networks: DataFrame, attachments: DataFrame) -> DataFrame:
     """Every violation of a project's container policy; none means publishable."""
     return reduce(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from fleetlens.functions import rules
-from fleetlens.functions.columns import field
+from fleetlens.functions.columns import field, trimmed
 from fleetlens.functions.pages import Limits, cut_pages
 
 # Inventory limits and identity patterns.
@@ -230,16 +230,28 @@ def parse_stanzas(stanzas: DataFrame) -> DataFrame:
 
     Input: ``index_id, stanza_no, stanza`` (as read with a blank line as the
     separator).  Adds the fields and ``error``; blocks of other families, or
-    without a usable size and digest, are dropped.
+    without a usable size and digest, are dropped.  A field that comes twice
+    is an error unless it was empty before.
     """
-    lines = F.filter(F.split("stanza", "\n"), lambda s: (s != "") & ~s.rlike(r"^[ \t]"))
+    whole = F.split("stanza", "\n")
+    blank = F.array_position(whole, "")
+    block = F.when(blank > 0, F.slice(whole, F.lit(1), blank.cast("int") - 1)).otherwise(whole)  # a blank line ends it
+    lines = F.filter(block, lambda s: ~s.rlike(r"^[ \t]"))
     keys = F.transform(lines, lambda s: F.substring_index(s, ":", 1))
+    last_first = F.reverse(keys)
 
     def value(key: str) -> Column:
-        mine = field(F.filter(lines, lambda s: s.startswith(f"{key}:")), 0)
-        return F.coalesce(F.trim(F.substring(mine, len(key) + 2, 1 << 20)), F.lit(""))
+        mine = F.filter(lines, lambda s: s.startswith(f"{key}:"))
+        given = F.filter(F.transform(mine, lambda s: trimmed(F.substring(s, F.lit(len(key) + 2), F.length(s)))), lambda v: v != "")
+        return F.coalesce(field(given, 0), F.lit(""))
 
-    metadata_ok = ~F.exists(lines, lambda s: ~s.contains(":")) & (F.size(keys) == F.size(F.array_distinct(keys)))
+    def repeated(s: Column, i: Column) -> Column:
+        # a field may come again only while it is empty
+        given = trimmed(F.substring(s, F.instr(s, ":") + 1, F.length(s))) != ""
+        return given & (F.array_position(last_first, F.substring_index(s, ":", 1)) != F.size(keys) - i)
+
+    bad = F.transform(lines, lambda s, i: ~s.contains(":") | repeated(s, i))
+    metadata_ok = ~F.exists(bad, lambda b: b)
     out = stanzas.select(
         "index_id", "stanza_no", metadata_ok.alias("metadata_ok"), value("Package").alias("name"), value("Version").alias("version"),
         value("Architecture").alias("architecture"), value("Source").alias("source"), value("Size").alias("size_text"),
@@ -294,7 +306,7 @@ def parse_release(releases: DataFrame, now, index_path: str = INDEX_PATH) -> tup
 
     def value(key: str) -> Column:
         mine = field(F.filter(heads, lambda s: s.startswith(f"{key}:")), 0)
-        return F.coalesce(F.trim(F.substring(mine, len(key) + 2, 1 << 20)), F.lit(""))
+        return F.coalesce(F.trim(F.substring(mine, F.lit(len(key) + 2), F.length(mine))), F.lit(""))
 
     # indented lines between the SHA256 header and the next header
     section = F.regexp_extract("text", r"(?:^|\n)SHA256:[^\n]*((?:\n[ \t][^\n]*)*)", 1)

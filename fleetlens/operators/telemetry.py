@@ -184,7 +184,7 @@ def top_processes(snap_a: DataFrame, snap_b: DataFrame, system: DataFrame, by: s
     """
     a = snap_a.select("host_id", "sample", "pid", F.col("ticks").alias("ticks_a"))
     procs = snap_b.join(a, ["host_id", "sample", "pid"]).filter("ticks >= ticks_a")
-    procs = spread_join(procs, system, ["host_id", "sample"], ["pid"])
+    procs = spread_join(procs, system, ["host_id", "sample"], ["pid"], counted=snap_b)
     base = F.when(F.col("d_total") > 0, F.col("d_total")).otherwise(1)
     procs = procs.withColumn("cpu_percent", round1((F.col("ticks") - F.col("ticks_a")) / base * 100))
     measure = F.col("cpu_percent") if by == "cpu" else F.col("rss_bytes")
@@ -321,26 +321,33 @@ def capability_matrix(heartbeats: DataFrame, tools: Sequence[str] = ("ansible",
 
 
 def telemetry_rollup(df: DataFrame, value: str, ts: str = "seen_at", grain: str = "1 hour") -> DataFrame:
-    """Average, maximum and 95th percentile of a percent column per host and window.
+    """Average, maximum and 95th percentile (nearest rank) of a column per host and window, all of the values as they are.
 
-    Average and maximum are of the values as they are; the average is summed in
-    decimals of ten places, so it does not depend on the order.  The percentile
-    is that of tenths, whose histogram has at most 1001 counts per group.
+    The average is summed in decimals of ten places, so it does not depend on
+    the order.  Rows are read and shuffled once, counted by value.  The counts
+    are added up by tenths, which tells the tenth that holds the percentile and
+    how many values lie below it; only the values of that tenth are ranked.
     """
-    from fleetlens.operators.checks import nearest_rank
-
-    tenths = df.select(
-        "host_id", F.window(ts, grain)["start"].alias("window_start"), F.round(F.col(value) * 10).cast("long").alias("tenths"),
-        F.col(value).alias("raw"), F.col(value).try_cast("decimal(28,10)").alias("exact"),
-    )
     keys = ["host_id", "window_start"]
+    counted = df.select(
+        "host_id", F.window(ts, grain)["start"].alias("window_start"), F.col(value).alias("raw"), F.col(value).try_cast("decimal(28,10)").alias("exact"),
+    ).groupBy(*keys, "raw").agg(F.count("raw").alias("n"), F.sum("exact").alias("total"), F.count("exact").alias("summed"))
+    counted = counted.withColumn("tenth", F.floor(F.col("raw") * 10))
+    tenths = counted.groupBy(*keys, "tenth").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("summed").alias("summed"), F.max("raw").alias("top"))
+    group = Window.partitionBy(*keys)
+    tenths = tenths.withColumns({
+        "below": F.sum("n").over(group.orderBy("tenth").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"),
+        "rank": F.expr("(95 * sum(n) over (partition by host_id, window_start) + 99) div 100"),
+    })
+    holds = (F.col("n") > 0) & (F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n"))
     summary = tenths.groupBy(*keys).agg(
-        F.count("raw").alias("samples"),
-        F.try_divide(F.sum("exact").cast("double"), F.count("exact")).alias("avg_value"),
-        F.max("raw").alias("max_value"),
-    )
-    tail = nearest_rank(tenths, keys, "tenths", {"p95": 0.95})
-    return summary.join(tail, keys, "left").withColumn("p95_value", F.col("p95") / 10).drop("p95")
+        F.sum("n").alias("samples"), F.try_divide(F.sum("total").cast("double"), F.sum("summed")).alias("avg_value"),
+        F.max("top").alias("max_value"), F.max(F.when(holds, F.struct("tenth", "below", "rank"))).alias("at"))
+    inside = counted.filter("n > 0").join(summary.select(*keys, "at.tenth", "at.below", "at.rank"), [*keys, "tenth"])
+    upto = F.col("below") + F.sum("n").over(group.orderBy("raw").rowsBetween(Window.unboundedPreceding, 0))
+    tail = inside.withColumn("upto", upto).groupBy(*keys).agg(F.min(F.when(F.col("upto") >= F.col("rank"), F.col("raw"))).alias("p95_value"))
+    return summary.drop("at").join(tail, keys, "left")
 
 
 def region_rollup(df: DataFrame, value: str) -> DataFrame:

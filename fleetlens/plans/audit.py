@@ -297,6 +297,39 @@ def container_software(spark, sf):
     return op.container_software(CONTAINERS.frame(spark, sf), EXECS.frame(spark, sf))
 
 
+# texts as the commands print them: ids twice, lines with too few fields, blanks around, ports with gaps
+PS_TEXTS = project(
+    EVENTS, "event_id AS run_id", "CAST(1 AS BIGINT) AS ord", "'docker_ps' AS name",
+    "' c1' || chr(9) || 'nginx:1.' || CAST(k AS STRING) || chr(9) || event_type || chr(9) || '80/tcp, ,443/tcp,' || chr(10) || 'short' || chr(9) || 'line' || chr(10) || chr(10) || 'c2' || chr(9) || ' redis:7.2.' || CAST(k AS STRING) || ' ' || chr(9) || 'cache'"
+    " || chr(10) || 'c3' || chr(9) || 'custom/app:1.0' || chr(9) || 'app' || CASE WHEN k % 3 = 0 THEN chr(10) || 'c1' || chr(9) || 'httpd:2.4' || chr(9) || 'web' || chr(9) || '8080/tcp' || chr(10) ELSE '' END AS output",
+)
+EXEC_TEXTS = project(
+    EVENTS, "event_id AS run_id", "CAST(2 AS BIGINT) AS ord", "CASE WHEN k % 10 = 9 THEN 'other' ELSE 'container_version_exec' END AS name",
+    "'c3' || chr(9) || 'img' || chr(9) || ' ' || chr(9) || 'openssl' || chr(9) || '/usr/bin/openssl' || chr(9) || 'OpenSSL 3.0.' || CAST(k AS STRING) || chr(10) || 'c1' || chr(9) || chr(9) || 'given' || chr(9) || 'nginx' || chr(9) || '/usr/sbin/nginx' || chr(9)"
+    " || CASE WHEN k % 4 = 0 THEN 'unknown' ELSE 'nginx/1.9.' || CAST(k AS STRING) || chr(9) || 'built 2.2' END || chr(10) || 'c9' || chr(9) || chr(9) || chr(9) || 'nginx' || chr(9) || 'x' || chr(9) || 'v 5.5' || chr(10) || 'c3' || chr(9) || 'too' || chr(9) || 'few' AS output",
+)
+SECOND_TEXTS = project(EVENTS, "event_id AS run_id", "CAST(3 AS BIGINT) AS ord", "'docker_ps' AS name", "'late' || chr(9) || 'nginx:9.9' || chr(9) || 'late' AS output", where="k % 5 = 0")
+
+
+@query(
+    "container_software_from_outputs",
+    f"""WITH e AS (SELECT event_id AS run_id, k, event_type, k % 10 <> 9 AS asked, k % 3 = 0 AS again FROM {EVENTS.sql}),
+    i AS (SELECT run_id, 'c1' AS container_id, CASE WHEN again THEN 'httpd:2.4' ELSE 'nginx:1.' || k END AS image, CASE WHEN again THEN 'web' ELSE event_type END AS container_name,
+        CASE WHEN again THEN ['8080/tcp'] ELSE ['80/tcp', '443/tcp'] END AS ports, CASE WHEN again THEN 'apache' ELSE 'nginx' END AS family, CASE WHEN again THEN '2.4' ELSE '1.' || k END AS version, e.* EXCLUDE run_id FROM e
+      UNION ALL SELECT run_id, 'c2', 'redis:7.2.' || k, 'cache', [], 'redis', '7.2.' || k, e.* EXCLUDE run_id FROM e),
+    x AS (SELECT run_id, 'c3' AS container_id, 'openssl' AS family, '3.0.' || k AS version, '/usr/bin/openssl' AS binary_path, 'app' AS container_name, 'img' AS image, CAST([] AS VARCHAR[]) AS ports FROM e WHERE asked
+      UNION ALL SELECT run_id, container_id, 'nginx', '1.9.' || k, '/usr/sbin/nginx', 'given', image, ports FROM i WHERE asked AND k % 4 <> 0 AND container_id = 'c1'
+      UNION ALL SELECT run_id, 'c9', 'nginx', '5.5', 'x', '', '', NULL FROM e WHERE asked),
+    u AS (SELECT run_id, container_id, family, version, 'container_exec' AS version_source, binary_path, container_name, image, ports, CAST(0.84 AS DOUBLE) AS confidence FROM x
+      UNION ALL SELECT run_id, container_id, family, version, 'container_image_tag', '', container_name, image, ports, 0.72 FROM i
+        WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.run_id = i.run_id AND x.container_id = i.container_id AND x.family = i.family))
+    SELECT * REPLACE (array_to_string(ports, ' ') AS ports) FROM u""",
+)
+def container_software_from_outputs(spark, sf):
+    outputs = PS_TEXTS.frame(spark, sf).unionByName(EXEC_TEXTS.frame(spark, sf)).unionByName(SECOND_TEXTS.frame(spark, sf))
+    return op.container_software_from_outputs(outputs).withColumn("ports", F.array_join("ports", " "))
+
+
 CONTAINER_OUTPUTS = project(
     EVENTS, "user_id AS run_id", "'software_inventory_containers' AS check_key", "event_id AS ord", "CAST(k % 2 AS INT) AS exit_code",
     "CASE k % 3 WHEN 0 THEN 'docker_ps' WHEN 1 THEN 'docker_inspect' ELSE 'container_version_exec' END AS name", "CASE WHEN k < 97 THEN ' ' ELSE 'row' END AS output",

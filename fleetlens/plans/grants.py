@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
 from fleetlens.adapters import project
 from fleetlens.operators import grants as op
 from fleetlens.plans.registry import query
@@ -229,6 +233,62 @@ def publishable_container(spark, sf):
     return op.publishable_container(*[x.frame(spark, sf) for x in (SERVICES, DECLARED, USED, NETWORKS, ATTACHMENTS)])
 
 
+# every project breaks each rule somewhere, some projects the bounds
+RESOURCES = project(
+    "part", "p_brand AS project_id", "CASE p_size % 3 WHEN 0 THEN 'network' WHEN 1 THEN 'volume' ELSE 'secret' END AS kind", "CASE WHEN p_partkey % 23 = 0 THEN 'Bad' ELSE 'n' || CAST(p_partkey AS STRING) END AS name",
+    "CASE p_partkey % 7 WHEN 0 THEN 'overlay' WHEN 1 THEN 'bridge' WHEN 2 THEN 'local' ELSE '' END AS driver",
+    "CASE WHEN p_size % 3 = 2 THEN CASE p_partkey % 5 WHEN 0 THEN '/run/agent/migration-secrets/p1/other' WHEN 1 THEN '/etc/n' || CAST(p_partkey AS STRING) ELSE '/run/agent/migration-secrets/p1/n' || CAST(p_partkey AS STRING) END END AS file",
+)
+DEPENDENCIES = project(
+    "part", "p_brand AS project_id", "'svc-' || CAST(p_partkey AS STRING) AS service", "CASE p_partkey % 4 WHEN 0 THEN 'svc-' || CAST(p_partkey AS STRING) WHEN 1 THEN 'Bad!' ELSE 'svc-none' END AS dependency",
+    "CASE p_partkey % 3 WHEN 0 THEN 'service_healthy' WHEN 1 THEN 'service_completed' ELSE '' END AS condition", "p_partkey % 11 = 0 AS restart",
+)
+ENVIRONMENT = project(
+    "part", "p_brand AS project_id", "'svc-' || CAST(p_partkey AS STRING) AS service",
+    "CASE p_partkey % 6 WHEN 0 THEN 'lower' WHEN 1 THEN 'DB_PASSWORD' WHEN 2 THEN 'DB_PASSWORD_FILE' WHEN 3 THEN 'PLAIN' ELSE 'OTHER' END AS k",
+    "CASE p_partkey % 6 WHEN 2 THEN '/run/secrets/n' || CAST(p_partkey % 80 AS STRING) WHEN 3 THEN 'a$' || '{b}' ELSE 'v' END AS v",
+)
+SETTINGS = project(
+    "part", "p_brand AS project_id", "'svc-' || CAST(p_partkey AS STRING) AS service", "CASE p_partkey % 5 WHEN 0 THEN '0s' WHEN 1 THEN '10s' WHEN 2 THEN '1m' ELSE '' END AS stop_grace_period",
+    "CASE p_partkey % 4 WHEN 0 THEN ARR('/tmp/a:size=1m', '/tmp/../b') WHEN 1 THEN ARR('/tmp') END AS tmpfs",
+    "CASE p_partkey % 8 WHEN 0 THEN ARR('data:/var/lib/x:rw') WHEN 1 THEN ARR('./a/../b:/x', '../up:/x') WHEN 2 THEN ARR('/abs:/x') WHEN 3 THEN ARR('a/..:/x') WHEN 4 THEN ARR('rel/dir:/x:ro') WHEN 5 THEN ARR('one') WHEN 6 THEN ARR('data:/x:z') ELSE ARR('data:/x/') END AS volumes",
+    "CASE p_partkey % 9 WHEN 0 THEN 'json-file' WHEN 1 THEN 'syslog' WHEN 2 THEN 'json-file' END AS log_driver", "CASE p_partkey % 9 WHEN 2 THEN '10m' ELSE '' END AS log_size",
+)
+
+
+@query(
+    "container_policy_rules",
+    f"""WITH s AS (SELECT project_id, service FROM {SERVICES_SQL}), r AS (SELECT * FROM {RESOURCES.sql}), a AS (SELECT * FROM {ATTACHMENTS.sql}),
+    c AS (SELECT project_id, (SELECT count(*) FROM s WHERE s.project_id = p.project_id) AS services, count(*) FILTER (kind = 'network') AS networks, count(*) FILTER (kind = 'volume') AS volumes,
+      count(*) FILTER (kind = 'secret') AS secrets FROM r p GROUP BY project_id),
+    v AS (SELECT project_id, '' AS service, unnest([CASE WHEN name = 'Bad' THEN 'bad name of ' || kind || ' ' || name END,
+        CASE WHEN driver NOT IN ('', CASE kind WHEN 'network' THEN 'bridge' WHEN 'volume' THEN 'local' ELSE '' END) THEN 'driver of ' || kind || ' ' || name END,
+        CASE WHEN kind = 'secret' AND file <> '/run/agent/migration-secrets/p1/' || name THEN 'file of ' || kind || ' ' || name END]) AS violation FROM r
+      UNION ALL SELECT project_id, '', unnest([CASE WHEN services NOT BETWEEN 1 AND 64 THEN 'number of services' END, CASE WHEN networks NOT BETWEEN 1 AND 16 THEN 'number of networks' END,
+        CASE WHEN volumes > 64 THEN 'number of volumes' END, CASE WHEN secrets > 32 THEN 'number of secrets' END]) FROM c
+      UNION ALL SELECT project_id, service, unnest([CASE WHEN dependency = 'Bad!' OR condition = 'service_completed' OR restart THEN 'policy of dependency ' || dependency END,
+        CASE WHEN (project_id, dependency) NOT IN (SELECT (project_id, service) FROM s) THEN 'unknown dependency ' || dependency END]) FROM {DEPENDENCIES.sql}
+      UNION ALL SELECT project_id, service, CASE WHEN k = 'lower' THEN 'environment: invalid entry' WHEN k = 'DB_PASSWORD' THEN 'environment: secret-shaped'
+        WHEN k = 'DB_PASSWORD_FILE' AND NOT EXISTS (SELECT 1 FROM {USED.sql} u WHERE u.project_id = e.project_id AND u.service = e.service AND u.kind = 'secret' AND '/run/secrets/' || u.name = e.v) THEN 'environment: secret-shaped'
+        WHEN k = 'PLAIN' THEN 'environment: interpolation' END FROM {ENVIRONMENT.sql} e
+      UNION ALL SELECT project_id, service, unnest([CASE WHEN stop_grace_period IN ('0s', '1m') THEN 'stop grace period' END, CASE WHEN len(tmpfs) = 2 THEN 'temporary folder' END,
+        CASE WHEN volumes[1] NOT IN ('data:/var/lib/x:rw', 'rel/dir:/x:ro') THEN 'mount' END, CASE WHEN log_driver = 'syslog' OR (log_driver = 'json-file' AND log_size = '') THEN 'logging' END]) FROM {SETTINGS.sql}
+      UNION ALL SELECT project_id, service, 'no network' FROM s WHERE (project_id, service) NOT IN (SELECT (project_id, service) FROM a)
+      UNION ALL SELECT a.project_id, a.service, 'unknown network ' || a.name FROM a WHERE (a.project_id, a.name) NOT IN (SELECT (project_id, name) FROM {NETWORKS.sql}))
+    SELECT project_id, service, violation FROM v WHERE violation IS NOT NULL""",
+)
+def container_policy_rules(spark, sf):
+    services, used, networks, attachments = (x.frame(spark, sf) for x in (SERVICES, USED, NETWORKS, ATTACHMENTS))
+    environment = ENVIRONMENT.frame(spark, sf).select("project_id", "service", F.create_map("k", "v").alias("env"))
+    options = F.create_map(F.lit("max-size"), F.col("log_size"), F.lit("max-file"), F.lit("3"))
+    settings = SETTINGS.frame(spark, sf).withColumn("log_options", options)
+    rules = [
+        op.resource_violations(services, RESOURCES.frame(spark, sf)), op.dependency_violations(services, DEPENDENCIES.frame(spark, sf)),
+        op.environment_violations(environment, used), op.runtime_violations(settings), op.attachment_violations(services, networks, attachments),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), rules)
+
+
 MAPPINGS = project(
     "part", "p_brand AS contract_id", "p_partkey AS ord", "CASE p_size % 12 WHEN 0 THEN 'template1' WHEN 1 THEN 'bad name' ELSE 'db' || CAST(p_partkey % 1900 AS STRING) END AS source",
     "CASE p_size % 10 WHEN 0 THEN 'live_' ELSE 'mig_' END || CAST(p_partkey AS STRING) AS target",

@@ -365,9 +365,9 @@ def capability_matrix(spark, sf):
 @query(
     "telemetry_rollup",
     f"""WITH t AS (SELECT host_id, date_trunc('day', seen_at) AS d, cpu_percent, CAST(round(cpu_percent * 10) AS BIGINT) AS tenths FROM ({CPU_SQL})),
-    r AS (SELECT *, CASE WHEN tenths IS NOT NULL THEN row_number() OVER (PARTITION BY host_id, d ORDER BY tenths NULLS LAST) END AS rn, count(tenths) OVER (PARTITION BY host_id, d) AS n FROM t)
+    r AS (SELECT *, CASE WHEN tenths IS NOT NULL THEN row_number() OVER (PARTITION BY host_id, d ORDER BY cpu_percent NULLS LAST) END AS rn, count(tenths) OVER (PARTITION BY host_id, d) AS n FROM t)
     SELECT host_id, epoch_us(d) AS window_start, count(tenths) AS samples, CAST(sum(CAST(cpu_percent AS DECIMAL(28,10))) AS DOUBLE) / count(tenths) AS avg_value, max(cpu_percent) AS max_value,
-      min(tenths) FILTER (rn >= ceil(n * 0.95)) / 10 AS p95_value FROM r GROUP BY host_id, d""",
+      min(cpu_percent) FILTER (rn >= ceil(n * 0.95)) AS p95_value FROM r GROUP BY host_id, d""",
 )
 def telemetry_rollup(spark, sf):
     return emit(op.telemetry_rollup(op.cpu_percent(CPU.frame(spark, sf)), "cpu_percent", grain="1 day"))

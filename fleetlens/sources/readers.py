@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ordered import ordered_scan
 from fleetlens.sources import schemas
 
 
@@ -59,14 +60,20 @@ def read_command_result(spark: SparkSession, path: str, stream: bool = False) ->
 
 
 def read_stanzas(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of package index files, one row each, numbered inside their file."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path)
-    return blocks.select(
+    """Blocks of package index files, one row each, numbered from 1 inside their file.
+
+    A file is read in splits.  Each split numbers its own blocks, and the
+    counts of the splits before it are added, so the numbers do not depend on
+    where a file is cut.
+    """
+    blocks = spark.read.option("lineSep", "\n\n").text(path).select(
         F.col("_metadata.file_path").alias("index_id"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("stanza_no"),
+        F.monotonically_increasing_id().alias("place"),
         F.ltrim(F.col("value"), F.lit("\n")).alias("stanza"),
     ).filter("stanza <> ''")
+    numbered = ordered_scan(blocks, ["index_id"], ["block_start", "place"], "block_start", row_number="stanza_no")
+    return numbered.select("index_id", "stanza_no", "stanza")
 
 
 def file_manifest(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import columns as col
 from fleetlens.functions import rules
 from fleetlens.functions.digest import canonical_json, grouped_digest, multiset_digest, multiset_parts
-from fleetlens.operators import audit, changes, checks, digests, files, packages, redaction, telemetry
+from fleetlens.operators import audit, changes, checks, digests, files, grants, packages, redaction, telemetry
 
 
 def value(spark, column, **inputs):
@@ -263,3 +263,57 @@ def test_dropping_unique_changes_the_structure(spark):
     assert digests.verify_tables(same, manifest(0, "NULL")).first().equal
     assert digests.verify_tables(same, dropped).first().reason == "structure"
     assert digests.verify_tables(same, shorter).first().reason == "structure"
+
+
+def test_percentile_is_of_the_values_themselves(spark):
+    rows = [("a", 0.04), ("a", 0.04), ("a", 1234.567), ("b", None)] + [("c", i / 100) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "host_id string, v double").withColumn("seen_at", F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    got = {r.host_id: (r.samples, r.max_value, r.p95_value) for r in telemetry.telemetry_rollup(df, "v").collect()}
+    assert got == {"a": (3, 1234.567, 1234.567), "b": (0, None, None), "c": (100, 1.0, 0.95)}
+
+
+def test_numbers_end_where_they_end(spark):
+    row = "check_type string, url string, expect_status string, http_code long, port string, port_open boolean, dry_run boolean"
+    rows = [("http", "u", t, 200, None, True, False) for t in ("204", "204\n", "+200", " 200")] + [("port", None, None, None, p, True, False) for p in ("80\n", "8\n0")]
+    got = [r.error for r in checks.expected_status(spark.createDataFrame(rows, row).coalesce(1)).collect()]
+    assert got == ["unexpected status: got=200 want=204", None, None, None, None, "invalid port"]
+
+
+def test_fields_of_a_stanza_that_come_again(spark):
+    def stanza(*lines):
+        return "\n".join(["Package: nginx", "Architecture: amd64", *lines, "Size: 5", "SHA256: " + "ab" * 32])
+
+    texts = [stanza("Version: 1.0"), stanza("Version:", "Version: 2.0"), stanza("Version: 3.0", "Version:"), stanza("Version: 4.0", " Version: x", "\tno colon"),
+             stanza("Version: 5.0") + "\n\nno colon after the end", stanza("Version:\t6.0 \r"), stanza("X:", "X:", "X: a", "Version: 7.0")]
+    df = spark.createDataFrame([("i", n, t) for n, t in enumerate(texts)], "index_id string, stanza_no int, stanza string")
+    got = {r.stanza_no: (r.error, r.version) for r in packages.parse_stanzas(df).collect()}
+    assert {n: v for n, (e, v) in got.items() if e is None} == {0: "1.0", 1: "2.0", 3: "4.0", 4: "5.0", 5: "6.0", 6: "7.0"}
+    assert got[2][0] == "invalid_control_metadata"
+
+
+def test_slices_follow_the_counts(spark):
+    from fleetlens.functions.spread import common_keys, spread_join
+
+    many = spark.range(60_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE 'k' || (id % 20000) END AS k", "id AS n")
+    one = many.select("k").distinct().withColumn("v", F.length("k")).where("k <> 'k1'")
+    slices = common_keys(many, ["k"])
+    assert len(slices) == 2 and 450 <= max(slices.values()) <= 550
+    for how in ("inner", "left"):
+        want = {(r.k, r.n, r.v) for r in many.join(one, "k", how).collect()}
+        joined = spread_join(many, one, ["k"], ["n"], how)
+        assert {(r.k, r.n, r.v) for r in joined.select("k", "n", "v").collect()} == want
+    assert spread_join(many.limit(0), one, ["k"], ["n"]).count() == 0
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        sizes = [r["count"] for r in spread_join(many, one, ["k"], ["n"]).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) > 1 and max(sizes) < 1.2 * sum(sizes) / len(sizes)
+
+
+def test_mounts_stay_below(spark):
+    paths = {"a": True, "./a": True, "a/../b": True, "..": False, "a/..": False, "../a": False, "a/../../b": False, ".": False, "/a": False, "": False, "a//b": True, "a/b/../..": False}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.ok for r in df.select("p", grants.bind_source_ok(F.col("p")).alias("ok")).collect()} == paths

@@ -89,3 +89,21 @@ def test_read_stanzas(spark, folder):
     assert set(rows) == {"nginx", "apache2-bin"}
     assert (rows["apache2-bin"].source_name, rows["apache2-bin"].source_version) == ("apache2", "2.4-1")
     assert rows["nginx"].size == 10 and rows["nginx"].error is None
+
+
+def test_stanzas_are_numbered_alike_however_a_file_is_split(spark, folder):
+    path = os.path.join(folder, "Numbered")
+    blocks = [f"Package: p{i}\nText: {'x' * (i * 37 % 400)}" for i in range(300)]
+    with open(path, "w") as f:
+        f.write("\n\n".join(blocks[:150]) + "\n\n\n\n" + "\n\n".join(blocks[150:]) + "\n\n")
+    conf = {"spark.sql.files.maxPartitionBytes": ("128m", "4k"), "spark.sql.files.openCostInBytes": ("4m", "0")}
+    seen = []
+    for k in range(2):
+        for name, values in conf.items():
+            spark.conf.set(name, values[k])
+        df = readers.read_stanzas(spark, path)
+        seen.append(({(r.stanza_no, r.stanza.split("\n")[0]) for r in df.collect()}, spark.read.text(path).rdd.getNumPartitions()))
+    for name in conf:
+        spark.conf.unset(name)
+    assert seen[0][0] == seen[1][0] == {(i + 1, f"Package: p{i}") for i in range(300)}
+    assert seen[0][1] == 1 and seen[1][1] >= 10
