@@ -8,24 +8,28 @@ unseen word, with its ends marked, is cut into n-grams of 5 characters; if none
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tokens import pieces
-
-WORD = re.compile(r"[^\W\d_]+")
+#: ``\\w`` without digits also holds numerals such as a half or a circled one, which are no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 LONGEST = 5
 #: Training rows of each language at most, taken by a hash of the id; bounds the model.
 SAMPLE = 800
 #: A word is known if the training rows of all languages hold it so often.
 KNOWN = 2
 CACHE = 1 << 19
+#: Leading bits of the hash by which rows are counted.
+LEAD_BITS = 16
 
 
 @dataclass
@@ -59,17 +63,19 @@ def _logs(counts: dict[str, list[int]], size: int) -> dict[str, tuple[float, ...
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Model from ``sample`` rows of each language at most, those with the smallest hash of the key.
 
-    Rows without text, language or key are left out. Words are counted by Spark; what comes to the driver is bounded by
-    the sampled texts.
+    Rows without text, language or key are left out. Rows are counted by language and leading bits of the hash first; only
+    those up to the bits that complete the sample are ranked, each task handing on ``sample`` rows of a language at most.
+    Words are counted by Spark; what comes to the driver is bounded by the sampled texts.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     rows = rows.where("_lang is not null and _text is not null and _key is not null")
-    chosen = (
-        rows.select("_key", "_lang", F.xxhash64("_key").alias("_h"))
-        .selectExpr("_key", "_lang", "row_number() over (partition by _lang order by _h, _key) as _n")
-        .where(F.col("_n") <= sample).select("_key", "_lang").distinct()
-    )
-    picked = rows.join(F.broadcast(chosen), ["_key", "_lang"], "left_semi")
+    hashed = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("_key"), 1)).withColumn("_lead", F.shiftright("_h", 63 - LEAD_BITS))
+    counts = hashed.groupBy("_lang", "_lead").agg(F.count("*").alias("_rows"))
+    counts = counts.selectExpr("_lang", "_lead", "sum(_rows) over (partition by _lang order by _lead) as _upto")
+    last = counts.groupBy("_lang").agg(F.coalesce(F.min(F.when(F.col("_upto") >= sample, F.col("_lead"))), F.max("_lead")).alias("_last"))
+    some = hashed.join(F.broadcast(last), "_lang").where("_lead <= _last")
+    order = "row_number() over (partition by _lang order by _h, _key, _text) as _n"
+    picked = some.selectExpr("_lang", "_text", order).where(F.col("_n") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -115,19 +121,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     lang_pred is the language with the largest sum (the first by name of equals); ``und`` with score 0 if the text is
     null or empty, has no letter, or nothing was learned. score is the softmax over languages of the mean log score per
-    word, so 1/languages when nothing tells them apart. Columns of ``docs`` with these names are replaced.
+    word, so 1/languages when nothing tells them apart. Columns of ``docs`` with these names are replaced. Repeated rows come
+    out as often as they came in.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_words_of"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_words_of"] + ["lang_pred string", "score double"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("struct<lang_pred: string, score: double>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = _Rows(shared.value)
         languages = rows.model.languages
-        for batch in pieces(batches, "_words_of", 1 << 23):
+        for batch in texts:
             names, scores = [], []
-            for value in batch.column("_words_of").to_pylist():
+            for value in batch:
                 words = WORD.findall(value.lower()) if value and languages else []
                 if not words:
                     names.append("und")
@@ -142,7 +148,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 best = int(total.argmax())
                 names.append(languages[best])
                 scores.append(float(1 / np.exp((total - total[best]) / len(words)).sum()))
-            yield pa.RecordBatch.from_pydict(
-                {c: batch.column(c) for c in kept} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return source.mapInArrow(run, schema)
+    # only texts go to Python and only results come back; not deterministic, so that a filter does not ask twice
+    asked = docs.select(*[F.col(f"`{c}`") for c in kept], found.asNondeterministic()(F.col(text)).alias("_found"))
+    return asked.select(*[F.col(f"`{c}`") for c in kept], "_found.lang_pred", "_found.score")

@@ -5,6 +5,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D of a UTF-8 text;
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -26,21 +25,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(BASE))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse for i below n, at least."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, U(base))
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Longer words are hashed one by one by BLAKE2b, shorter ones all together by blocks of eight bytes.
+LONG = 256
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -70,13 +58,30 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """Hash of each word, equal for equal bytes wherever the word stands."""
-        if not len(self.data):
+        """Hash of each word, equal for equal bytes wherever the word stands.
+
+        Each block of eight bytes is scrambled into the hash of those before it, which depends on their order in no simple
+        (polynomial) way; words of the same letters in some pattern do not meet.
+        """
+        n = len(self.start)
+        if not n:
             return np.zeros(0, U)
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U)
-        np.cumsum((_FOLDED if lower else _BYTE)[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        data = np.concatenate([_FOLD[self.data] if lower else self.data, np.zeros(8, np.uint8)])
+        blocks = np.lib.stride_tricks.sliding_window_view(data, 8)
+        length = self.end - self.start
+        out = mix(length.astype(U) * U(BASE))
+        some, at = np.flatnonzero(length <= LONG), 0
+        while len(some):
+            block = np.ascontiguousarray(blocks[self.start[some] + at]).view("<u8")[:, 0]
+            left = np.minimum(length[some] - at, 8).astype(U)
+            block &= ~U(0) >> (U(64) - left * U(8))
+            out[some] = mix((out[some] ^ mix(block + U(BASE))) * U(BASE))
+            at += 8
+            some = some[length[some] > at]
+        for k in np.flatnonzero(length > LONG):
+            word = data[self.start[k] : self.end[k]].tobytes()
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"long word").digest(), "little")
+        return out
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE = 32 << 20
 #: Neighbouring records are fetched in ranges of so many bytes.
 FETCH = 4 << 20
+#: Reading tasks at most; with more archives a task reads several, one after another.
+TASKS = 10_000
 #: Shorter payloads are written as responses each.
 LEAST = 100
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -228,7 +230,9 @@ def records(archives: DataFrame, folder: str, fetch: int = FETCH, keep_payload:
              "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if keep_payload else {})
     arrow = pa.schema(types)
     schema = "key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * keep_payload
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    # numbered, so that small rows of paths are not put together: an archive is read by a task of its own
+    n = min(max(archives.count(), 1), TASKS)
+    return archives.select("path").repartition(n).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", keep_payload: bool = True) -> DataFrame:
