@@ -11,8 +11,10 @@ The place is the alignment, the document's position less the item's. Each is jud
 (words put in or left out shift the rest of an item), then all together; the item is found if any of these passes. So an
 item that a document holds twice, with different values, is found.
 
-Benchmark windows are joined by broadcast only while they are at most BROADCAST rows, which is counted first; else by a
-shuffle. The values of slots are compared for matching windows only.
+Before a window of a document is hashed, a bit table of SIEVE bits tells whether any benchmark window begins with its first
+LEAD tokens; with very many windows it lets all through and never loses one. Benchmark windows are joined by broadcast only
+while they are at most BROADCAST rows, which is counted first; else by a shuffle. The values of slots are compared for
+matching windows only, and texts are read again only for documents with such windows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm.shared import maybe_in, stored
+
 WINDOW = 8
 #: Plain words that a window must hold, so that forms of slots alone match nothing.
 PLAIN = 5
@@ -28,6 +32,10 @@ ENOUGH = 5
 #: Share of slots that stand opposite the usual value for their benchmark value.
 CONSISTENT = 0.8
 BROADCAST = 200_000
+#: Items of fewer tokens are no passages; they match a whole line only.
+SHORTEST = 4
+LEAD = 3
+SIEVE = 1 << 20
 UNITS = ("percent", "kilometers", "kilometres", "meters", "metres", "miles", "feet", "inches", "kg", "km", "cm", "mm", "grams", "pounds",
          "liters", "litres", "dollars", "euros", "cents", "years", "months", "weeks", "days", "hours", "minutes", "seconds", "degrees")
 
@@ -50,15 +58,30 @@ def _all(terms: list[Column]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def windows(rows: DataFrame, keys: list[str], text: str, size: int, short: list[int], whole: bool = False) -> DataFrame:
-    """(keys, at, h, exact, length) of the windows of each text, length its number of tokens.
+def bare(w: Column) -> Column:
+    """A token without the mark of a name."""
+    return F.when(w.startswith("<s:") | w.startswith("<p:"), F.substring(w, 4, 1_000_000_000)).otherwise(w)
+
+
+def sieve_of(windows_: DataFrame) -> Column:
+    """A constant array<bigint> of SIEVE bits, set at the leads of ``windows_``: at most SIEVE / 64 numbers reach the driver."""
+    place = F.pmod("lead", F.lit(SIEVE))
+    bits = windows_.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(lead, {SIEVE}) & 63 as int))").alias("bit"))
+    found = {r["at"]: r["bits"] for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(SIEVE // 64))), ",").cast("array<bigint>")
+
+
+def windows(rows: DataFrame, keys: list[str], text: str, size: int, short: list[int], whole: bool = False, sieve: Column | None = None,
+            exact: bool = True) -> DataFrame:
+    """(keys, length, at, h, exact, lead) of the windows of each text, length its number of tokens.
 
     A window of ``size`` tokens with enough plain words is hashed by words and types of slots, once with words at the start
     of sentences as words and once with them as names. The other windows of ``size`` tokens, and those of as many tokens as
-    ``short`` has, are exact: hashed with their values. With ``whole`` only texts of such a number have short windows.
+    ``short`` has, are exact: hashed with their values. With ``whole`` only texts of such a number have short windows. With
+    ``sieve`` only windows of ``size`` tokens whose lead it holds are there, and without ``exact`` none of those that would
+    be hashed with their values.
     """
     words = rows.select(*keys, tokens(F.col(text)).alias("_w"))
-    bare = lambda w: F.when(w.startswith("<s:") | w.startswith("<p:"), F.substring(w, 4, 1_000_000_000)).otherwise(w)
     slot = lambda w: F.xxhash64(F.substring(w, 1, 2)).bitwiseOR(F.lit(1))
     plain = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2))
     # the lowest bit of a hash tells slots from words
@@ -69,13 +92,18 @@ def windows(rows: DataFrame, keys: list[str], text: str, size: int, short: list[
         F.transform("_w", lambda w: F.xxhash64(bare(w))).alias("_e"))
     x, y, e = F.col("_x"), F.col("_y"), F.col("_e")
     enough = lambda v, i: _all([v[i + j].bitwiseAND(F.lit(1)) for j in range(size)]) <= size - PLAIN
-    one = lambda i, h, exact: F.struct(i.alias("at"), h.alias("h"), F.lit(exact).alias("exact"))
-    form = lambda v, i: F.xxhash64(*[v[i + j] for j in range(size)])
-    exactly = lambda i, n: one(i, F.xxhash64(F.lit(n), *[e[i + j] for j in range(n)]), True)
+    lead = lambda v, i: F.xxhash64(*[v[i + j] for j in range(LEAD)])
+    # documents need no lead any more
+    one = lambda i, h, exact, v: F.struct(i.alias("at"), h.alias("h"), F.lit(exact).alias("exact"), (lead(v, i) if sieve is None else F.lit(0).cast("long")).alias("lead"))
+    form = lambda v, i: one(i, F.xxhash64(*[v[i + j] for j in range(size)]), False, v)
+    exactly = lambda i, n: one(i, F.xxhash64(F.lit(n), *[e[i + j] for j in range(n)]), True, e)
     starts = lambda n: F.when(F.col("length") >= n, F.sequence(F.lit(0), F.col("length") - n)).otherwise(F.array().cast("array<int>"))
-    at_start = lambda i: F.when(enough(y, i), F.array_distinct(F.array(one(i, form(x, i), False), one(i, form(y, i), False)))).otherwise(
-        F.array(one(i, form(x, i), False)))
-    full = F.flatten(F.transform(starts(size), lambda i: F.when(enough(x, i), at_start(i)).otherwise(F.array(exactly(i, size)))))
+    at_start = lambda i: F.when(enough(y, i), F.array_distinct(F.array(form(x, i), form(y, i)))).otherwise(F.array(form(x, i)))
+    held = lambda h: F.getbit(F.get(sieve, F.shiftright(F.pmod(h, F.lit(SIEVE)), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+    begins = lambda i: held(lead(x, i)) | held(lead(y, i)) | (held(lead(e, i)) if exact else F.lit(False))
+    at = starts(size) if sieve is None else F.filter(starts(size), begins)
+    others = lambda i: F.array(exactly(i, size)) if exact else F.slice(F.array(form(x, i)), 1, 0)
+    full = F.flatten(F.transform(at, lambda i: F.when(enough(x, i), at_start(i)).otherwise(others(i))))
     of = lambda n: F.when(F.col("length") == n, starts(n)).otherwise(F.array().cast("array<int>")) if whole else starts(n)
     some = [(lambda n: F.transform(of(n), lambda i: exactly(i, n)))(n) for n in short]
     return hashed.select(*keys, "length", F.explode(F.concat(full, *some) if some else full).alias("_o")).select(*keys, "length", "_o.*")
@@ -86,8 +114,10 @@ def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str
     """(_name, key, item, n_matched, n_windows, consistency); see ``leaks``. _name is ``_name_of`` the row."""
     spark = docs.sparkSession
     bench = items.select(F.col(item_key).alias("_item"), F.col(item_text).alias("_body")).where("_item is not null and _body is not null")
-    short = [r["n"] for r in bench.select(F.size(tokens(F.col("_body"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < size)).distinct().collect()]
-    of_items = windows(bench, ["_item"], "_body", size, sorted(short), whole=True)
+    lengths = bench.select(F.size(tokens(F.col("_body"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < size)).distinct()
+    lengths = sorted(r["n"] for r in lengths.collect())  # fewer than ``size``
+    short = [n for n in lengths if n >= SHORTEST]
+    of_items = windows(bench, ["_item"], "_body", size, short, whole=True)
     # exact windows serve the items that have no other
     of_items = of_items.withColumn("_none", F.min("exact").over(Window.partitionBy("_item"))).where("not exact or _none").drop("_none")
     lists = of_items.groupBy("h").agg(F.collect_set(F.struct("_item", F.col("at").alias("_item_at"))).alias("_places"))
@@ -96,7 +126,8 @@ def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str
     rows = docs.select(_name_of(text, key).alias("_key"), F.col(key).alias("_given"), F.col(text).alias("_text")).where("_text is not null")
     rows = rows if null_keys else rows.where("_given is not null")
     rows = rows.withColumn("_twin", F.xxhash64("_text"))
-    hits = windows(rows, ["_key", "_twin"], "_text", size, sorted(short)).drop("length", "exact").join(lists, "h")
+    exact = not of_items.where("exact").isEmpty()
+    hits = windows(rows, ["_key", "_twin"], "_text", size, short, sieve=sieve_of(of_items), exact=exact).select("_key", "_twin", "at", "h").join(lists, "h")
     hits = hits.select("_key", "_twin", "at", F.explode("_places").alias("_p")).select("_key", "_twin", "at", "_p._item", "_p._item_at")
     sizes = of_items.groupBy("_item").agg(F.countDistinct("at").alias("_windows"), F.max("length").alias("_length"), F.max("exact").alias("_exact"))
     pair = ["_key", "_twin", "_item"]
@@ -114,11 +145,13 @@ def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str
     found = found.withColumn("_matched", F.size(F.array_distinct(F.transform("_pairs", lambda p: p["_item_at"]))).cast("long"))
     needed = F.when(F.col("_exact"), F.col("_windows")).otherwise(F.least(F.lit(ENOUGH), F.col("_windows")))
     found = found.where((F.col("_matched") >= needed) & (~F.col("_exact") | (F.col("_span.lo") == F.col("_span.hi"))))
+    found = stored(found, "decontamination-found")
 
     words_of = lambda rows, keys, body, name: rows.select(*keys, tokens(F.col(body)).alias(name))
-    of_docs = words_of(rows, ["_key", "_given", "_twin"], "_text", "_doc_words")
     some = found.select("_key", "_twin").distinct()
-    paired = found.join(of_docs.join(some, ["_key", "_twin"], "left_semi"), ["_key", "_twin"]).join(words_of(bench, ["_item"], "_body", "_item_words"), "_item")
+    few = maybe_in(rows, "_key", some, "_key").join(some, ["_key", "_twin"], "left_semi")
+    of_docs = words_of(few, ["_key", "_given", "_twin"], "_text", "_doc_words")
+    paired = found.join(of_docs, ["_key", "_twin"]).join(words_of(bench, ["_item"], "_body", "_item_words"), "_item")
     opposite = F.flatten(F.transform("_pairs", lambda p: F.transform(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_length")) - 1), lambda j: F.struct(
         F.get(F.col("_item_words"), p["_item_at"] + j).alias("mine"), F.get(F.col("_doc_words"), p["at"] + j).alias("its")))))
     # a name is the same at the start of a sentence; words there that are no names stand opposite themselves
@@ -131,6 +164,13 @@ def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str
     # what is exact has been compared with its values
     consistency = F.when(F.col("_exact") | (F.size("_slots") == 0), F.lit(1.0)).otherwise(F.size("_values") / F.size("_slots"))
     judged = judged.select("_key", "_given", "_item", "_matched", "_windows", consistency.alias("_share")).where(F.col("_share") >= CONSISTENT)
+    if lengths and lengths[0] < SHORTEST:
+        whole = lambda body: F.array_join(F.transform(tokens(body), bare), " ")
+        tiny = bench.where(F.size(tokens(F.col("_body"))).between(1, SHORTEST - 1)).select("_item", whole(F.col("_body")).alias("_line"))
+        lines = rows.select("_key", "_given", F.explode(F.array_distinct(F.split("_text", r"[\n\r]+"))).alias("_line"))
+        lines = lines.select("_key", "_given", whole(F.col("_line")).alias("_line")).join(tiny, "_line")
+        one = F.lit(1).cast("long")
+        judged = judged.unionByName(lines.select("_key", "_given", "_item", one.alias("_matched"), one.alias("_windows"), F.lit(1.0).alias("_share")))
     worst = judged.groupBy("_key", "_given").agg(F.max(F.struct("_matched", (-F.col("_item")).alias("_low"), "_windows", "_share")).alias("_m"))
     return worst.select(F.col("_key").alias("_name"), F.col("_given").alias(key), (-F.col("_m._low")).alias("item"), F.col("_m._matched").alias("n_matched"),
                         F.col("_m._windows").alias("n_windows"), F.col("_m._share").alias("consistency"))
@@ -146,7 +186,8 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     """(key, item, n_matched, n_windows, consistency) of the documents that hold a benchmark item, its worst item each.
 
     Null or empty texts match nothing. Items of fewer than ``size`` tokens, and items whose windows all hold too many slots,
-    match where they stand whole and with their own values; an item of one word is found wherever that word is. Documents of
+    match where they stand whole and with their own values; items of fewer than SHORTEST tokens, which stand in any text,
+    where they are a whole line. Documents of
     one key are one document. Ties go to the smallest item id. Rows with a null key are looked at with ``null_keys`` only;
     each text is then a document.
     """

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import jaccard_join, language, shared, substring_dedup, warc
+from fleetlens.llm import decontamination, jaccard_join, language, shared, substring_dedup, warc
 from fleetlens.llm.tokens import words_of
 
 
@@ -80,3 +80,19 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared.shared_folder(Session())
+
+
+def test_items_of_few_words_match_whole_lines(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "New York 12"), (3, "Who wrote the book of 1990 about the old bridge in the town of Mostar?")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "Paris is a city and Paris is large"), (1, "Cities:\n Paris.\nRome"), (2, "They live in New York 12 or so"), (3, "new york, 12"), (4, "NEW YORK 13"),
+                                  (5, "Say: who wrote the book of 1990 about the old bridge in the town of Mostar? Nobody."), (None, "Paris")], "doc_id long, text string")
+    found = decontamination.leaks(docs, items, null_keys=True).collect()
+    assert {(r["doc_id"], r["item"]) for r in found} == {(1, 1), (3, 2), (5, 3), (None, 1)}
+
+
+def test_the_sieve_loses_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    sieved = {tuple(r) for r in decontamination.leaks(docs, items).collect()}
+    monkeypatch.setattr(decontamination, "sieve_of", lambda w: F.split(F.lit(",".join(["-1"] * (decontamination.SIEVE // 64))), ",").cast("array<bigint>"))
+    assert {tuple(r) for r in decontamination.leaks(docs, items).collect()} == sieved and sieved
