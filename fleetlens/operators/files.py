@@ -9,7 +9,7 @@ from fleetlens.functions.ordered import number_segment, ordered_scan
 
 # Transfer limits.
 CHUNK_BYTES = 4 * 1024 * 1024
-MAX_ENTRIES = 250_000
+MAX_ENTRIES = 250_000  # of one manifest, where a receiver asks for a limit
 MAX_BYTES = 500 * 1024**3
 RESERVE_PERCENT = 15
 MIN_RESERVE_BYTES = 16 * 1024 * 1024
@@ -17,10 +17,13 @@ MIN_WAL_HEADROOM = 64 * 1024 * 1024
 FILE_DIGEST = r"^sha256:[a-f0-9]{64}$"
 
 
-def validate_manifest(entries: DataFrame, max_bytes: int = MAX_BYTES, segment_width: int = 65_536) -> DataFrame:
+def validate_manifest(
+    entries: DataFrame, max_bytes: int | None = None, segment_width: int = 65_536, max_entries: int | None = None
+) -> DataFrame:
     """Problems of file manifests, entry by entry, and of whole manifests.
 
-    Input: ``manifest_id, ord, path, type, size, mode, mtime, digest``.
+    Input: ``manifest_id, ord, path, type, size, mode, mtime, digest``.  The
+    limits of a whole manifest are those that the caller sets.
     """
     work = entries.withColumn("segment", number_segment("ord", segment_width))
     seen = ordered_scan(work, ["manifest_id"], ["ord"], "segment", lag={"previous": "path"})
@@ -49,7 +52,8 @@ def validate_manifest(entries: DataFrame, max_bytes: int = MAX_BYTES, segment_wi
     )
     whole = totals.select(
         "manifest_id", F.lit("").alias("path"),
-        F.when(F.col("n") > MAX_ENTRIES, "too many entries").when(F.col("bytes") > max_bytes, "too many bytes").alias("problem"),
+        F.when(F.lit(max_entries is not None) & (F.col("n") > (max_entries or 0)), "too many entries")
+        .when(F.lit(max_bytes is not None) & (F.col("bytes") > (max_bytes or 0)), "too many bytes").alias("problem"),
     ).filter("problem IS NOT NULL")
     return of_entries.unionByName(below).unionByName(whole)
 

@@ -13,7 +13,10 @@ SECRET_NAMES = r"password|secret|token|api[_-]?key|private[_-]?key"
 PRIVATE_KEY = r"(?s)-----BEGIN (OPENSSH|RSA|EC|DSA) PRIVATE KEY-----.*?-----END (OPENSSH|RSA|EC|DSA) PRIVATE KEY-----"
 SECRET_ENV_WORDS = ("password", "secret", "token", "private_key", "api_key")
 ENV_KEY = r"^[A-Z][A-Z0-9_]{0,127}$"
-MAX_OUTPUT_BYTES = 200_000
+MAX_OUTPUT_BYTES = 200_000  # of one output, where a receiver asks for a limit
+# a word border where only ASCII letters, digits and _ are word characters
+BORDER = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+BLANK = r"[\t\n\f\r ]"
 
 
 def redact_secrets(text: Column, keep_before_equals: bool = False) -> Column:
@@ -30,19 +33,20 @@ def redact_secrets(text: Column, keep_before_equals: bool = False) -> Column:
     return F.regexp_replace(text, f"(?i){colon_then_equals}|{setting}", "$1$2[REDACTED]")
 
 
-def truncate_bytes(text: Column, limit: int = MAX_OUTPUT_BYTES) -> Column:
+def truncate_bytes(text: Column, limit: int) -> Column:
     """Cut a text at a number of UTF-8 bytes and mark the cut."""
     head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string"))
     return F.when(F.octet_length(text) > limit, F.concat(head, F.lit("\n[TRUNCATED]"))).otherwise(text)
 
 
-def redact_patterns(text: Column, patterns: Sequence[str], limit: int = MAX_OUTPUT_BYTES) -> Column:
-    """Redact the values of settings whose name starts with one of the words, then truncate."""
+def redact_patterns(text: Column, patterns: Sequence[str], limit: int | None = None) -> Column:
+    """Redact the values of settings whose name starts with one of the words; then truncate, where a limit is given."""
     wanted = [p.strip() for p in patterns if p.strip()]
     redacted = reduce(
-        lambda acc, p: F.regexp_replace(acc, rf"(?i)(\b\Q{p}\E\w*\b\s*[:=]\s*)\S+", "$1[REDACTED]"), wanted, text
+        lambda acc, p: F.regexp_replace(
+            acc, rf"(?iu)({BORDER}\Q{p}\E[0-9A-Za-z_]*{BORDER}{BLANK}*[:=]{BLANK}*)[^\t\n\f\r ]+", "$1[REDACTED]"), wanted, text
     )
-    return truncate_bytes(redacted, limit)
+    return redacted if limit is None else truncate_bytes(redacted, limit)
 
 
 def secret_shaped_env(env: Column, declared_secrets: Column) -> Column:

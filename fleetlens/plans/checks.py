@@ -152,9 +152,10 @@ def stale_hosts(spark, sf):
 
 WANTED = project(
     EVENTS, "user_id % 20 AS host_id", "CASE WHEN k = 1 THEN '' ELSE 'm' || CAST(user_id AS STRING) END AS monitor_id",
-    "k % 6 < 4 AS enabled", "event_id AS ord", where="event_type = 'click'",
+    "k % 6 < 4 AS enabled", "event_id AS ord",
 )
-ACTIVE = project(EVENTS, "user_id % 20 AS host_id", "'m' || CAST(user_id AS STRING) AS monitor_id", where="k < 50 AND event_type = 'view'")
+# twenty monitors on from those that are wanted
+ACTIVE = project(EVENTS, "user_id % 20 AS host_id", "'m' || CAST(user_id + 20 AS STRING) AS monitor_id")
 
 
 @query(
@@ -412,9 +413,9 @@ POSTED = project(
 )
 ALLOWLIST = project(
     EVENTS,
-    "user_id AS host_id",
-    "CASE WHEN k % 4 = 0 THEN ' ' WHEN k % 4 = 1 THEN '/usr/bin/ls' WHEN k % 4 = 2 THEN ' df ' ELSE '/usr/bin/df' END AS allowed",
-    where="user_id % 3 <> 0 AND k % (2 + user_id % 11) = 0 AND event_type = 'view' AND k < 30",
+    # every third host has no list
+    "CASE WHEN user_id % 3 = 0 THEN -user_id ELSE user_id END AS host_id",
+    "CASE WHEN user_id % 5 = 0 THEN ' ' WHEN user_id % 5 = 1 THEN '/usr/bin/ls' WHEN user_id % 5 = 2 THEN ' df ' WHEN user_id % 5 = 3 THEN '/usr/bin/df' WHEN k % 2 = 0 THEN 'ls' ELSE '/opt/bin/df' END AS allowed",
 )
 
 

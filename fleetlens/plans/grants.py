@@ -95,7 +95,7 @@ USERS = project(
     "customer", "c_nationkey AS db", "'u' || CAST(c_custkey % 400 AS STRING) AS user", "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 'role_' || CAST(c_custkey % 6 AS STRING) END AS role",
     "CASE WHEN c_custkey % 33 = 1 THEN 99 ELSE c_nationkey END AS role_db",
 )
-USER_MAP = project("customer", "c_nationkey AS db", "'u' || CAST(c_custkey AS STRING) AS source", "'x' || CAST(c_custkey AS STRING) AS target", where="c_custkey < 600 AND c_custkey % 3 = 0")
+USER_MAP = project("customer", "c_nationkey AS db", "'u' || CAST(c_custkey AS STRING) AS source", "'x' || CAST(c_custkey AS STRING) AS target")
 
 
 @query(

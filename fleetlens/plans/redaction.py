@@ -13,6 +13,7 @@ TEXTS = project(
     "text || CASE doc_id % 7 WHEN 0 THEN chr(10) || 'DB_password = p' || CAST(doc_id AS STRING) || ' rest' WHEN 1 THEN chr(10) || 'api-key: a=b' || CAST(doc_id AS STRING)"
     " WHEN 2 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || chr(10) || '-----END RSA PRIVATE KEY----- tail' WHEN 3 THEN ' token_id : x y' ELSE '' END AS text",
 )
+# The names of secrets and the shape of a private key, for the oracles.
 _NAMES = "password|secret|token|api[_-]?key|private[_-]?key"
 _KEY = "'(?s)-----BEGIN (OPENSSH|RSA|EC|DSA) PRIVATE KEY-----.*?-----END (OPENSSH|RSA|EC|DSA) PRIVATE KEY-----'"
 
@@ -30,25 +31,22 @@ def redact_secrets(spark, sf):
 
 @query(
     "redact_secrets_as_found",
-    f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, {_KEY}, '[REDACTED_SSH_KEY]', 'g'),
-      '(?i)(({_NAMES})\\s*:\\s*[^\\s=]*=)[^\\s]*', '\\1[REDACTED]', 'g'), '(?i)(({_NAMES})\\s*[:=])\\s*[^\\s=]+(\\s|$)', '\\1[REDACTED]\\3', 'g')) AS digest FROM {TEXTS.sql}
-      WHERE NOT regexp_matches(text, '(?i)({_NAMES})\\s*=\\s*[^\\s]*=')""",
+    f"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, {_KEY}, '[REDACTED_SSH_KEY]', 'g'),
+      '(?i)((?:{_NAMES})\\s*:\\s*[^\\s=]*=)[^\\s]*|((?:{_NAMES})\\s*[:=])\\s*[^\\s]+', '\\1\\2[REDACTED]', 'g')) AS digest FROM {TEXTS.sql}""",
 )
 def redact_secrets_as_found(spark, sf):
-    texts = TEXTS.frame(spark, sf).filter(~F.col("text").rlike(rf"(?i)({_NAMES})\s*=\s*[^\s]*="))
-    return texts.select("doc_id", F.md5(op.redact_secrets(F.col("text"), True)).alias("digest"))
+    return TEXTS.frame(spark, sf).select("doc_id", F.md5(op.redact_secrets(F.col("text"), True)).alias("digest"))
 
 
 @query(
     "redact_patterns",
-    f"""SELECT doc_id, md5(CASE WHEN strlen(t) > 3000 THEN left(t, 3000) || chr(10) || '[TRUNCATED]' ELSE t END) AS digest FROM (
-      SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^ -~\\n]', '', 'g'), '(?i)(\\btoken\\w*\\b\\s*[:=]\\s*)\\S+', '\\1[REDACTED]', 'g'),
+    f"""SELECT doc_id, md5(t) AS digest, strlen(t) AS bytes FROM (
+      SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(\\btoken\\w*\\b\\s*[:=]\\s*)\\S+', '\\1[REDACTED]', 'g'),
         '(?i)(\\bdb_\\w*\\b\\s*[:=]\\s*)\\S+', '\\1[REDACTED]', 'g') AS t FROM {TEXTS.sql})""",
 )
 def redact_patterns(spark, sf):
-    ascii_text = F.regexp_replace("text", r"[^ -~\n]", "")
-    redacted = op.redact_patterns(ascii_text, ["token", " ", "db_"], 3000)
-    return TEXTS.frame(spark, sf).select("doc_id", F.md5(redacted).alias("digest"))
+    redacted = op.redact_patterns(F.col("text"), ["token", " ", "db_"])
+    return TEXTS.frame(spark, sf).select("doc_id", F.md5(redacted).alias("digest"), F.octet_length(redacted).cast("long").alias("bytes"))
 
 
 ENVIRONMENTS = project(
