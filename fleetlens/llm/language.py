@@ -7,8 +7,6 @@ unseen word, with its ends marked, is cut into n-grams of 5 characters; if none
 
 from __future__ import annotations
 
-import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,12 +14,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: ``\\w`` without digits also holds numerals such as a half or a circled one, which are no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+WORD = regex.compile(r"\p{L}+")
 LONGEST = 5
 #: Training rows of each language at most, taken by a hash of the id; bounds the model.
 SAMPLE = 800
@@ -32,6 +29,11 @@ CACHE = 1 << 19
 LEAD_BITS = 16
 
 
+def words_in(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    return WORD.findall(text.lower())
+
+
 @dataclass
 class Model:
     """languages in order; logs of known words and of n-grams by length, one value per language each."""
@@ -81,7 +83,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         found: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for language, value in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
-                found[language].update(WORD.findall(value.lower()))
+                found[language].update(words_in(value))
         yield pa.RecordBatch.from_pydict({
             "lang": pa.array([k for k, v in found.items() for _ in v], pa.string()),
             "word": pa.array([w for v in found.values() for w in v], pa.string()),
@@ -134,7 +136,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         for batch in texts:
             names, scores = [], []
             for value in batch:
-                words = WORD.findall(value.lower()) if value and languages else []
+                words = words_in(value) if value and languages else []
                 if not words:
                     names.append("und")
                     scores.append(0.0)
