@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import intake, packages
 from fleetlens.sources import readers
+from fleetlens.sources.file_tree import file_tree
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,37 @@ def test_stanzas_are_numbered_alike_however_a_file_is_split(spark, folder):
         spark.conf.unset(name)
     assert seen[0][0] == seen[1][0] == {(i + 1, f"Package: p{i}") for i in range(300)}
     assert seen[0][1] == 1 and seen[1][1] >= 10
+
+
+def test_file_tree(spark, folder):
+    root = os.path.join(folder, "walked")
+    os.makedirs(os.path.join(root, "a", "b", "empty"))
+    blocks = os.urandom(1 << 20) * 9 + b"tail"  # more than two blocks
+    for name, data in (("x", b""), ("a/ü y", b"text"), ("a/b/large", blocks)):
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(data)
+    os.chmod(os.path.join(root, "x"), 0o640)
+    os.symlink("x", os.path.join(root, "a", "link"))
+    os.symlink("a", os.path.join(root, "folder-link"))
+    os.utime(os.path.join(root, "x"), ns=(0, 1_700_000_000_999_999_999))
+    got = {r.path: r for r in file_tree(spark, root).collect()}
+    assert {p: r.type for p, r in got.items()} == {
+        "x": "file", "a": "directory", "a/ü y": "file", "a/b": "directory", "a/b/large": "file", "a/b/empty": "directory", "a/link": "link", "folder-link": "link"}
+    assert got["a/b/large"].digest == "sha256:" + hashlib.sha256(blocks).hexdigest() and got["a/b/large"].size == len(blocks)
+    assert got["x"].mode == 0o640 and got["x"].mtime == 1_700_000_000 and got["x"].digest == "sha256:" + hashlib.sha256(b"").hexdigest()
+    assert got["a/link"].digest == "" and got["a"].size == 0
+    assert file_tree(spark, os.path.join(root, "a", "b", "empty")).collect() == []
+    for bad in (os.path.join(root, "x"), os.path.join(root, "folder-link"), "s3a://bucket/x"):
+        with pytest.raises(ValueError):
+            file_tree(spark, bad)
+
+
+def test_files_are_hashed_block_by_block(folder, monkeypatch):
+    from fleetlens.sources import file_tree as module
+
+    path = os.path.join(folder, "blocks")
+    data = os.urandom(1000)
+    with open(path, "wb") as f:
+        f.write(data)
+    monkeypatch.setattr(module, "BLOCK", 7)
+    assert module.digest_of(path) == "sha256:" + hashlib.sha256(data).hexdigest()
