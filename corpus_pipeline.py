@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontamination, jaccard_join, language, pieces, pseudonyms
+from fleetlens.llm.shared import stored
 
 #: Least language score; four languages that nothing tells apart have 0.25 each.
 LEAST_SCORE = 0.35
@@ -26,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     name = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(2**63 - 1)).alias("_key")
     links = jaccard_join.linked(docs.select("doc_id", "text"), size=5, percent=80)
     first = links.where("doc_id <=> component_id").select(name("doc_id"))
-    kept = docs.select(name("doc_id"), F.xxhash64("text").alias("_twin"), *docs.columns).join(first, "_key", "left_semi")
+    kept = docs.select(name("doc_id"), F.sha2("text", 256).alias("_twin"), *docs.columns).join(first, "_key", "left_semi")
     return kept.dropDuplicates(["_key", "_twin"]).select(*docs.columns)
 
 
@@ -58,7 +59,8 @@ ORACLE_SQL = None  # language models, Feistel networks and SentencePiece are not
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each keeps is written once, so that none is computed again for the next ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
