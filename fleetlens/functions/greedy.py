@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.ordered import ordered_scan
+from fleetlens.functions.ordered import never_null, ordered_scan
 
 # ship the helpers with the tasks, so that workers need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -126,17 +126,18 @@ def greedy_accept(
 
     ``at`` and ``until`` are bigint positions with ``at < until``, however far
     apart; a row at ``until`` or later is free again.  ``tie`` orders rows at
-    one position.  ``segment`` must not decrease along ``at``; neither
+    one position.  Null is a key.  ``segment`` must not decrease along ``at``; neither
     must ``scan_segment``, a finer one for the scan that settles most rows.
     """
-    keys = list(keys)
+    columns = df.columns
+    df, keys = never_null(df, keys)
     scanned = ordered_scan(
         df, keys, [at, tie], scan_segment or segment, lead={"__after": at}, running_max_before={"__reach": until}
     )
     alone = F.coalesce(F.col(at) >= F.col("__reach"), F.lit(True)) & F.coalesce(F.col("__after") >= F.col(until), F.lit(True))
     settled = scanned.filter(alone).select(*df.columns, F.lit(True).alias("accepted"))
     contested = scanned.filter(~alone).select(*df.columns, F.coalesce("__reach", F.col(at)).alias("__reach"))
-    return settled.unionByName(_fold(contested, keys, at, until, tie, segment))
+    return settled.unionByName(_fold(contested, keys, at, until, tie, segment)).select(*columns, "accepted")
 
 
 def _fold(

@@ -12,8 +12,8 @@ The rows are shuffled once, on (keys, segment); the join reuses that
 partitioning.  Only the summaries, one row per key and non-empty segment, are
 ever grouped by the key alone.
 
-The segment column must not decrease along ``order`` and key columns must not
-be null.
+The segment column must not decrease along ``order``.  Null is a key like any
+other, as in a plain window.
 """
 
 from __future__ import annotations
@@ -22,6 +22,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A value of each type to stand for null, beside a flag that tells the two apart.
+_PLAIN = {
+    T.StringType: "", T.ByteType: 0, T.ShortType: 0, T.IntegerType: 0, T.LongType: 0, T.FloatType: 0.0, T.DoubleType: 0.0, T.DecimalType: 0, T.BooleanType: False,
+}
+
+
+def never_null(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that are equal exactly where the keys are, nulls being equal, and that are never null; their names.
+
+    Joins on them keep the partitioning that windows and aggregates have, which
+    null-safe joins on the keys themselves do not.  Keys that cannot be null
+    stand for themselves.
+    """
+    nullable = [k for k in keys if df.schema[k].nullable]
+    if not nullable:
+        return df, list(keys)
+    names, new, flags = [], {}, F.lit(0)
+    for i, k in enumerate(keys):
+        if k not in nullable:
+            names.append(k)
+            continue
+        kind = df.schema[k].dataType
+        plain = _PLAIN.get(type(kind))
+        new[f"__key_{k}"] = F.struct(k) if plain is None else F.coalesce(F.col(k), F.lit(plain).cast(kind))
+        names.append(f"__key_{k}")
+        if plain is not None:
+            flags = flags + F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(0)
+    return df.withColumns(new | {"__nulls": flags}), [*names, "__nulls"]
 
 
 def time_segment(ts: str, seconds: int = 3_600) -> Column:
@@ -55,6 +85,8 @@ def ordered_scan(
     ``last_value``         last non-null value up to and including the row
     ``row_number``         1-based position of the row within its key
     """
+    columns = df.columns
+    df, keys = never_null(df, keys)
     lag, lead, running_sum = dict(lag or {}), dict(lead or {}), dict(running_sum or {})
     running_max_before, last_value = dict(running_max_before or {}), dict(last_value or {})
     position = F.struct(*order)
@@ -105,4 +137,4 @@ def ordered_scan(
     on = [*keys, segment]
     carried = df.groupBy(*on).agg(*summary).withColumns(carry).select(*on, *carry)
     scanned = df.withColumns(local).join(carried, on, "left")
-    return scanned.select(*df.columns, *[expr.alias(name) for name, expr in final.items()])
+    return scanned.select(*columns, *[expr.alias(name) for name, expr in final.items()])

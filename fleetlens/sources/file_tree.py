@@ -55,7 +55,7 @@ def _listing(root: str):
                         kind = _kind(info.st_mode)
                         name = _text(entry.name)
                         found.append((f"{folder}/{name}" if folder else name, kind, info.st_size if kind == "file" else 0,
-                                      stat.S_IMODE(info.st_mode), int(info.st_mtime // 1)))
+                                      stat.S_IMODE(info.st_mode), info.st_mtime_ns // 1_000_000_000))
                         if len(found) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _ENTRY)], schema=_ENTRY)
                             found = []

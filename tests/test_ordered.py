@@ -3,11 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from fleetlens.functions import greedy
 from fleetlens.functions.greedy import greedy_accept
 from fleetlens.functions.ordered import number_segment, ordered_scan
 from fleetlens.functions.spread import spread_join
+from fleetlens.operators.intake import suppress_within_ttl
 
 
 def skewed_rows(seed, n=400, span=2_000):
@@ -60,3 +63,23 @@ def test_spread_join(spark):
     for how in ("inner", "left"):
         got = spread_join(many, one, ["key"], ["id"], how)
         assert sorted(map(str, got.collect())) == sorted(map(str, many.join(one, "key", how).collect()))
+
+
+def test_null_is_a_key(spark):
+    rows = [(k, t, t * 10 + i) for i, k in enumerate(["a", None, "b", ""]) for t in range(0, 200, 7)]
+    df = spark.createDataFrame(rows, "k string, t long, v long").withColumns({"j": F.when(F.col("t") % 2 == 0, F.lit(None).cast("int")).otherwise(1), "segment": number_segment("t", 20)})
+    got = ordered_scan(df, ["k", "j"], ["t"], "segment", lag={"before": "v"}, running_sum={"total": "v"}, row_number="n")
+    w = Window.partitionBy("k", "j").orderBy("t")
+    want = df.select(*df.columns, F.lag("v").over(w).alias("before"), F.sum("v").over(w).alias("total"), F.row_number().over(w).cast("long").alias("n"))
+    assert sorted(map(str, got.withColumn("n", F.col("n").cast("long")).collect())) == sorted(map(str, want.collect()))
+    assert got.columns == want.columns
+
+
+def test_null_keys_are_suppressed(spark):
+    hour = 3_600_000_000
+    rows = [(k, i, i * hour // 2, i * hour // 2 + (2 * hour if i == 0 else 1_000_000), False) for k in ("r", None) for i in range(8)]
+    df = spark.createDataFrame(rows, "run_id string, attempt_id long, started_us long, finished_us long, handled boolean")
+    got = suppress_within_ttl(df)
+    assert got.columns == [*df.columns, "accepted"]
+    accepted = {(r.run_id, r.attempt_id) for r in got.filter("accepted").collect()}
+    assert {i for k, i in accepted if k is None} == {i for k, i in accepted if k == "r"} == {0, 4, 5, 6, 7}
