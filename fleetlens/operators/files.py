@@ -14,7 +14,7 @@ MAX_BYTES = 500 * 1024**3
 RESERVE_PERCENT = 15
 MIN_RESERVE_BYTES = 16 * 1024 * 1024
 MIN_WAL_HEADROOM = 64 * 1024 * 1024
-FILE_DIGEST = r"^sha256:[a-f0-9]{64}$"
+FILE_DIGEST = r"^sha256:[a-f0-9]{64}\z"
 
 
 def validate_manifest(

@@ -13,10 +13,10 @@ from fleetlens.functions.spread import spread_join
 from fleetlens.operators.redaction import secret_shaped_env
 
 # Name patterns and system accounts.
-ROLE_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,62}$"
-EXTENSION = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,62}@[A-Za-z0-9][A-Za-z0-9_.+~-]{0,127}$"
-PRINCIPAL = r"^[A-Za-z_][A-Za-z0-9_.-]{0,127}$"
-RESERVED_TARGET = r"^(root|mariadb\.sys|mysql\..*)$"
+ROLE_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,62}\z"
+EXTENSION = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,62}@[A-Za-z0-9][A-Za-z0-9_.+~-]{0,127}\z"
+PRINCIPAL = r"^[A-Za-z_][A-Za-z0-9_.-]{0,127}\z"
+RESERVED_TARGET = r"^(root|mariadb\.sys|mysql\..*)\z"
 SYSTEM_DATABASES = ("postgres", "template0", "template1")
 
 
@@ -224,10 +224,10 @@ def replication_eligible(tables: DataFrame, primary_keys: DataFrame, columns: Da
 
 
 # What a container may be named, run and mount.
-CONTAINER_NAME = r"^[a-z0-9][a-z0-9_-]{1,62}$"
-PINNED_IMAGE = r"^[A-Za-z0-9][A-Za-z0-9._/:@-]{1,255}@sha256:[a-f0-9]{64}$"
+CONTAINER_NAME = r"^[a-z0-9][a-z0-9_-]{1,62}\z"
+PINNED_IMAGE = r"^[A-Za-z0-9][A-Za-z0-9._/:@-]{1,255}@sha256:[a-f0-9]{64}\z"
 PRIVATE_IPV4 = r"^(10\.[0-9]{1,3}|192\.168|172\.(1[6-9]|2[0-9]|3[01]))\."
-IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}$"
+IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}\z"
 
 
 def memory_mib(text: Column) -> Column:

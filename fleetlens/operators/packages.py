@@ -18,11 +18,11 @@ MAX_PAGE_BYTES = 262_144
 MAX_CAPTURE_BYTES = 1_900_000
 MAX_CAPTURE_MS = 120_000
 MAX_RECEIPTS = 32
-UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-PACKAGE_NAME = r"^[a-z0-9][a-z0-9+.-]{1,127}$"
-ARCHITECTURE = r"^[a-z0-9][a-z0-9-]{0,31}$"
-VERSION = r"^([0-9]+:)?[0-9]([A-Za-z0-9.+~-]*[A-Za-z0-9.+~])?$"
-SHA256_HEX = r"^[a-f0-9]{64}$"
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
+PACKAGE_NAME = r"^[a-z0-9][a-z0-9+.-]{1,127}\z"
+ARCHITECTURE = r"^[a-z0-9][a-z0-9-]{0,31}\z"
+VERSION = r"^([0-9]+:)?[0-9]([A-Za-z0-9.+~-]*[A-Za-z0-9.+~])?\z"
+SHA256_HEX = r"^[a-f0-9]{64}\z"
 APPROVED_PACKAGES = r"^(nginx|libnginx-mod-|apache2|php8\.|libapache2-mod-php8\.)"
 MAX_EPOCH = 2_147_483_647
 
@@ -37,7 +37,7 @@ def valid_version(version: Column) -> Column:
 def package_state(code: Column) -> Column:
     """Installation state of a three-letter state code, null when it is invalid."""
     states = F.create_map(*[F.lit(x) for pair in rules.PACKAGE_STATES.items() for x in pair])
-    return F.when(code.rlike("^[uihrp]. $"), F.try_element_at(states, F.substring(code, 2, 1)))
+    return F.when(code.rlike(r"^[uihrp]. \z"), F.try_element_at(states, F.substring(code, 2, 1)))
 
 
 def parse_packages(lines: DataFrame, max_packages: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -114,6 +114,7 @@ def capture_status(captures: DataFrame) -> DataFrame:
     )
     failed = F.col("exit_code") != 0
     stable = F.col("state_after").isNotNull() & (F.col("state_before") == F.col("state_after"))
+    # fixed values: the error codes below
     errors = F.array_compact(
         F.array(
             F.when(failed | F.col("query_error"), "query_failed"),
@@ -260,6 +261,7 @@ def parse_stanzas(stanzas: DataFrame) -> DataFrame:
     identity = F.col("name").rlike(PACKAGE_NAME) & valid_version(F.col("version")) & F.col("architecture").rlike(ARCHITECTURE)
     out = out.withColumn("s", source_identity(F.col("source"), F.col("name"), F.col("version")))
     approved = F.col("name").rlike(APPROVED_PACKAGES)
+    # fixed values: the error codes below
     error = (
         F.when(~F.col("metadata_ok"), "invalid_control_metadata")
         .when(~identity, "invalid_index_identity")
@@ -285,7 +287,7 @@ RELEASES = {
         ("trixie", "stable", "oldstable", "trixie-updates", "stable-updates", "oldstable-updates", "trixie-security", "stable-security", "oldstable-security"),
     ),
 }
-INDEX_PATH = r"^(main|restricted|universe|multiverse|contrib|non-free|non-free-firmware)/binary-(amd64|all)/Packages$"
+INDEX_PATH = r"^(main|restricted|universe|multiverse|contrib|non-free|non-free-firmware)/binary-(amd64|all)/Packages\z"
 
 
 def _release_date(text: Column) -> Column:
@@ -331,6 +333,7 @@ def parse_release(releases: DataFrame, now, index_path: str = INDEX_PATH) -> tup
     pockets_agree = (code.endswith("-security") == suite.endswith("-security")) & (code.endswith("-updates") == suite.endswith("-updates"))
     suite_ok = by_os(lambda o: suite.isin(*RELEASES[o][2])) & ((F.col("os_id") != "debian") | pockets_agree)
     late = F.unix_micros("date") > F.unix_micros(F.lit(now)) + 30_000_000
+    # fixed values: the error codes below
     error = (
         F.when(~F.col("sums_ok"), "invalid_release_checksum")
         .when(~F.col("paths_ok"), "duplicate_release_index")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SECRET_NAMES = r"password|secret|token|api[_-]?key|private[_-]?key"
 PRIVATE_KEY = r"(?s)-----BEGIN (OPENSSH|RSA|EC|DSA) PRIVATE KEY-----.*?-----END (OPENSSH|RSA|EC|DSA) PRIVATE KEY-----"
 SECRET_ENV_WORDS = ("password", "secret", "token", "private_key", "api_key")
-ENV_KEY = r"^[A-Z][A-Z0-9_]{0,127}$"
+ENV_KEY = r"^[A-Z][A-Z0-9_]{0,127}\z"
 MAX_OUTPUT_BYTES = 200_000  # of one output, where a receiver asks for a limit
 # a word border where only ASCII letters, digits and _ are word characters
 BORDER = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"

@@ -317,3 +317,12 @@ def test_mounts_stay_below(spark):
     paths = {"a": True, "./a": True, "a/../b": True, "..": False, "a/..": False, "../a": False, "a/../../b": False, ".": False, "/a": False, "": False, "a//b": True, "a/b/../..": False}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r.p: r.ok for r in df.select("p", grants.bind_source_ok(F.col("p")).alias("ok")).collect()} == paths
+
+
+def test_patterns_end_at_the_end_of_a_text(spark):
+    df = spark.createDataFrame([("1.0",), ("1.0\n",), ("1.0-1\n",)], "v string").coalesce(1)
+    assert [r.ok for r in df.select(packages.valid_version(F.col("v")).alias("ok")).collect()] == [True, False, False]
+    states = spark.createDataFrame([("ii ",), ("ii \n",)], "v string").coalesce(1)
+    assert [r.s for r in states.select(packages.package_state(F.col("v")).alias("s")).collect()] == ["installed", None]
+    names = spark.createDataFrame([("p", "ok-name"), ("p", "name\n")], "project_id string, service string")
+    assert [r.service for r in grants.dependency_violations(names, names.selectExpr("project_id", "'a1' AS service", "service AS dependency", "'' AS condition", "false AS restart")).collect()] == ["a1"]
