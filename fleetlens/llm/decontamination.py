@@ -11,8 +11,8 @@ The place is the alignment, the document's position less the item's. Each is jud
 (words put in or left out shift the rest of an item), then all together; the item is found if any of these passes. So an
 item that a document holds twice, with different values, is found.
 
-Before a window of a document is hashed, a bit table of SIEVE bits tells whether any benchmark window begins with its first
-LEAD tokens; with very many windows it lets all through and never loses one. Benchmark windows are joined by broadcast only
+Before a window of a document is hashed, a Bloom filter of SIEVE bits tells whether any benchmark window begins with its
+first LEAD tokens; with very many windows it lets all through and never loses one. Benchmark windows are joined by broadcast only
 while they are at most BROADCAST rows, which is counted first; else by a shuffle. The values of slots are compared for
 matching windows only, and texts are read again only for documents with such windows.
 """
@@ -35,7 +35,7 @@ BROADCAST = 200_000
 #: Items of fewer tokens are no passages; they match a whole line only.
 SHORTEST = 4
 LEAD = 3
-SIEVE = 1 << 20
+SIEVE = 1 << 21
 UNITS = ("percent", "kilometers", "kilometres", "meters", "metres", "miles", "feet", "inches", "kg", "km", "cm", "mm", "grams", "pounds",
          "liters", "litres", "dollars", "euros", "cents", "years", "months", "weeks", "days", "hours", "minutes", "seconds", "degrees")
 
@@ -63,50 +63,99 @@ def bare(w: Column) -> Column:
     return F.when(w.startswith("<s:") | w.startswith("<p:"), F.substring(w, 4, 1_000_000_000)).otherwise(w)
 
 
+def _slot(w: Column) -> Column:
+    # the lowest bit of a hash tells slots from words
+    return F.xxhash64(F.substring(w, 1, 2)).bitwiseOR(F.lit(1))
+
+
+def _plain(w: Column) -> Column:
+    return F.xxhash64(w).bitwiseAND(F.lit(-2))
+
+
+def as_words(w: Column) -> Column:
+    """Hash of a token, a capitalised word at the start of a sentence taken as a word."""
+    return F.when(w.startswith("<s:"), _plain(bare(w))).when(w.startswith("<"), _slot(w)).otherwise(_plain(w))
+
+
+def as_names(w: Column) -> Column:
+    """Hash of a token, such a word taken as a name."""
+    return F.when(w.startswith("<s:"), _slot(F.lit("<p"))).when(w.startswith("<"), _slot(w)).otherwise(_plain(w))
+
+
+def as_either(w: Column) -> Column:
+    """Hash of a token, all such words alike."""
+    return F.when(w.startswith("<s:"), F.lit(0).cast("long")).when(w.startswith("<"), _slot(w)).otherwise(_plain(w))
+
+
+def _bits(h: Column) -> tuple[Column, Column]:
+    """Two places of a hash in the sieve."""
+    return F.pmod(h, F.lit(SIEVE)), F.pmod(F.shiftright(h, 32), F.lit(SIEVE))
+
+
 def sieve_of(windows_: DataFrame) -> Column:
-    """A constant array<bigint> of SIEVE bits, set at the leads of ``windows_``: at most SIEVE / 64 numbers reach the driver."""
-    place = F.pmod("lead", F.lit(SIEVE))
-    bits = windows_.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(lead, {SIEVE}) & 63 as int))").alias("bit"))
+    """A constant array<bigint> of SIEVE bits, two set for each lead of ``windows_``: at most SIEVE / 64 numbers reach the driver."""
+    place = windows_.select(F.explode("leads").alias("lead")).select(F.explode(F.array(*_bits(F.col("lead")))).alias("place"))
+    bits = place.select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
     found = {r["at"]: r["bits"] for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}
     return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(SIEVE // 64))), ",").cast("array<bigint>")
 
 
-def windows(rows: DataFrame, keys: list[str], text: str, size: int, short: list[int], whole: bool = False, sieve: Column | None = None,
-            exact: bool = True) -> DataFrame:
-    """(keys, length, at, h, exact, lead) of the windows of each text, length its number of tokens.
+def _lead(v: Column, i: Column | int) -> Column:
+    return F.xxhash64(*[v[i + j] for j in range(LEAD)])
+
+
+def windows(rows: DataFrame, keys: list[str], text: str, size: int, short: list[int], whole: bool = False, long: bool = True) -> DataFrame:
+    """(keys, length, at, h, exact, leads) of the windows of each text, length its number of tokens.
 
     A window of ``size`` tokens with enough plain words is hashed by words and types of slots, once with words at the start
     of sentences as words and once with them as names. The other windows of ``size`` tokens, and those of as many tokens as
-    ``short`` has, are exact: hashed with their values. With ``whole`` only texts of such a number have short windows. With
-    ``sieve`` only windows of ``size`` tokens whose lead it holds are there, and without ``exact`` none of those that would
-    be hashed with their values.
+    ``short`` has, are exact: hashed with their values. With ``whole`` only texts of such a number have short windows, and
+    without ``long`` there are only short ones. leads: hashes of the first LEAD tokens, with any of them at the start of a
+    sentence or not; exact windows have one, of their values.
     """
     words = rows.select(*keys, tokens(F.col(text)).alias("_w"))
-    slot = lambda w: F.xxhash64(F.substring(w, 1, 2)).bitwiseOR(F.lit(1))
-    plain = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2))
-    # the lowest bit of a hash tells slots from words
     hashed = words.select(
-        *keys, F.size("_w").alias("length"),
-        F.transform("_w", lambda w: F.when(w.startswith("<s:"), plain(bare(w))).when(w.startswith("<"), slot(w)).otherwise(plain(w))).alias("_x"),
-        F.transform("_w", lambda w: F.when(w.startswith("<s:"), slot(F.lit("<p"))).when(w.startswith("<"), slot(w)).otherwise(plain(w))).alias("_y"),
+        *keys, F.size("_w").alias("length"), F.transform("_w", as_words).alias("_x"), F.transform("_w", as_names).alias("_y"),
         F.transform("_w", lambda w: F.xxhash64(bare(w))).alias("_e"))
     x, y, e = F.col("_x"), F.col("_y"), F.col("_e")
     enough = lambda v, i: _all([v[i + j].bitwiseAND(F.lit(1)) for j in range(size)]) <= size - PLAIN
-    lead = lambda v, i: F.xxhash64(*[v[i + j] for j in range(LEAD)])
-    # documents need no lead any more
-    one = lambda i, h, exact, v: F.struct(i.alias("at"), h.alias("h"), F.lit(exact).alias("exact"), (lead(v, i) if sieve is None else F.lit(0).cast("long")).alias("lead"))
-    form = lambda v, i: one(i, F.xxhash64(*[v[i + j] for j in range(size)]), False, v)
-    exactly = lambda i, n: one(i, F.xxhash64(F.lit(n), *[e[i + j] for j in range(n)]), True, e)
+    masked = lambda v, i: F.array(*[F.xxhash64(*[F.lit(0).cast("long") if m >> j & 1 else v[i + j] for j in range(LEAD)]) for m in range(1 << LEAD)])
+    one = lambda i, h, exact, leads: F.struct(i.alias("at"), h.alias("h"), F.lit(exact).alias("exact"), leads.alias("leads"))
+    form = lambda v, i: one(i, F.xxhash64(*[v[i + j] for j in range(size)]), False, masked(v, i))
+    exactly = lambda i, n: one(i, F.xxhash64(F.lit(n), *[e[i + j] for j in range(n)]), True, F.array(_lead(e, i)))
     starts = lambda n: F.when(F.col("length") >= n, F.sequence(F.lit(0), F.col("length") - n)).otherwise(F.array().cast("array<int>"))
     at_start = lambda i: F.when(enough(y, i), F.array_distinct(F.array(form(x, i), form(y, i)))).otherwise(F.array(form(x, i)))
-    held = lambda h: F.getbit(F.get(sieve, F.shiftright(F.pmod(h, F.lit(SIEVE)), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
-    begins = lambda i: held(lead(x, i)) | held(lead(y, i)) | (held(lead(e, i)) if exact else F.lit(False))
-    at = starts(size) if sieve is None else F.filter(starts(size), begins)
-    others = lambda i: F.array(exactly(i, size)) if exact else F.slice(F.array(form(x, i)), 1, 0)
-    full = F.flatten(F.transform(at, lambda i: F.when(enough(x, i), at_start(i)).otherwise(others(i))))
+    full = [F.flatten(F.transform(starts(size), lambda i: F.when(enough(x, i), at_start(i)).otherwise(F.array(exactly(i, size)))))] if long else []
     of = lambda n: F.when(F.col("length") == n, starts(n)).otherwise(F.array().cast("array<int>")) if whole else starts(n)
     some = [(lambda n: F.transform(of(n), lambda i: exactly(i, n)))(n) for n in short]
-    return hashed.select(*keys, "length", F.explode(F.concat(full, *some) if some else full).alias("_o")).select(*keys, "length", "_o.*")
+    return hashed.select(*keys, "length", F.explode(F.concat(*full, *some)).alias("_o")).select(*keys, "length", "_o.*")
+
+
+def sieved_windows(rows: DataFrame, keys: list[str], text: str, size: int, sieve: Column, exact: bool) -> DataFrame:
+    """(keys, at, h) of the windows of ``size`` tokens whose lead ``sieve`` holds, exact ones only with ``exact``.
+
+    Each place costs one hash of LEAD tokens; only where the sieve holds it, the window's own tokens are hashed.
+    """
+    words = rows.select(*keys, tokens(F.col(text)).alias("_w"))
+    values = F.transform("_w", lambda w: F.xxhash64(bare(w))) if exact else F.lit(None).cast("array<bigint>")
+    words = words.select(*keys, "_w", F.transform("_w", as_either).alias("_c"), values.alias("_v"))
+    bit = lambda p: F.getbit(F.get(sieve, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def held(v: Column, i: Column) -> Column:
+        first, second = _bits(_lead(v, i))
+        return bit(first) & bit(second)
+
+    n = F.size("_w")
+    starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    at = F.filter(starts, lambda i: held(F.col("_c"), i) | held(F.col("_v"), i) if exact else held(F.col("_c"), i))
+    some = words.select(*keys, "_w", F.explode(at).alias("at")).select(*keys, "at", F.slice("_w", F.col("at") + 1, size).alias("_s"))
+    some = some.select(*keys, "at", F.transform("_s", as_words).alias("_x"), F.transform("_s", as_names).alias("_y"), F.transform("_s", lambda w: F.xxhash64(bare(w))).alias("_e"))
+    of = lambda v: [F.col(v)[j] for j in range(size)]
+    enough = lambda v: _all([h.bitwiseAND(F.lit(1)) for h in of(v)]) <= size - PLAIN
+    form = lambda v: F.xxhash64(*of(v))
+    exactly = F.array(F.xxhash64(F.lit(size), *of("_e")))
+    found = F.when(enough("_x"), F.when(enough("_y"), F.array_distinct(F.array(form("_x"), form("_y")))).otherwise(F.array(form("_x")))).otherwise(exactly)
+    return some.select(*keys, "at", F.explode(found).alias("h"))
 
 
 def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str = "item_id", item_text: str = "text",
@@ -127,7 +176,10 @@ def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str
     rows = rows if null_keys else rows.where("_given is not null")
     rows = rows.withColumn("_twin", F.xxhash64("_text"))
     exact = not of_items.where("exact").isEmpty()
-    hits = windows(rows, ["_key", "_twin"], "_text", size, short, sieve=sieve_of(of_items), exact=exact).select("_key", "_twin", "at", "h").join(lists, "h")
+    places = sieved_windows(rows, ["_key", "_twin"], "_text", size, sieve_of(of_items), exact)
+    if short:
+        places = places.unionByName(windows(rows, ["_key", "_twin"], "_text", size, short, long=False).select("_key", "_twin", "at", "h"))
+    hits = places.join(lists, "h")
     hits = hits.select("_key", "_twin", "at", F.explode("_places").alias("_p")).select("_key", "_twin", "at", "_p._item", "_p._item_at")
     sizes = of_items.groupBy("_item").agg(F.countDistinct("at").alias("_windows"), F.max("length").alias("_length"), F.max("exact").alias("_exact"))
     pair = ["_key", "_twin", "_item"]
