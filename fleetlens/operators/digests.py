@@ -113,15 +113,13 @@ def table_manifest(
 
     ``indexes`` and ``foreign_keys`` as in :func:`structure_digest`; without
     them the structure is that of the columns.  All tables are digested in one
-    job.
+    aggregation; a task hands on one row for each table it read.
     """
-    parts = [
-        df.agg(*multiset_parts(line_of(cols), "__")).select(
-            F.lit(name).alias("table_name"), F.col("__rows").alias("rows"), multiset_digest("__").alias("data_digest")
-        )
-        for name, (df, cols) in sorted(tables.items())
-    ]
-    data = reduce(DataFrame.unionByName, parts)
+    lines = [df.select(F.lit(name).alias("table_name"), line_of(cols).alias("line")) for name, (df, cols) in sorted(tables.items())]
+    spark = lines[0].sparkSession
+    # a null line is no row; it keeps tables without rows in the result
+    lines.append(spark.createDataFrame([(name, None) for name in sorted(tables)], "table_name string, line string"))
+    data = grouped_digest(reduce(DataFrame.unionByName, lines), ["table_name"], F.col("line"), "data_digest", "rows")
     cols = schema_columns({n: df.select(*c) for n, (df, c) in tables.items()})
     nothing = cols.filter("false")
     no_indexes = nothing.selectExpr("table_name", "'' AS index_name", "0 AS non_unique", "0 AS seq", "'' AS column_name", "'' AS sub_part", "'' AS index_type")

@@ -326,3 +326,10 @@ def test_patterns_end_at_the_end_of_a_text(spark):
     assert [r.s for r in states.select(packages.package_state(F.col("v")).alias("s")).collect()] == ["installed", None]
     names = spark.createDataFrame([("p", "ok-name"), ("p", "name\n")], "project_id string, service string")
     assert [r.service for r in grants.dependency_violations(names, names.selectExpr("project_id", "'a1' AS service", "service AS dependency", "'' AS condition", "false AS restart")).collect()] == ["a1"]
+
+
+def test_a_table_without_rows_is_in_the_manifest(spark):
+    some = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
+    got = {r.table_name: (r.rows, r.data_digest) for r in digests.table_manifest({"some": (some, ["k", "v"]), "none": (some.limit(0), ["k", "v"])}).collect()}
+    alone = digests.row_multiset_digest(some, ["k", "v"]).first()
+    assert got["some"] == (3, alone.digest) and got["none"] == (0, digests.row_multiset_digest(some.limit(0), ["k", "v"]).first().digest)
