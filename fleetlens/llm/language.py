@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,30 +36,29 @@ def words_in(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """languages in order; logs of known words and of n-grams by length, one value per language each."""
+    """languages in order; rows of ``logs`` (a value for each language) of known words and of n-grams by length."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: list[dict[str, tuple[float, ...]]]
-    floor: list[tuple[float, ...]] = field(default_factory=list)
+    words: dict[str, int]
+    grams: list[dict[str, int]]
+    logs: np.ndarray
 
-    def of_word(self, word: str) -> tuple[float, ...]:
+    def of_word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
-        if known:
-            return known
+        if known is not None:
+            return self.logs[known]
         marked = f"\x02{word}\x03"
         for n in range(LONGEST, 0, -1):
             table = self.grams[n]
-            found = [v for k in range(len(marked) - n + 1) if (v := table.get(marked[k : k + n]))]
+            found = [at for k in range(len(marked) - n + 1) if (at := table.get(marked[k : k + n])) is not None]
             if found:
-                return tuple(sum(column) / len(found) for column in zip(*found))
-        return (0.0,) * len(self.languages)
+                return self.logs[found].sum(axis=0) / len(found)
+        return np.zeros(len(self.languages))
 
 
-def _logs(counts: dict[str, list[int]], size: int) -> dict[str, tuple[float, ...]]:
-    totals = np.sum([*counts.values()] or [[0] * size], axis=0)
-    base = totals + 0.5 * (len(counts) + 1)
-    return {k: tuple(np.log((np.array(v) + 0.5) / base).tolist()) for k, v in counts.items()}
+def _logs(counts: dict[str, list[int]], size: int) -> np.ndarray:
+    values = np.array([*counts.values()], dtype=np.float64).reshape(len(counts), size)
+    return np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(counts) + 1)))
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -103,7 +102,11 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
             for k in range(len(marked) - size + 1):
                 grams[size][marked[k : k + size]][i] += n
     known = {w: v for w, v in words.items() if sum(v) >= KNOWN}
-    return Model(languages, _logs(known, len(languages)), [_logs(g, len(languages)) for g in grams])
+    tables, index, at = [known, *grams], [], 0
+    for table in tables:
+        index.append({w: at + k for k, w in enumerate(table)})
+        at += len(table)
+    return Model(languages, index[0], index[1:], np.concatenate([_logs(t, len(languages)) for t in tables]))
 
 
 class _Rows(dict):
