@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` and these columns, each computed once per row, however often it is read.
+
+    The optimiser copies a plain column into every lambda and into every filter
+    that it pushes down; a column of a generator is only read.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def words(text: Column) -> Column:
     """Fields between white space; an empty array for a blank text."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -1,4 +1,4 @@
-"""Joins of many rows to one small row per key, safe when one key is very common."""
+"""Rows dealt to tasks: joins of many rows to one small row per key, safe when one key is very common, and costly rows."""
 
 from __future__ import annotations
 
@@ -17,6 +17,11 @@ def _name(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the shuffle partitions, for costly work on each row of a table that few files or row groups hold."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def common_keys(df: DataFrame, keys: Sequence[str]) -> dict[int, int]:
     """Number of slices for each common key (by hash), from a sketch of fixed size that is merged over the tasks.
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from fleetlens.functions import rules
-from fleetlens.functions.columns import field, trimmed
+from fleetlens.functions.columns import computed, field, trimmed
 from fleetlens.functions.pages import Limits, cut_pages
+from fleetlens.functions.spread import dealt
 
 # Inventory limits and identity patterns.
 MAX_PACKAGES = 10_000
@@ -83,18 +84,21 @@ def parse_packages(lines: DataFrame, max_packages: int | None = None) -> tuple[D
 def source_identity(value: Column, name: Column, version: Column) -> Column:
     """Struct ``name, version, error`` of a ``Source`` field: empty, ``name`` or ``name (version)``."""
     given = F.coalesce(value, F.lit(""))
-    parts = F.filter(F.split(given, r"\s+"), lambda w: w != "")
-    source = field(parts, 0)
-    bracket = field(parts, 1)
-    source_version = F.when(F.size(parts) == 2, F.regexp_extract(bracket, r"^\((.*)\)$", 1)).otherwise(version)
-    ok = F.size(parts).between(1, 2) & source.rlike(PACKAGE_NAME) & valid_version(source_version)
-    ok = F.coalesce(ok, F.lit(False))
     empty = given == ""
-    return F.struct(
-        F.when(empty, name).when(ok, source).alias("name"),
-        F.when(empty, version).when(ok, source_version).alias("version"),
-        F.when(~empty & ~ok, "invalid_source_identity").alias("error"),
-    )
+
+    def identity(parts: Column) -> Column:
+        source = field(parts, 0)
+        source_version = F.when(F.size(parts) == 2, F.regexp_extract(field(parts, 1), r"^\((.*)\)$", 1)).otherwise(version)
+        ok = F.size(parts).between(1, 2) & source.rlike(PACKAGE_NAME) & valid_version(source_version)
+        ok = F.coalesce(ok, F.lit(False))
+        return F.struct(
+            F.when(empty, name).when(ok, source).alias("name"),
+            F.when(empty, version).when(ok, source_version).alias("version"),
+            F.when(~empty & ~ok, "invalid_source_identity").alias("error"),
+        )
+
+    # the parts are found once, as the element of an array
+    return field(F.transform(F.array(F.filter(F.split(given, r"\s+"), lambda w: w != "")), identity), 0)
 
 
 def capture_status(captures: DataFrame) -> DataFrame:
@@ -234,32 +238,28 @@ def parse_stanzas(stanzas: DataFrame) -> DataFrame:
     without a usable size and digest, are dropped.  A field that comes twice
     is an error unless it was empty before.
     """
-    whole = F.split("stanza", "\n")
-    blank = F.array_position(whole, "")
-    block = F.when(blank > 0, F.slice(whole, F.lit(1), blank.cast("int") - 1)).otherwise(whole)  # a blank line ends it
-    lines = F.filter(block, lambda s: ~s.rlike(r"^[ \t]"))
-    keys = F.transform(lines, lambda s: F.substring_index(s, ":", 1))
-    last_first = F.reverse(keys)
+    out = computed(dealt(stanzas.select("index_id", "stanza_no", "stanza")), whole=F.split("stanza", "\n"))
+    blank = F.array_position("whole", "")
+    block = F.when(blank > 0, F.slice("whole", F.lit(1), blank.cast("int") - 1)).otherwise(F.col("whole"))  # a blank line ends it
+    lines = F.filter(block, lambda s: ~s.startswith(" ") & ~s.startswith("\t"))
+    fields = F.transform(lines, lambda s: F.struct(
+        s.contains(":").alias("named"), F.substring_index(s, ":", 1).alias("key"), trimmed(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("value")))
+    out = computed(out.select("index_id", "stanza_no", fields.alias("fields")), all=F.col("fields"))
+    out = computed(out.drop("fields"), keys=F.col("all.key"), last_first=F.reverse("all.key"))
 
     def value(key: str) -> Column:
-        mine = F.filter(lines, lambda s: s.startswith(f"{key}:"))
-        given = F.filter(F.transform(mine, lambda s: trimmed(F.substring(s, F.lit(len(key) + 2), F.length(s)))), lambda v: v != "")
-        return F.coalesce(field(given, 0), F.lit(""))
-
-    def repeated(s: Column, i: Column) -> Column:
-        # a field may come again only while it is empty
-        given = trimmed(F.substring(s, F.instr(s, ":") + 1, F.length(s))) != ""
-        return given & (F.array_position(last_first, F.substring_index(s, ":", 1)) != F.size(keys) - i)
-
-    bad = F.transform(lines, lambda s, i: ~s.contains(":") | repeated(s, i))
-    metadata_ok = ~F.exists(bad, lambda b: b)
-    out = stanzas.select(
-        "index_id", "stanza_no", metadata_ok.alias("metadata_ok"), value("Package").alias("name"), value("Version").alias("version"),
-        value("Architecture").alias("architecture"), value("Source").alias("source"), value("Size").alias("size_text"),
-        value("SHA256").alias("archive_sha"),
+        return F.coalesce(field(F.filter("all", lambda f: f.named & (f.key == key) & (f.value != "")), 0).value, F.lit(""))
+
+    # a field may come again only while it is empty
+    differ = F.size("keys") == F.size(F.array_distinct("keys"))
+    repeated = F.exists(
+        F.transform("all", lambda f, i: (f.value != "") & (F.array_position("last_first", f.key) != F.size("keys") - i)), lambda again: again)
+    out = computed(
+        out, metadata_ok=~F.exists("all", lambda f: ~f.named) & (differ | ~repeated), name=value("Package"), version=value("Version"),
+        architecture=value("Architecture"), source=value("Source"), size_text=value("Size"), archive_sha=value("SHA256"),
     )
     identity = F.col("name").rlike(PACKAGE_NAME) & valid_version(F.col("version")) & F.col("architecture").rlike(ARCHITECTURE)
-    out = out.withColumn("s", source_identity(F.col("source"), F.col("name"), F.col("version")))
+    out = computed(out, s=source_identity(F.col("source"), F.col("name"), F.col("version")))
     approved = F.col("name").rlike(APPROVED_PACKAGES)
     # fixed values: the error codes below
     error = (
@@ -268,9 +268,9 @@ def parse_stanzas(stanzas: DataFrame) -> DataFrame:
         .when(approved, F.col("s.error"))
     )
     size = F.when(F.col("size_text").rlike("^[0-9]+$"), F.col("size_text").try_cast("long"))
-    usable = F.coalesce((size >= 1) & F.col("archive_sha").rlike(SHA256_HEX), F.lit(False))
+    usable = F.coalesce((F.col("size") >= 1) & F.col("archive_sha").rlike(SHA256_HEX), F.lit(False))
     return (
-        out.withColumns({"error": error, "size": size})
+        computed(out, error=error, size=size)
         .filter(F.col("error").isNotNull() | (approved & usable))
         .select(
             "index_id", "stanza_no", "error", "name", "architecture", "version", F.col("s.name").alias("source_name"),

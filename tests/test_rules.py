@@ -333,3 +333,20 @@ def test_a_table_without_rows_is_in_the_manifest(spark):
     got = {r.table_name: (r.rows, r.data_digest) for r in digests.table_manifest({"some": (some, ["k", "v"]), "none": (some.limit(0), ["k", "v"])}).collect()}
     alone = digests.row_multiset_digest(some, ["k", "v"]).first()
     assert got["some"] == (3, alone.digest) and got["none"] == (0, digests.row_multiset_digest(some.limit(0), ["k", "v"]).first().digest)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stanzas_are_read_once_and_dealt_out(spark):
+    text = "Package: nginx\nVersion: 1.0\nArchitecture: amd64\nSource: php8.3 (8:3)\nSize: 5\nSHA256: " + "ab" * 32
+    rows = [("i", 1, text), ("i", 2, None), (None, None, text), (None, None, text), ("i", 3, text.replace("(8:3)", "8:3")), ("i", 4, text + "\nSize: 6")]
+    found = packages.parse_stanzas(spark.createDataFrame(rows, "index_id string, stanza_no int, stanza string").coalesce(1))
+    got = sorted(((r.index_id or "", r.stanza_no or 0, r.error, r.source_name, r.source_version, r.size) for r in found.collect()), key=lambda r: r[:2])
+    good = (None, "php8.3", "8:3", 5)
+    assert got == [("", 0, *good), ("", 0, *good), ("i", 1, *good), ("i", 2, "invalid_index_identity", "", "", None),
+                   ("i", 3, "invalid_source_identity", None, None, 5), ("i", 4, "invalid_control_metadata", "php8.3", "8:3", 5)]
+    plan = _plan(found)
+    assert plan.count("split(stanza") == 1 and plan.count("regexp_replace(") == 1
+    assert "Repartition " in plan
