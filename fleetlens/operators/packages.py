@@ -293,7 +293,7 @@ INDEX_PATH = r"^(main|restricted|universe|multiverse|contrib|non-free|non-free-f
 def _release_date(text: Column) -> Column:
     """RFC 1123 date; the weekday is not needed."""
     plain = F.regexp_extract(text, r"^[A-Z][a-z]{2}, ([0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8}) (?:UTC|GMT|[+-]0000)$", 1)
-    return F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.when(plain != "", F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss")))
 
 
 def parse_release(releases: DataFrame, now, index_path: str = INDEX_PATH) -> tuple[DataFrame, DataFrame]:
@@ -302,28 +302,30 @@ def parse_release(releases: DataFrame, now, index_path: str = INDEX_PATH) -> tup
     Input: ``release_id, os_id, text``.  A date in the future is refused; an
     expiry is only recorded.
     """
-    lines = F.split("text", "\n")
-    heads = F.filter(lines, lambda s: ~s.rlike(r"^[ \t]") & s.contains(":"))
-    keys = F.transform(heads, lambda s: F.substring_index(s, ":", 1))
+    # indented lines between the SHA256 header and the next header
+    section = F.regexp_extract("text", r"(?:^|\n)SHA256:[^\n]*((?:\n[ \t][^\n]*)*)", 1)
+    read = computed(
+        dealt(releases.select("release_id", "os_id", "text")),
+        heads=F.transform(
+            F.filter(F.split("text", "\n"), lambda s: ~s.startswith(" ") & ~s.startswith("\t") & s.contains(":")),
+            lambda s: F.struct(F.substring_index(s, ":", 1).alias("key"), F.trim(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("value"))),
+        sums=F.transform(F.filter(F.split(section, "\n"), lambda s: F.trim(s) != ""), lambda s: F.split(F.trim(s), r"\s+")),
+    )
 
     def value(key: str) -> Column:
-        mine = field(F.filter(heads, lambda s: s.startswith(f"{key}:")), 0)
-        return F.coalesce(F.trim(F.substring(mine, F.lit(len(key) + 2), F.length(mine))), F.lit(""))
+        return F.coalesce(field(F.filter("heads", lambda h: h.key == key), 0).value, F.lit(""))
 
-    # indented lines between the SHA256 header and the next header
-    section = F.regexp_extract("text", r"(?:^|\n)SHA256:[^\n]*((?:\n[ \t][^\n]*)*)", 1)
-    sums = F.transform(F.filter(F.split(section, "\n"), lambda s: F.trim(s) != ""), lambda s: F.split(F.trim(s), r"\s+"))
     sums_ok = ~F.exists(
-        sums, lambda w: (F.size(w) != 3) | ~F.get(w, F.lit(0)).rlike(SHA256_HEX) | ~F.get(w, F.lit(1)).rlike("^[0-9]+$")
-    )
-    wanted = F.filter(sums, lambda w: F.get(w, F.lit(2)).rlike(index_path) & (F.get(w, F.lit(1)).try_cast("long") > 0))
-    paths = F.transform(wanted, lambda w: F.get(w, F.lit(2)))
-    parsed = releases.select(
-        "release_id", "os_id", (F.size(keys) == F.size(F.array_distinct(keys))).alias("keys_ok"), sums_ok.alias("sums_ok"),
-        (F.size(paths) == F.size(F.array_distinct(paths))).alias("paths_ok"), wanted.alias("wanted"), value("Origin").alias("origin"),
-        value("Codename").alias("codename"), value("Suite").alias("suite"), _release_date(value("Date")).alias("date"),
-        value("Valid-Until").alias("until_text"), _release_date(value("Valid-Until")).alias("valid_until"),
+        "sums", lambda w: (F.size(w) != 3) | ~F.get(w, F.lit(0)).rlike(SHA256_HEX) | ~F.get(w, F.lit(1)).rlike("^[0-9]+$")
     )
+    wanted = F.filter("sums", lambda w: F.get(w, F.lit(2)).rlike(index_path) & (F.get(w, F.lit(1)).try_cast("long") > 0))
+    read = computed(
+        read.drop("text"), keys=F.col("heads.key"), sums_ok=sums_ok, wanted=wanted, origin=value("Origin"), codename=value("Codename"),
+        suite=value("Suite"), date_text=value("Date"), until_text=value("Valid-Until"))
+    paths = F.transform("wanted", lambda w: F.get(w, F.lit(2)))
+    parsed = computed(
+        read.drop("heads", "sums"), keys_ok=F.size("keys") == F.size(F.array_distinct("keys")), paths_ok=F.size(paths) == F.size(F.array_distinct(paths)),
+        date=_release_date(F.col("date_text")), valid_until=_release_date(F.col("until_text")))
 
     def by_os(pick) -> Column:
         return F.when(F.col("os_id") == "debian", pick("debian")).otherwise(pick("ubuntu"))
@@ -343,7 +345,7 @@ def parse_release(releases: DataFrame, now, index_path: str = INDEX_PATH) -> tup
         .when(~suite_ok, "unapproved_release_pocket")
         .when((F.col("until_text") != "") & (F.col("valid_until").isNull() | (F.col("valid_until") < F.col("date"))), "invalid_release_expiry")
     )
-    judged = parsed.withColumn("error", error)
+    judged = computed(parsed, error=error)
     headers = judged.select("release_id", "os_id", "codename", "date", "valid_until", "error")
     indexes = judged.filter("error IS NULL").select("release_id", F.explode("wanted").alias("w")).select(
         "release_id", F.get("w", F.lit(2)).alias("path"), F.get("w", F.lit(0)).alias("digest"), F.get("w", F.lit(1)).cast("long").alias("size")

@@ -350,3 +350,17 @@ def test_stanzas_are_read_once_and_dealt_out(spark):
     plan = _plan(found)
     assert plan.count("split(stanza") == 1 and plan.count("regexp_replace(") == 1
     assert "Repartition " in plan
+
+
+def test_releases_are_read_once_and_dealt_out(spark):
+    text = ("Origin: Ubuntu\nSuite: noble\nCodename: noble\nDate: Thu, 11 Jan 2024 10:00:00 UTC\nSHA256:\n " + "ab" * 32 + " 7 main/binary-amd64/Packages\n "
+            + "cd" * 32 + " 8 universe/binary-all/Packages\nDescription: x")
+    rows = [("a", "ubuntu", text), ("b", "ubuntu", None), ("c", "ubuntu", text + "\nSuite: noble"), ("d", "ubuntu", text.replace("Date: Thu", "Date: thu")), ("a", "ubuntu", text)]
+    releases = spark.createDataFrame(rows, "release_id string, os_id string, text string").coalesce(1)
+    headers, indexes = packages.parse_release(releases, F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    assert {r.release_id: r.error for r in headers.collect()} == {"a": None, "b": "unapproved_release", "c": "duplicate_release_field", "d": "invalid_release_date"}
+    one = [("a", "main/binary-amd64/Packages", "ab" * 32, 7), ("a", "universe/binary-all/Packages", "cd" * 32, 8)]
+    assert sorted(tuple(r) for r in indexes.collect()) == sorted(2 * one)
+    plan = _plan(indexes)
+    assert plan.count("split(text") == 1 and plan.count("(?:^|\\n)SHA256:") == 1
+    assert "Repartition " in plan
