@@ -15,6 +15,8 @@ from fleetlens.functions.digest import (
 from fleetlens.operators.redaction import sanitize_acl_rule
 
 EXPIRY_TOLERANCE_MS = 2_000
+#: Rows of both tables that a task of a comparison gets, on average; some tens of MB in its hash table.
+ROWS_OF_A_TASK = 500_000
 EMPTY_SHA256 = "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -154,13 +156,17 @@ def verify_tables(source: DataFrame, target: DataFrame) -> DataFrame:
 def table_diff(source: DataFrame, target: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows that one side holds more often than the other, with how much more often.
 
-    Each side is counted per distinct row before the two meet, so repeated
-    rows travel once.
+    Rows meet by their hash before they are counted: a count inside the tasks
+    that read would hold every distinct row of a file's part, and a table has
+    few repeated ones.  There are as many partitions as keep ROWS_OF_A_TASK.
     """
-    def counted(df: DataFrame, sign: int) -> DataFrame:
-        return df.groupBy(*cols).agg(F.count("*").alias("n")).withColumn("n", F.col("n") * sign)
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*cols, F.lit(sign).cast("long").alias("n"))
 
-    both = counted(source, 1).unionByName(counted(target, -1)).groupBy(*cols).agg(F.sum("n").alias("n")).filter("n <> 0")
+    rows = source.count() + target.count()
+    tasks = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_OF_A_TASK))
+    both = signed(source, 1).unionByName(signed(target, -1)).repartition(tasks, *cols)
+    both = both.groupBy(*cols).agg(F.sum("n").alias("n")).filter("n <> 0")
     return both.select(*cols, F.when(F.col("n") > 0, "source").otherwise("target").alias("side"), F.abs("n").alias("copies"))
 
 

@@ -364,3 +364,19 @@ def test_releases_are_read_once_and_dealt_out(spark):
     plan = _plan(indexes)
     assert plan.count("split(text") == 1 and plan.count("(?:^|\\n)SHA256:") == 1
     assert "Repartition " in plan
+
+
+def test_differences_are_counted_where_rows_meet(spark, monkeypatch):
+    from fleetlens.operators import digests
+
+    monkeypatch.setattr(digests, "ROWS_OF_A_TASK", 10)
+    rows = [(n, "x" if n % 3 else None) for n in range(40)]
+    source = spark.createDataFrame([*rows, (1, "x"), (1, "x"), (None, None)], "k long, v string")
+    target = spark.createDataFrame([*rows[:-1], (1, "x"), (None, "y"), (None, "y")], "k long, v string")
+    diff = digests.table_diff(source, target, ["k", "v"])
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    got = {(r.k, r.v): (r.side, r.copies) for r in diff.collect()}
+    assert got == {(1, "x"): ("source", 1), (39, None): ("source", 1), (None, None): ("source", 1), (None, "y"): ("target", 2)}
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert plan.count("Exchange") == 1 and ", 9), REPARTITION_BY_NUM" in below  # 85 rows, 10 a task
+    assert "Aggregate" not in below
