@@ -17,6 +17,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.columns import computed
 from fleetlens.llm.shared import salted_lookup
 
 #: Notices by SPDX id. Fixed values.
@@ -61,6 +62,38 @@ def needed_words(weights: dict[str, dict[str, float]], like: float) -> list[str]
     return sorted(out)
 
 
+def _of(table: dict[str, float], word: Column, otherwise: float) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), word), F.lit(otherwise))
+
+
+def _norm(words: Column, idf: dict[str, float], rarest: float) -> Column:
+    """Length of a line's vector: one pass over its words in order, where equal ones follow each other."""
+    squares = lambda run: run["s"] + F.pow(run["n"] * _of(idf, run["w"], rarest), F.lit(2.0))
+    state = lambda w, n, s: F.struct(w.alias("w"), n.alias("n"), s.alias("s"))
+    return F.aggregate(
+        F.array_sort(words), state(F.lit(""), F.lit(0), F.lit(0.0)),
+        lambda run, w: F.when(run["w"] == w, state(run["w"], run["n"] + 1, run["s"])).otherwise(state(w, F.lit(1), squares(run))),
+        lambda run: F.sqrt(squares(run)))
+
+
+def alike(lines: DataFrame, idf: dict[str, float], weights: dict[str, dict[str, float]], rarest: float, like: float) -> DataFrame:
+    """(_path, licence, score) of each line (_path, _line) and each template that it is like, inside the row.
+
+    A line's words stay in its row. Its vector is at least as long as if each word came once for each time it occurs, with
+    the least idf for a word of a template; only lines that could be like a template by that have their words sorted.
+    """
+    rows = computed(lines, _words=F.regexp_extract_all(F.lower("_line"), F.lit(f"({_WORD})"))).drop("_line")
+    rows = computed(rows, _known=F.filter("_words", lambda w: w.isin(*idf)))
+    dot = lambda t: F.aggregate("_known", F.lit(0.0), lambda sum, w: sum + _of({x: idf[x] * v for x, v in t.items()}, w, 0.0))
+    dots = F.array(*[F.struct(F.lit(k).alias("licence"), dot(t).alias("dot")) for k, t in weights.items()])
+    shortest = F.sqrt((F.size("_words") - F.size("_known")) * F.lit(rarest**2) + F.size("_known") * F.lit(min(idf.values()) ** 2))
+    rows = computed(rows, _dots=dots, _shortest=shortest)
+    rows = rows.where(F.exists("_dots", lambda x: (x.dot > 0) & (x.dot >= F.lit(like - 1e-6) * F.col("_shortest"))))
+    rows = computed(rows.select("_path", "_words", "_dots"), _long=_norm(F.col("_words"), idf, rarest))
+    found = rows.select("_path", "_long", F.explode("_dots").alias("_x")).where("_x.dot > 0")
+    return found.select("_path", "_x.licence", F.round(F.col("_x.dot") / F.col("_long"), 9).alias("score")).where(F.col("score") >= like)
+
+
 def scanned(files: DataFrame, path: str = "path", text: str = "text", licence_file: Column | None = None,
             templates: dict[str, str] | None = None, like: float = LIKE) -> DataFrame:
     """(path, licence, score, origin, directory) of each row of ``files``.
@@ -72,25 +105,13 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text", licence_fi
     """
     templates = TEMPLATES if templates is None else templates
     idf, weights = vectors(templates)
-    rarest = math.log(1 + len(templates)) + 1
-    spark = files.sparkSession
-    terms = spark.createDataFrame([(w, k, v) for k, t in weights.items() for w, v in t.items()], "word string, licence string, v double")
-    idfs = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
     some = r"(?i)\b(?:" + "|".join(re.escape(w) for w in needed_words(weights, like)) + r")\b"
 
     if licence_file is None:
         licence_file = F.col(path).rlike(r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$")
     rows = files.select(F.col(path).alias("_path"), F.col(text).alias("_text"), F.coalesce(licence_file, F.lit(False)).alias("_speaks"))
     lines = rows.where(F.col("_text").rlike(some)).select("_path", F.explode(F.split("_text", r"[\r\n]+")).alias("_line")).where(F.col("_line").rlike(some))
-    lines = lines.distinct()
-    words = lines.select("_path", "_line", F.explode(F.regexp_extract_all(F.lower("_line"), F.lit(f"({_WORD})"))).alias("word"))
-    counted = words.groupBy("_path", "_line", "word").agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_v", F.col("_n") * F.coalesce(F.element_at(idfs, F.col("word")), F.lit(rarest)))
-    norms = counted.groupBy("_path", "_line").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
-    # the templates are constants
-    dots = counted.join(F.broadcast(terms), "word").groupBy("_path", "_line", "licence").agg(F.sum(F.col("_v") * F.col("v")).alias("_dot"))
-    scores = dots.join(norms, [dots["_path"].eqNullSafe(norms["_path"]), dots["_line"] == norms["_line"]]).select(
-        dots["_path"], "licence", F.round(F.col("_dot") / F.col("_norm"), 9).alias("score")).where(F.col("score") >= like)
+    scores = alike(lines, idf, weights, math.log(1 + len(templates)) + 1, like)
     best = lambda rows, key: rows.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("_low"), F.col("licence"))).alias("_b")).select(
         key, F.col("_b.licence").alias("licence"), (-F.col("_b._low")).alias("score"))
     own = best(scores, "_path").withColumnRenamed("_path", "_own")

@@ -414,6 +414,28 @@ def test_permutation(spark):
 # op1
 
 
+def test_lines_are_compared_inside_their_row(spark):
+    mit = licences.TEMPLATES["MIT"]
+    long = mit + " the the the License mit mit"
+    texts = [mit, long, mit + "\n" + mit, mit + " " + "other " * 40, "licensed.5", None, ""]
+    files = spark.createDataFrame([(f"d{n}/f", t) for n, t in enumerate(texts)] + [(None, mit), (None, mit)], "path string, text string")
+    found = licences.scanned(files)
+    idf, weights = licences.vectors(licences.TEMPLATES)
+    rarest = math.log(1 + len(licences.TEMPLATES)) + 1
+
+    def score(line):
+        counts = Counter(re.findall(licences._WORD, line.lower()))
+        norm = math.sqrt(sum((n * idf.get(w, rarest)) ** 2 for w, n in counts.items()))
+        return max((round(sum(n * idf[w] * t[w] for w, n in counts.items() if w in t) / norm, 9), k) for k, t in weights.items())
+
+    got = sorted(((r["path"], r["licence"], r["score"]) for r in found.collect()), key=str)
+    like = {"d0/f": mit, "d1/f": long, "d2/f": mit}
+    want = [(None, "MIT", 1.0)] * 2 + [(p, score(t)[1] if score(t)[0] >= 0.8 else None, score(t)[0] if score(t)[0] >= 0.8 else None) for p, t in like.items()]
+    assert got == sorted(want + [(f"d{n}/f", None, None) for n in range(3, 7)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Aggregate [" in x and "_line" in x]
+
+
 def test_licences(spark):
     mit, gpl = licences.TEMPLATES["MIT"], licences.TEMPLATES["GPL-3.0"]
     rows = [("a/LICENSE", mit), ("a/b/c/x.py", "code\n"), ("a/b/LICENSE", f"intro\n{gpl}\nend"), ("a/y.py", f"# {mit}"), ("z/y.py", gpl), ("z/w.py", None),
