@@ -17,7 +17,7 @@ that grows with the corpus is broadcast or held by a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +215,18 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.r_[starts, len(keys)])
 
 
+def distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """Sorted distinct keys; no more than about twice as many, and HELD, are held at a time."""
+    held, size, kept = [np.zeros(0, np.int64)], 0, 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > 2 * kept + HELD:
+            held = [np.unique(np.concatenate(held))]
+            size = kept = len(held[0])
+    return np.unique(np.concatenate(held))
+
+
 def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): counts of all 6-grams, words and ends of the texts of a task."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -255,11 +267,8 @@ def scored(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name in keep)
 
     def wanted(table: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = []
-        for batch in pieces(iter(table.to_batches()), "_text"):
-            column = batch.column("_text")
-            found += [_counted(gram_keys(column)[0])[0], _counted(word_keys(column)[0])[0]]
-        keys = np.unique(np.concatenate(found))
+        columns = (batch.column("_text") for batch in pieces(iter(table.to_batches()), "_text"))
+        keys = distinct(_counted(of(column)[0])[0] for column in columns for of in (gram_keys, word_keys))
         block_id = table.column("_block")[0].as_py()
         return pa.table({"_block": pa.array(np.full(len(keys), block_id, np.int32)), "key": keys})
 

@@ -436,6 +436,17 @@ def test_lines_are_compared_inside_their_row(spark):
     assert not [x for x in plan if "Aggregate [" in x and "_line" in x]
 
 
+def test_keys_of_a_block_are_merged_as_they_come(monkeypatch):
+    monkeypatch.setattr(context_tree, "HELD", 100)
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x: sizes.append(len(x)) or unique(x))
+    rng = np.random.default_rng(3)
+    parts = [unique(rng.integers(-50, 50, 40)) for _ in range(200)]
+    assert context_tree.distinct(iter(parts)).tolist() == unique(np.concatenate(parts)).tolist()
+    assert len(sizes) > 5 and max(sizes) <= 2 * 100 + 100 + 40
+    assert context_tree.distinct(iter([])).tolist() == []
+
+
 def test_licences(spark):
     mit, gpl = licences.TEMPLATES["MIT"], licences.TEMPLATES["GPL-3.0"]
     rows = [("a/LICENSE", mit), ("a/b/c/x.py", "code\n"), ("a/b/LICENSE", f"intro\n{gpl}\nend"), ("a/y.py", f"# {mit}"), ("z/y.py", gpl), ("z/w.py", None),
