@@ -6,8 +6,12 @@ t = floor(ln w / r + b) and ln a = ln c - r (t + 1 - b); the term of the smalles
 Two texts take the same sample with a probability equal to their generalised Jaccard similarity, the sum of the smaller
 weights over the sum of the larger. As a tells (term, t) apart, the smallest a itself is kept, as 32 bits.
 
-Weights are counted inside the row (sorted word hashes, runs), terms are exploded and aggregated by minimum within the same
-task, so that a shuffle carries one row of samples per text and never its terms.
+A sample's a is exponential with the text's number of words n as rate, so it is below ENOUGH / n unless chance has it at
+exp(-ENOUGH). Logarithms are therefore taken only of terms whose a may be below that, by a lower bound without any; a text of
+which one sample stays above is sampled again with all its terms.
+
+Weights are counted inside the row (sorted word hashes, runs), terms are exploded and aggregated by minimum in the task that
+has joined the texts, by the key that they were joined on, so that neither terms nor samples move.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from fleetlens.llm.shared import following, stored
 
 #: The standard error of a likeness is at most 0.0625 (0.05 at 0.8).
 SAMPLES = 64
+ENOUGH = 24.0
+#: Samples that one row of a term serves; the code of more is too long to be compiled well.
+AT_ONCE = 16
 _WORD = r"[\x20\x09-\x0D]+"
 _UNIT = float(1 << 21)
 
@@ -41,31 +48,42 @@ def _uniform(h: Column, part: int) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(_UNIT)
 
 
-def log_a(term: Column, log_w: Column, k: int) -> Column:
-    """ln a of a term with weight w in sample k."""
-    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.ln(_uniform(one, 0) * _uniform(one, 1))
-    c = -F.ln(_uniform(one, 2) * _uniform(two, 0))
+def log_a(term: Column, w: Column, log_w: Column, most: Column, k: Column) -> Column:
+    """ln a of a term with weight w in sample k, an int; null where a is sure to be above ``most``, and maybe not computed."""
+    one, two = F.xxhash64(term, F.lit(2) * k), F.xxhash64(term, F.lit(2) * k + F.lit(1))
+    q, p = _uniform(one, 0) * _uniform(one, 1), _uniform(one, 2) * _uniform(two, 0)
+    r = -F.ln(q)
+    c = -F.ln(p)
     b = _uniform(two, 1)
     t = F.when(log_w == 0, F.lit(0.0)).otherwise(F.floor(log_w / r + b).cast("double"))  # most terms come once
-    return F.ln(c) - r * (t + F.lit(1.0) - b)
+    # c >= 2 (1 - p) / (1 + p), and a / c is q ** (1 - b) >= q / (1 - b + b q) for a single word and >= q / w for others
+    near = F.lit(2.0) * (F.lit(1.0) - p) * q <= most * (F.lit(1.0) + p) * F.when(log_w == 0, F.lit(1.0) - b + b * q).otherwise(w)
+    return F.when(near, F.ln(c) - r * (t + F.lit(1.0) - b))
 
 
-def sampled(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """(keys, copies, samples): samples array<int> of each distinct ``keys``, which must fix the text; copies counts rows.
+def sampled(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, enough: float = ENOUGH) -> DataFrame:
+    """(keys, copies, samples, whole): samples array<int> of each distinct ``keys``, which must fix the text; copies counts rows.
 
-    A text without words has zeros.
+    A text without words has zeros. Where not ``whole``, a term left out might have been a sample; an infinite ``enough``
+    leaves none out.
     """
     hashed = texts.select(*keys, F.sort_array(weights(F.col(text))).alias("_hashes"))
     runs = hashed.select(*keys, "_hashes", _counted("_hashes").alias("_starts"))
     pairs = F.transform("_starts", lambda p, j: F.struct(F.col("_hashes")[p].alias("term"), (F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_hashes")) - p).alias("w")))
-    terms = runs.select(*keys, F.posexplode_outer(pairs).alias("_at", "_x"))
-    terms = terms.select(*keys, "_at", F.col("_x.term").alias("_t"), F.ln(F.col("_x.w").cast("double")).alias("_w"))
-    least = [F.min(log_a(F.col("_t"), F.col("_w"), k)).alias(f"_{k}") for k in range(samples)]
+    most = F.when(F.size("_hashes") > 0, F.lit(enough) / F.size("_hashes")).alias("_most")
+    terms = runs.select(*keys, most, F.posexplode_outer(pairs).alias("_at", "_x"))
+    terms = terms.select(*keys, "_most", "_at", F.col("_x.term").alias("_t"), F.col("_x.w").cast("double").alias("_v"), F.ln(F.col("_x.w").cast("double")).alias("_w"))
+    firsts = list(range(0, samples, AT_ONCE))
+    terms = terms.select("*", F.explode(F.array(*map(F.lit, firsts))).alias("_first"))
+    least = [F.min(log_a(F.col("_t"), F.col("_v"), F.col("_w"), F.col("_most"), F.col("_first") + F.lit(k))).alias(f"_{k}") for k in range(min(AT_ONCE, samples))]
     # a row counts once: at its first term, or at its only, null one
-    merged = terms.groupBy(*keys).agg(F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), *least)
-    bits = lambda c: F.coalesce(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))
-    return merged.select(*keys, "copies", F.array(*[F.when(F.col(f"_{k}").isNull(), F.lit(0).cast("long")).otherwise(bits(F.col(f"_{k}"))) for k in range(samples)]).alias("samples"))
+    merged = terms.groupBy(*keys, "_first").agg(F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), F.max("_most").alias("_most"), *least)
+    every = [F.col(f"_{k}") for k in range(len(least))]
+    whole = F.col("_most").isNull() | F.coalesce(F.forall(F.array(*every), lambda x: x <= F.ln("_most") - F.lit(1e-9)), F.lit(False))
+    bits = lambda c: F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    some = merged.select(*keys, "copies", "_first", whole.alias("whole"), F.array(*map(bits, every)).alias("_some"))
+    one = some.groupBy(*keys).agg(F.max("copies").alias("copies"), F.min("whole").alias("whole"), *[F.max(F.when(F.col("_first") == k, F.col("_some"))).alias(f"_{k}") for k in firsts])
+    return one.select(*keys, "copies", F.slice(F.concat(*[F.col(f"_{k}") for k in firsts]), 1, samples).alias("samples"), "whole")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,7 +97,7 @@ def as_text(samples: Column) -> Column:
 
 
 def edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, _text, _edited, _next): each whole text and the one whose last quarter is the start of the next text.
+    """(_k, _id, _next, _text, _edited): the key, as text and long, and each whole text and the one whose last quarter is the start of the next text.
 
     The next row is that of the next larger key (of rows with one key, that with the smallest text hash); after the last
     key, and after a null key, comes the first. Where all keys are null, nothing follows.
@@ -99,22 +117,30 @@ def edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     joined = rows.join(starts, F.col("_k") == F.col("_before"), "left")
     whole = F.concat(F.substring("_text", F.lit(1), F.length("_text") - quarter), F.coalesce(F.substring("_s._start", F.lit(1), quarter), F.lit("")))
     return joined.select(
-        F.nullif(F.col("_k"), F.lit("")).cast("long").alias("_id"), F.col("_s._next").cast("long").alias("_next"), "_text", whole.alias("_edited"))
+        "_k", F.nullif(F.col("_k"), F.lit("")).cast("long").alias("_id"), F.col("_s._next").cast("long").alias("_next"), "_text", whole.alias("_edited"))
 
 
-def fingerprinted(docs: DataFrame, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
+def fingerprinted(docs: DataFrame, text: str = "text", key: str = "doc_id", samples: int = SAMPLES, enough: float = ENOUGH) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of ``docs``.
 
     A null text counts as empty; texts without words have the fingerprint of zeros and are alike. Repeated rows come out
     as often as they came in. See ``edited`` for null and repeated keys; near_next is null where nothing follows.
     """
-    rows = edited(docs, text, key).select("_id", "_next", F.length("_text").cast("long").alias("_n"), F.xxhash64("_text").alias("_h"),
+    rows = edited(docs, text, key).select("_k", "_id", "_next", F.length("_text").cast("long").alias("_n"), F.xxhash64("_text").alias("_h"),
                                           F.sha2("_edited", 256).alias("_sha"), "_text", "_edited")
-    both = rows.select("_id", "_next", "_n", "_h", "_sha", F.posexplode(F.array("_text", "_edited")).alias("_which", "_body"))
-    found = sampled(both, ["_id", "_next", "_n", "_h", "_sha", "_which"], "_body", samples)
-    one = found.groupBy("_id", "_next", "_n", "_h", "_sha").agg(
-        F.max("copies").alias("_copies"), F.max(F.when(F.col("_which") == 0, F.col("samples"))).alias("_a"), F.max(F.when(F.col("_which") == 1, F.col("samples"))).alias("_b"))
-    one = stored(one, "weighted-samples")  # read twice
+    keys = ["_k", "_id", "_next", "_n", "_h", "_sha"]  # rows are dealt by _k already
+
+    def both(rows: DataFrame, enough: float) -> DataFrame:
+        found = sampled(rows.select(*keys, F.posexplode(F.array("_text", "_edited")).alias("_which", "_body")), [*keys, "_which"], "_body", samples, enough)
+        return stored(found.groupBy(*keys).agg(
+            F.max("copies").alias("_copies"), F.max(F.when(F.col("_which") == 0, F.col("samples"))).alias("_a"),
+            F.max(F.when(F.col("_which") == 1, F.col("samples"))).alias("_b"), F.min("whole").alias("_whole")), "weighted-samples")
+
+    one = both(rows, enough)
+    again = one.where(~F.col("_whole"))
+    if not again.isEmpty():
+        # the three fix both texts
+        one = one.where("_whole").unionByName(both(rows.join(again.select("_k", "_h", "_sha"), ["_k", "_h", "_sha"], "left_semi"), float("inf")))
     nexts = one.where("_id is not null").groupBy(F.col("_id").alias("_key")).agg(F.min(F.struct("_h", "_a")).alias("_x"))
     near = one.join(nexts, F.col("_next") == F.col("_key"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return near.select(
