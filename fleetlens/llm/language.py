@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +23,8 @@ LONGEST = 5
 SAMPLE = 800
 #: A word is known if the training rows of all languages hold it so often.
 KNOWN = 2
-CACHE = 1 << 19
+#: Rows of the score matrix of a task.
+CACHE = 1 << 18
 #: Leading bits of the hash by which rows are counted.
 LEAD_BITS = 16
 
@@ -132,13 +132,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = _Rows(shared.value)
         languages = rows.model.languages
         for batch in texts:
             names, scores = [], []
-            for value in batch:
+            for value in batch:  # one text at a time becomes a Python string
+                value = value.as_py()
                 words = words_in(value) if value and languages else []
                 if not words:
                     names.append("und")
@@ -153,7 +154,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 best = int(total.argmax())
                 names.append(languages[best])
                 scores.append(float(1 / np.exp((total - total[best]) / len(words)).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     # only texts go to Python and only results come back; not deterministic, so that a filter does not ask twice
     asked = docs.select(*[F.col(f"`{c}`") for c in kept], found.asNondeterministic()(F.col(text)).alias("_found"))

@@ -7,7 +7,8 @@ piece may follow another only if merging the characters of both by score gives b
 the place is marked in a bitfield of failed positions and the piece before it is shortened. Characters that no piece
 holds become their UTF-8 bytes.
 
-Equal chunks are encoded once per worker; the memory for them is bounded and only saves time.
+Equal chunks of a task are encoded once, as far as a bounded memory holds them; it only saves time. A worker outlives its
+task and serves other operators too, so nothing but the model itself stays in it.
 """
 
 from __future__ import annotations
@@ -26,8 +27,38 @@ from pyspark.sql import functions as F
 from fleetlens.llm.tokens import pieces as parts
 
 SPACE = "▁"
-CHUNKS = 1 << 19
-PAIRS = 1 << 20
+#: Most chunks of either generation, and most pairs of pieces, that are remembered.
+CHUNKS = 1 << 17
+PAIRS = 1 << 18
+
+
+class Chunks(dict[str, str]):
+    """Ids, joined by commas, of chunks met; ``other`` holds the text of those that do not decode to themselves.
+
+    A full generation becomes the last one, from which chunks that are met again come back, so common ones are never lost.
+    """
+
+    def __init__(self, tool: Backtracker):
+        super().__init__()
+        self.tool, self.last, self.other = tool, {}, {}
+
+    def __missing__(self, chunk: str) -> str:
+        if len(self) >= CHUNKS:  # other stays: the text at hand may need it
+            self.last = self.copy()
+            self.clear()
+        found = self.last.get(chunk)
+        if found is None:
+            ids = self.tool.chunk_ids(chunk)
+            if self.tool.odd(ids) and (text := self.tool.text_of(ids)) != chunk.replace(SPACE, " "):
+                self.other[chunk] = text
+            found = ",".join(map(str, ids))
+        self[chunk] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.last.clear()
+        self.other.clear()
 
 
 class Backtracker:
@@ -52,7 +83,7 @@ class Backtracker:
         if any(c not in self.id_of for c in self.letters):
             raise ValueError("a character occurs only inside longer pieces")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.chunks = Chunks(self)
         self.matches = ahocorasick.Automaton()
         # a piece that its own merges do not give can never come out
         usable = {p for p in self.id_of if self.merged(p) == [p]}
@@ -120,6 +151,8 @@ class Backtracker:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of one chunk. No piece reaches over two neighbours that stand side by side in none, so it is cut there."""
+        if chunk in self.shorter:
+            return [self.id_of[chunk]]
         ids: list[int] = []
         at, inside, n = 0, self.inside, len(chunk)
         for k in range(1, n + 1):
@@ -150,22 +183,27 @@ class Backtracker:
                 out.append(" ⁇ " if i == self.unknown else self.names[i].replace(SPACE, " "))
         return "".join(out)
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text)"""
-        known = self.chunks.get(chunk)
-        if known is None:
-            if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
-            ids = self.chunk_ids(chunk)
-            text = self.text_of(ids) if self.odd(ids) else chunk.replace(SPACE, " ")
-            known = self.chunks[chunk] = (len(ids), ",".join(map(str, ids)), text)
-        return known
+    def ids_and_text(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, what they decode to)"""
+        if not text:
+            return "", ""
+        chunks, marked = self.chunks, SPACE + text.replace(" ", SPACE)
+        if len(chunks.other) >= CHUNKS:
+            chunks.forget()
+        found = self.cut.findall(marked)
+        ids = ",".join(map(chunks.__getitem__, found))
+        if chunks.other and not chunks.other.keys().isdisjoint(found):
+            return ids, "".join([chunks.other[c] if c in chunks.other else c.replace(SPACE, " ") for c in found])[1:]
+        return ids, marked.replace(SPACE, " ")[1:]
 
-    def chunks_of(self, text: str) -> list[tuple[int, str, str]]:
-        return [self.chunk(c) for c in self.cut.findall(SPACE + text.replace(" ", SPACE))] if text else []
+    def forget(self) -> None:
+        """Leaves the model only."""
+        self.chunks.forget()
+        self.pairs.clear()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.chunks_of(text) for i in ids.split(",")]
+        ids, _ = self.ids_and_text(text)
+        return [*map(int, ids.split(","))] if ids else []
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids as the library gives it: without the space that encoding put before the text."""
@@ -212,16 +250,18 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = backtracker(path)
-        for batch in parts(batches, "_whole", 1 << 23):
-            out: dict[str, list] = {c: [] for c in new}
-            for value in batch.column("_whole").to_pylist():
-                found = tool.chunks_of(value or "")
-                ids = ",".join([x[1] for x in found])
-                decoded = "".join([x[2] for x in found])[1:]
-                row = (sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded)
-                for c, v in zip(new, row):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {
-                c: pa.array(v, pa.int64() if c == "n_tokens" else pa.string()) for c, v in out.items()})
+        try:
+            for batch in parts(batches, "_whole", 1 << 23):
+                out: dict[str, list] = {c: [] for c in new}
+                for value in batch.column("_whole"):
+                    ids, decoded = tool.ids_and_text(value.as_py() or "")
+                    n = ids.count(",") + 1 if ids else 0
+                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded)
+                    for c, v in zip(new, row):
+                        out[c].append(v)
+                yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {
+                    c: pa.array(v, pa.int64() if c == "n_tokens" else pa.string()) for c, v in out.items()})
+        finally:
+            tool.forget()
 
     return source.mapInArrow(run, schema)
