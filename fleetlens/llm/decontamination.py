@@ -93,11 +93,16 @@ def _bits(h: Column) -> tuple[Column, Column]:
 
 
 def sieve_of(windows_: DataFrame) -> Column:
-    """A constant array<bigint> of SIEVE bits, two set for each lead of ``windows_``: at most SIEVE / 64 numbers reach the driver."""
+    """A scalar array<bigint> of SIEVE bits, two set for each lead of ``windows_``.
+
+    It is a subquery, one row of a fixed size, and no literal: Spark writes a plan's literals out in full at each of its
+    steps, for every stage anew, and all those texts are the driver's.
+    """
     place = windows_.select(F.explode("leads").alias("lead")).select(F.explode(F.array(*_bits(F.col("lead")))).alias("place"))
-    bits = place.select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-    found = {r["at"]: r["bits"] for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(SIEVE // 64))), ",").cast("array<bigint>")
+    bits = place.select(F.shiftright("place", 6).alias("id"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    bits = windows_.sparkSession.range(SIEVE // 64).join(bits.groupBy("id").agg(F.bit_or("bit").alias("bits")), "id", "left")
+    longs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return bits.agg(longs.alias("longs")).select("longs.bits").scalar()
 
 
 def _lead(v: Column, i: Column | int) -> Column:
@@ -138,8 +143,9 @@ def sieved_windows(rows: DataFrame, keys: list[str], text: str, size: int, sieve
     """
     words = rows.select(*keys, tokens(F.col(text)).alias("_w"))
     values = F.transform("_w", lambda w: F.xxhash64(bare(w))) if exact else F.lit(None).cast("array<bigint>")
-    words = words.select(*keys, "_w", F.transform("_w", as_either).alias("_c"), values.alias("_v"))
-    bit = lambda p: F.getbit(F.get(sieve, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+    # a column, as lambdas must not hold a subquery
+    words = words.select(*keys, "_w", F.transform("_w", as_either).alias("_c"), values.alias("_v"), sieve.alias("_sieve"))
+    bit = lambda p: F.getbit(F.get("_sieve", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def held(v: Column, i: Column) -> Column:
         first, second = _bits(_lead(v, i))
@@ -169,6 +175,7 @@ def _found(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: str
     of_items = windows(bench, ["_item"], "_body", size, short, whole=True)
     # exact windows serve the items that have no other
     of_items = of_items.withColumn("_none", F.min("exact").over(Window.partitionBy("_item"))).where("not exact or _none").drop("_none")
+    of_items = stored(of_items, "decontamination-items")  # their long expressions are planned once, not for each use
     lists = of_items.groupBy("h").agg(F.collect_set(F.struct("_item", F.col("at").alias("_item_at"))).alias("_places"))
     n = lists.limit(BROADCAST + 1).count()
     lists = F.broadcast(lists) if n <= BROADCAST else lists

@@ -7,6 +7,7 @@ unseen word, with its ends marked, is cut into n-grams of 5 characters; if none
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,9 +57,25 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def _logs(counts: dict[str, list[int]], size: int) -> np.ndarray:
-    values = np.array([*counts.values()], dtype=np.float64).reshape(len(counts), size)
-    return np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(counts) + 1)))
+class _Counts:
+    """Counts of texts, a number for each language, in one array; row: the place of each text."""
+
+    def __init__(self, languages: int):
+        self.row: dict[str, int] = {}
+        self.none, self.flat = array("q", [0] * languages), array("q")
+
+    def add(self, text: str, language: int, n: int) -> None:
+        at = self.row.setdefault(text, len(self.row)) * len(self.none)
+        if at == len(self.flat):
+            self.flat.extend(self.none)
+        self.flat[at + language] += n
+
+    def values(self) -> np.ndarray:
+        return np.array(self.flat, dtype=np.float64).reshape(len(self.row), len(self.none))
+
+
+def _logs(values: np.ndarray) -> np.ndarray:
+    return np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(values) + 1)))
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -93,20 +110,23 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     languages = sorted(set(counted["lang"]))
     place = {x: i for i, x in enumerate(languages)}
-    words: dict[str, list[int]] = defaultdict(lambda: [0] * len(languages))
-    grams: list[dict[str, list[int]]] = [defaultdict(lambda: [0] * len(languages)) for _ in range(LONGEST + 1)]
+    tables = [_Counts(len(languages)) for _ in range(LONGEST + 1)]  # words, then n-grams by length
     for language, word, n in zip(*counted.values()):
         i, marked = place[language], f"\x02{word}\x03"
-        words[word][i] += n
+        tables[0].add(word, i, n)
         for size in range(1, LONGEST + 1):
             for k in range(len(marked) - size + 1):
-                grams[size][marked[k : k + size]][i] += n
-    known = {w: v for w, v in words.items() if sum(v) >= KNOWN}
-    tables, index, at = [known, *grams], [], 0
-    for table in tables:
-        index.append({w: at + k for k, w in enumerate(table)})
-        at += len(table)
-    return Model(languages, index[0], index[1:], np.concatenate([_logs(t, len(languages)) for t in tables]))
+                tables[size].add(marked[k : k + size], i, n)
+    del counted
+    values = [t.values() for t in tables]
+    often = values[0].sum(axis=1) >= KNOWN
+    at, index = int(often.sum()), [{w: k for k, w in enumerate(w for w, row in tables[0].row.items() if often[row])}, {}]
+    for table in tables[1:]:
+        for text in table.row:
+            table.row[text] += at
+        at += len(table.row)
+        index.append(table.row)
+    return Model(languages, index[0], index[1:], np.concatenate([_logs(v) for v in (values[0][often], *values[1:])]))
 
 
 class _Rows(dict):
